@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import features_of, tokenize
+from ..functions.text import PAIR_SEPARATOR, adjacent_pairs, features_of, tokenize
 from .skew import hot_keys, salted_join
 
 NANO = 1_000_000_000
@@ -94,6 +94,16 @@ def explode_features(
     return df.select(*keep, F.explode_outer(features_of(tokens(F.col(text)))).alias("feature"))
 
 
+def pair_counts(
+    df: DataFrame, text: str = "text", tokens: Callable[[Column], Column] = tokenize
+) -> DataFrame:
+    """``first, second, n``: how often two tokens are neighbours."""
+    pairs = df.select(F.explode_outer(adjacent_pairs(tokens(F.col(text)))).alias("pair"))
+    counted = pairs.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    both = F.split("pair", PAIR_SEPARATOR)
+    return counted.select(both[0].alias("first"), both[1].alias("second"), "n")
+
+
 def label_counts(df: DataFrame, label: str = "label") -> tuple[tuple[str, int], ...]:
     """The labels and their document counts; at most ``MAX_LABELS`` rows reach the driver."""
     rows = relevant(df, label).groupBy(label).count().limit(MAX_LABELS + 1).collect()

@@ -17,16 +17,20 @@ from .skew import broadcast_if_small, hot_keys, salted_join
 
 # Population and id in one number, so that the maximum runs as a hash aggregate: the
 # greatest rank is the greatest population and, among equals, the smallest id.
-ID_SPAN = F.lit("10000000000000000000").cast("decimal(20,0)")
+ID_SPAN = 10**19
+
+
+def id_span() -> Column:
+    return F.lit(str(ID_SPAN)).cast("decimal(20,0)")
 
 
 def place_rank(population: Column, place_id: Column) -> Column:
     people = F.greatest(F.coalesce(population.try_cast("bigint"), F.lit(0)), F.lit(0))
-    return (people.cast("decimal(19,0)") * ID_SPAN + (ID_SPAN - 1 - place_id)).cast("decimal(38,0)")
+    return (people.cast("decimal(19,0)") * id_span() + (id_span() - 1 - place_id)).cast("decimal(38,0)")
 
 
 def rank_to_id(rank: Column) -> Column:
-    return (ID_SPAN - 1 - rank % ID_SPAN).cast("bigint")
+    return (id_span() - 1 - rank % id_span()).cast("bigint")
 
 
 def with_place_key(df: DataFrame, location: str = "geo") -> DataFrame:
@@ -43,11 +47,13 @@ def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
         gazetteer
         .select(F.lower("name").alias("name"),
                 place_rank(F.col("population"), F.col("geoname_id")).alias("rank"))
+        .where("name <> ''")
         .groupBy("name").agg(F.max("rank").alias("rank")))
     size = F.length("name")
     parts = (
         names
-        .withColumn("width", F.explode(F.filter(lengths.scalar(), lambda w: w <= size)))
+        .withColumn("width", F.explode(
+            F.array_intersect(lengths.scalar(), F.sequence(F.lit(1), size))))
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("width") + 1)))
         .select(F.substring("name", F.col("start"), F.col("width")).alias("place_key"), "rank")
         .groupBy("place_key").agg(F.max("rank").alias("rank")))

@@ -66,16 +66,15 @@ def mentioned_cities(text: Column, cities: Sequence[str], phrase_match: bool = F
         for k, cs in groupby(sorted(cities, key=lambda c: len(c.split())),
                              key=lambda c: len(c.split()))}
 
+    def runs_of(tokens, width, names):
+        starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, width), " "))
+        return F.filter(F.coalesce(runs, F.array().cast("array<string>")), lambda r: r.isin(*names))
+
     def found(tokens):
         hits = F.filter(tokens, lambda t: t.isin(*by_words.get(1, [""])))
-        for k, names in by_words.items() if phrase_match else ():
-            if k == 1:
-                continue
-            starts = F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1))
-            runs = F.transform(starts, lambda i, k=k: F.array_join(F.slice(tokens, i, k), " "))
-            runs = F.filter(runs, lambda r, names=names: r.isin(*names))
-            hits = F.concat(hits, F.coalesce(runs, F.array().cast("array<string>")))
-        return hits
+        longer = [runs_of(tokens, k, names) for k, names in by_words.items() if k > 1]
+        return F.concat(hits, *longer) if phrase_match else hits
 
     return bind(whitespace_tokens(strip_hash_lower(text)), found)
 

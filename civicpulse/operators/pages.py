@@ -151,7 +151,7 @@ def detail_requests(pages: DataFrame) -> DataFrame:
 def element_texts(html: Column, tag: str) -> Column:
     """Inner text of every ``<tag>`` up to its end or the next one of its kind."""
     inner = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}>|<{tag}[\s>]|$)"), F.lit(1))
+        html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?=</{tag}>|<{tag}[\s>]|$)"), F.lit(1))
     return F.transform(inner, text.clean_forum_text)
 
 
