@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from xml.etree.ElementTree import Element, SubElement
+import re
+from html import unescape
+from xml.etree.ElementTree import Element
 
-# Elements without content, and those that a new sibling closes.
+# Elements without content, those whose content is not markup, and those
+# that a new sibling closes.
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split())
+RAW_TEXT = frozenset(("script", "style"))
 CLOSED_BY_SIBLING = {
     "p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"),
@@ -15,48 +18,70 @@ CLOSED_BY_SIBLING = {
 # An open sibling beyond one of these belongs to an outer list or table.
 SCOPES = frozenset(("table", "ul", "ol", "dl", "div", "body", "html", "blockquote", "article"))
 
+# A comment or declaration, a tag with its attributes, text, or a stray "<".
+PIECE = re.compile(
+    r"<!--.*?(?:-->|$)|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|(?P<text>(?:[^<]++|<(?![a-zA-Z/!?]))+|<)", re.S)
+RAW_END = re.compile("</(?:script|style)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Element("document")
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        closable = CLOSED_BY_SIBLING.get(tag, ())
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].tag
-            if name in closable:
-                del self.open[i:]
-            elif name in SCOPES:
-                break
-        element = SubElement(self.open[-1], tag, {k: v or "" for k, v in attrs})
-        if tag not in VOID:
-            self.open.append(element)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        parent = self.open[-1]
-        if len(parent):
-            parent[-1].tail = (parent[-1].tail or "") + data
-        else:
-            parent.text = (parent.text or "") + data
+
+def _attributes(source: str) -> dict[str, str]:
+    found = {}
+    for name, double, single, bare in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
+
+
+def _append_text(parent: Element, text: str) -> None:
+    if len(parent):
+        parent[-1].tail = (parent[-1].tail or "") + text
+    else:
+        parent.text = (parent.text or "") + text
 
 
 def parse(html: str) -> Element:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.root
+    """Element tree of a page; unclosed and crossed tags are tolerated."""
+    root = Element("document")
+    stack = [root]
+    position = 0
+    while piece := PIECE.match(html, position):
+        position = piece.end()
+        tag = piece["tag"]
+        if tag is None:
+            if piece["text"]:
+                text = piece["text"]
+                _append_text(stack[-1], unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if piece["end"]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    del stack[i:]
+                    break
+            continue
+        closable = CLOSED_BY_SIBLING.get(tag)
+        if closable:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in closable:
+                    del stack[i:]
+                elif stack[i].tag in SCOPES:
+                    break
+        element = Element(tag, _attributes(piece["attrs"]) if piece["attrs"] else {})
+        stack[-1].append(element)
+        if tag in RAW_TEXT:
+            end = RAW_END.search(html, position)
+            stop = end.start() if end else len(html)
+            element.text, position = html[position:stop], stop
+        elif tag not in VOID:
+            stack.append(element)
+    return root
 
 
 def has_class(element: Element, *names: str) -> bool:
-    return set(names) <= set(element.get("class", "").split())
+    value = element.get("class")
+    return value is not None and set(names) <= set(value.split())
 
 
 def with_class(root: Element, *names: str) -> list[Element]:

@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_location
+from ..session import shared_dir
 from .skew import broadcast_if_small, hot_keys, salted_join
 
 # Population and id in one number, so that the maximum runs as a hash aggregate: the
 # greatest rank is the greatest population and, among equals, the smallest id.
 ID_SPAN = 10**19
+# A location dictionary up to this size is broadcast; ROW_BYTES stands for its other columns.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 200
 
 
 def id_span() -> Column:
@@ -40,7 +44,7 @@ def with_place_key(df: DataFrame, location: str = "geo") -> DataFrame:
 def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """``place_key, geoname_id`` of the most populous place containing each key.
 
-    ``locations`` holds distinct, non-null ``place_key`` values.
+    ``locations`` holds distinct, non-null ``place_key`` values; its other columns stay.
     """
     lengths = locations.agg(F.collect_set(F.length("place_key")).alias("lengths"))
     names = (
@@ -57,42 +61,59 @@ def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("width") + 1)))
         .select(F.substring("name", F.col("start"), F.col("width")).alias("place_key"), "rank")
         .groupBy("place_key").agg(F.max("rank").alias("rank")))
-    return locations.join(parts, "place_key").select(
-        "place_key", rank_to_id(F.col("rank")).alias("geoname_id"))
+    found = locations.join(parts, "place_key")
+    return found.withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
 
 
-def resolve_locations(
-    locations: DataFrame, gazetteer: DataFrame, continents: DataFrame
+def location_dictionary(
+    df: DataFrame, gazetteer: DataFrame, continents: DataFrame, location: str = "geo"
 ) -> DataFrame:
-    """``place_key`` to ``geo_city, geo_country, geo_continent``; misses are absent."""
+    """``place_key, n, geo_city, geo_country, geo_continent`` of the locations of ``df``.
+
+    Every distinct location is resolved once, however many posts share it; misses are
+    absent.  ``n`` is the number of rows with the location.
+    """
+    counts = (
+        with_place_key(df, location).where(F.col("place_key").isNotNull())
+        .groupBy("place_key").agg(F.count(F.lit(1)).alias("n"))
+        # Always true; it keeps ``n``, and so one plan, for all uses of the counts.
+        .where("n > 0"))
     places = gazetteer.select(
         "geoname_id", F.col("asciiname").alias("geo_city"),
         F.col("country_code").alias("geo_country"))
     dimension = broadcast_if_small(continents.select(
         F.col("country_code").alias("geo_country"), F.col("continent").alias("geo_continent")))
     return (
-        best_places(locations, gazetteer)
+        best_places(counts, gazetteer)
         .join(places, "geoname_id")
         .join(dimension, "geo_country", "left")
-        .select("place_key", "geo_city", "geo_country", "geo_continent"))
+        .select("place_key", "n", "geo_city", "geo_country", "geo_continent"))
 
 
-def enrich_locations(
-    df: DataFrame, gazetteer: DataFrame, continents: DataFrame, location: str = "geo"
-) -> DataFrame:
+def apply_dictionary(df: DataFrame, dictionary: DataFrame, location: str = "geo") -> DataFrame:
     """Replace the raw location by a ``geo`` struct of city, country and continent.
 
     No location gives three nulls; a location without a match keeps its raw text as city.
     """
+    shared_dir(df.sparkSession)
+    # Written once: its size decides the join, and no later stage resolves it again.
+    stored = dictionary.checkpoint()
+    names = stored.drop("n")
+    size = stored.agg(F.sum(F.octet_length("place_key") + ROW_BYTES)).first()[0] or 0
     keyed = with_place_key(df, location)
-    counts = (
-        keyed.where(F.col("place_key").isNotNull())
-        .groupBy("place_key").agg(F.count(F.lit(1)).alias("n")))
-    resolved = resolve_locations(counts.select("place_key"), gazetteer, continents)
-    joined = salted_join(keyed, resolved, "place_key", hot_keys(counts, "place_key"), "left")
+    if size <= BROADCAST_BYTES:
+        joined = keyed.join(F.broadcast(names), "place_key", "left")
+    else:
+        joined = salted_join(keyed, names, "place_key", hot_keys(stored, "place_key"), "left")
     raw = F.nullif(F.col(location), F.lit(""))
     return joined.withColumn("geo", F.struct(
         F.coalesce("geo_city", raw).alias("city"),
         F.col("geo_country").alias("country"),
         F.col("geo_continent").alias("continent"),
     )).drop("place_key", "geo_city", "geo_country", "geo_continent")
+
+
+def enrich_locations(
+    df: DataFrame, gazetteer: DataFrame, continents: DataFrame, location: str = "geo"
+) -> DataFrame:
+    return apply_dictionary(df, location_dictionary(df, gazetteer, continents, location), location)

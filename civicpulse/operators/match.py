@@ -79,6 +79,14 @@ def mentioned_cities(text: Column, cities: Sequence[str], phrase_match: bool = F
     return bind(whitespace_tokens(strip_hash_lower(text)), found)
 
 
+def with_mentions(
+    df: DataFrame, cities: Sequence[str], text: str = "text", phrase_match: bool = False
+) -> DataFrame:
+    """Keep rows that name a city, with one entry of ``cities`` per occurrence."""
+    found = df.withColumn("cities", mentioned_cities(F.col(text), cities, phrase_match))
+    return found.where(F.size("cities") > 0)
+
+
 def city_mentions(
     df: DataFrame, cities: Sequence[str], text: str = "text", phrase_match: bool = False
 ) -> DataFrame:

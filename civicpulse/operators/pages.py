@@ -21,19 +21,27 @@ from .match import topic_cities
 
 Row = tuple
 PAGE_COLUMNS = ("url", "city", "html")
+ROWS_PER_FRAME = 10_000
 
 
 def map_pages(pages: DataFrame, rows_of: Callable[..., Iterable[Row]], schema) -> DataFrame:
     """Run ``rows_of(url, city, html)`` on every page; one page may yield many rows."""
     names = schema.fieldNames()
 
+    def frame(rows):
+        # Object columns keep a missing value apart from a text.
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for page in batch.itertuples(index=False):
-                rows = list(rows_of(page.url, page.city, page.html))
-                if rows:
-                    # Object columns keep a missing value apart from a text.
-                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows.extend(rows_of(page.url, page.city, page.html))
+                if len(rows) >= ROWS_PER_FRAME:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
 
     if "city" not in pages.columns:
         pages = pages.withColumn("city", F.lit(None).cast("string"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread_small
+
 # Words of the documents that stand in for subject cities and keywords.
 CITIES = ("tion", "the", "der", "que")
 PHRASE_CITIES = ("of the", "de", "the and to")
@@ -55,7 +57,7 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def corpus(self) -> DataFrame:
         """``doc_id, text, label`` of the labelled documents."""

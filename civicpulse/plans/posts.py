@@ -16,11 +16,11 @@ Hook = Callable[[DataFrame], DataFrame]
 
 
 def tweet_items(tweets: DataFrame, params: Parameters, phrase_match: bool = False) -> DataFrame:
-    """Tweets to ``city, text, geo, date`` items, one per mention of a city."""
+    """Tweets to ``cities, text, geo, date`` items, with one city per mention."""
     kept = match.language_filter(tweets, params.languages)
     kept = match.track_filter(kept, match.phrase_list(params.hashtags, params.stream_cities))
-    return match.city_mentions(kept, params.stream_cities, phrase_match=phrase_match).select(
-        "city", "text", F.col("location").alias("geo"), "date")
+    return match.with_mentions(kept, params.stream_cities, phrase_match=phrase_match).select(
+        "cities", "text", F.col("location").alias("geo"), "date")
 
 
 def review_site_items(
@@ -54,18 +54,30 @@ def to_posts(
     """Items to stored posts: location looked up, sentiment added, city in lower case.
 
     ``hook`` is a user function on the items; ``key`` a unique item column, if there is
-    one.
+    one.  Items with an array of ``cities`` become one post per entry, after the lookups,
+    so that no shuffle carries the copies.  Items are read several times: give a stored
+    table (``store_items``) if they are costly to make.
     """
     if hook:
         items = items.transform(hook)
-    located = geo.enrich_locations(items, gazetteer, continents)
-    labelled = bayes.classify(located, model, key, tokens=tokens)
+    labelled = bayes.classify(items, model, key, tokens=tokens)
+    # Only the location column of the items is read for the dictionary.
+    places = geo.location_dictionary(items, gazetteer, continents)
+    labelled = geo.apply_dictionary(labelled, places)
+    if "cities" in labelled.columns:
+        labelled = labelled.withColumn("city", F.explode("cities"))
     extra = [key] if key else []
     return labelled.select(
         *extra, F.lit(resource).alias("resource"), F.lower("city").alias("city"), "date", "text",
         "geo", "sentiment")
 
 
+def store_items(items: DataFrame, path: str) -> DataFrame:
+    """Write items and read them back: extraction then runs once."""
+    items.write.mode("overwrite").parquet(path)
+    return items.sparkSession.read.schema(items.schema).parquet(path)
+
+
 def report(posts: DataFrame, city: str | None = None) -> DataFrame:
     """Zero-filled counts over the three sources."""
     return stats.stats_for(posts, city)

@@ -154,7 +154,8 @@ def clean_location(t):
 @query
 def best_place(t):
     keys = geo.with_place_key(t.customer_locations()).where("place_key is not null")
-    return geo.best_places(keys.select("place_key").distinct(), t.gazetteer())
+    return geo.best_places(keys.select("place_key").distinct(), t.gazetteer()).select(
+        "place_key", "geoname_id")
 
 
 @query
@@ -466,19 +467,19 @@ def document_items(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
     located = t.documents.join(names, "doc_id", "left").select(
         "doc_id", "text", F.expr(LOCATION.format(id="doc_id")).alias("geo"))
-    return match.city_mentions(located, CITIES).select(
-        "doc_id", "city", "text", "geo", F.lit(None).cast("timestamp").alias("date"))
+    return match.with_mentions(located, CITIES).select(
+        "doc_id", "cities", "text", "geo", F.lit(None).cast("timestamp").alias("date"))
 
 
 @query
 def enriched_posts(t):
     """Mentions, author geography and sentiment of all documents."""
-    mentions = document_items(t).groupBy("doc_id", "city", "geo").agg(F.count(F.lit(1)).alias("mentions"))
-    located = geo.enrich_locations(mentions, t.gazetteer(), t.continents())
-    labels = bayes.score(t.documents.select("doc_id", "text"), trained(t), "doc_id")
-    return located.join(labels.select("doc_id", F.col("label").alias("sentiment")), "doc_id").select(
-        "doc_id", "city", "mentions", F.col("geo.city").alias("geo_city"),
-        F.col("geo.country").alias("geo_country"), F.col("geo.continent").alias("geo_continent"), "sentiment")
+    posts = flow.to_posts(
+        document_items(t), "TWITTER", t.gazetteer(), t.continents(), trained(t), key="doc_id")
+    return posts.groupBy(
+        "doc_id", "city", F.col("geo.city").alias("geo_city"), F.col("geo.country").alias("geo_country"),
+        F.col("geo.continent").alias("geo_continent"), "sentiment",
+    ).agg(F.count(F.lit(1)).alias("mentions"))
 
 
 @query

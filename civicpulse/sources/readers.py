@@ -31,6 +31,15 @@ CONTINENTS = {
     "NA": "North America", "OC": "Oceania", "SA": "South America"}
 
 
+def spread_small(table: DataFrame) -> DataFrame:
+    """Spread a table with fewer splits than cores, which then is a small one.
+
+    Row-wise text work is bound by the processor.  A table of many splits stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 # ---- tweets -----------------------------------------------------------------------
 
 def read_tweet_lines(spark: SparkSession, path: str, **options) -> DataFrame:

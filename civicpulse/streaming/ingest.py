@@ -31,9 +31,14 @@ def start_ingest(
     checkpoint adds no duplicates.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_posts(to_rows(batch), path, batch_id)
-        if on_batch:
-            on_batch(batch, batch_id)
+        # The lookups read the batch several times; its source is read once.
+        batch.persist()
+        try:
+            write_batch_posts(to_rows(batch), path, batch_id)
+            if on_batch:
+                on_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
