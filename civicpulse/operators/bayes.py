@@ -10,7 +10,7 @@ not depend on the order in which tasks deliver the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
@@ -139,22 +139,20 @@ def score(
     key: str,
     text: str = "text",
     tokens: Callable[[Column], Column] = tokenize,
-    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``key``, one ``score_<label>`` per label and the winning ``label``.
 
     ``key`` identifies a text.  Unknown features are ignored, a text without known
-    features falls back to the prior, equal scores go to the greatest label.  ``carry``
-    names columns that depend on ``key`` and stay.
+    features falls back to the prior, equal scores go to the greatest label.
     """
-    found = explode_features(df.where(F.col(text).isNotNull()), text, tokens, key, *carry)
+    found = explode_features(df.where(F.col(text).isNotNull()), text, tokens, key)
     weights = model.features.select("feature", "weights")
     if model.is_small():
         hits = found.join(F.broadcast(weights), "feature", "left")
     else:
         hot = hot_keys(model.features, "feature")
         hits = salted_join(found, weights, "feature", hot, "left", spread_by=[key])
-    sums = hits.groupBy(key, *carry).agg(*[
+    sums = hits.groupBy(key).agg(*[
         F.sum(F.col("weights")[i]).alias(f"sum_{i}") for i in range(len(model.labels))])
     scores = [
         ((F.coalesce(F.col(f"sum_{i}"), F.lit(0)) + w) / NANO).alias(f"score_{label}")
@@ -162,7 +160,7 @@ def score(
     best = F.array_max(F.array(*[
         F.struct(s.alias("score"), F.lit(label).alias("label"))
         for s, (label, _) in zip(scores, model.labels)]))
-    return sums.select(key, *carry, *scores, best["label"].alias("label"))
+    return sums.select(key, *scores, best["label"].alias("label"))
 
 
 def classify(
@@ -184,13 +182,14 @@ def classify(
         labels = score(df, model, key, text, tokens)
         return df.join(labels.select(key, F.col("label").alias("sentiment")), key, "left")
     keyed = df.withColumn("text_key", F.unhex(F.sha2(text, 256)))
+    # The second filter is always true.  It keeps text and count in both uses of the
+    # distinct texts, so that they share one shuffle.
     distinct = (
         keyed.where(F.col("text_key").isNotNull())
-        .groupBy("text_key").agg(F.any_value(text).alias(text), F.count(F.lit(1)).alias("n")))
-    # Hot texts are read off the scored table; the filter is always true and keeps both
-    # uses of it one plan.
-    labels = score(distinct, model, "text_key", text, tokens, carry=["n"]).where("label <> ''")
-    hot = hot_keys(labels, "text_key")
+        .groupBy("text_key").agg(F.any_value(text).alias(text), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 0) & (F.length(text) >= 0)))
+    labels = score(distinct, model, "text_key", text, tokens)
+    hot = hot_keys(distinct, "text_key")
     return salted_join(
         keyed, labels.select("text_key", F.col("label").alias("sentiment")),
         "text_key", hot, "left").drop("text_key")

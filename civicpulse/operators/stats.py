@@ -28,10 +28,13 @@ def posts_of(posts: DataFrame, resource: str) -> DataFrame:
 
 
 def cells(posts: DataFrame) -> DataFrame:
+    """Posts per source, subject city, sentiment and geography."""
+    # The filter is always true.  It keeps ``n`` in every use of the cells, so that all of
+    # them share one shuffle of the posts.
     return posts.groupBy(
         "resource", "city", "sentiment", F.col("geo.city").alias("geo_city"),
         F.col("geo.country").alias("geo_country"), F.col("geo.continent").alias("geo_continent"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
 
 def all_cities(cells: DataFrame) -> DataFrame:
