@@ -158,4 +158,6 @@ def stats_documents(
 def stats_for(posts: DataFrame, city: str | None = None,
               resources: Sequence[str] = RESOURCES) -> DataFrame:
     """Dense stats of several sources from one scan of the posts."""
-    return dense_stats(cells(posts.where(F.col("resource").isin(*resources))), city)
+    # The null check is implied; spelled out, it is the same filter in every branch.
+    mine = posts.where(F.col("resource").isin(*resources) & F.col("resource").isNotNull())
+    return dense_stats(cells(mine), city)

@@ -82,7 +82,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Saved pages, one file each; the url is the file's path."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
@@ -128,7 +128,7 @@ def read_country_continents(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parameters(spark: SparkSession, path: str) -> Parameters:
     """Parameters from a JSON file with one section per source."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     return Parameters.from_mapping(json.loads(text))
 
 
@@ -136,7 +136,7 @@ def read_parameters(spark: SparkSession, path: str) -> Parameters:
 
 def read_posts(spark: SparkSession, path: str, resource: str | None = None) -> DataFrame:
     """All posts, or those of one source by partition pruning (any case)."""
-    posts = spark.read.schema(POST).parquet(path)
+    posts = spark.read.schema(POST).parquet(path).select(*POST.fieldNames())
     return posts if resource is None else posts.where(F.col("resource") == resource.upper())
 
 
