@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -18,6 +18,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters use.
+
+    The optimizer moves a filter below the column it tests and computes the column there
+    once more; it does not do so below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 # ---- entities ---------------------------------------------------------------------
 
 def char_of(code: Column) -> Column:

@@ -12,7 +12,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, strip_hash_lower, whitespace_tokens
+from ..functions.text import bind, strip_hash_lower, whitespace_tokens, with_computed
 
 
 def track_phrases(spark: SparkSession, hashtags: Sequence[str], cities: Sequence[str]) -> DataFrame:
@@ -83,7 +83,7 @@ def with_mentions(
     df: DataFrame, cities: Sequence[str], text: str = "text", phrase_match: bool = False
 ) -> DataFrame:
     """Keep rows that name a city, with one entry of ``cities`` per occurrence."""
-    found = df.withColumn("cities", mentioned_cities(F.col(text), cities, phrase_match))
+    found = with_computed(df, "cities", mentioned_cities(F.col(text), cities, phrase_match))
     return found.where(F.size("cities") > 0)
 
 

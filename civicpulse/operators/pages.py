@@ -150,8 +150,8 @@ def detail_requests(pages: DataFrame) -> DataFrame:
     own = F.flatten(F.transform(named, urls.review_ids))
     url = urls.detail_url(F.col("url"), own)
     rest = [c for c in pages.columns if c not in ("url", "html")]
-    return pages.select(*rest, F.col("url").alias("page_url"), url.alias("url")).where(
-        F.col("url").isNotNull())
+    return text.with_computed(pages, "detail", url).where(F.col("detail").isNotNull()).select(
+        *rest, F.col("url").alias("page_url"), F.col("detail").alias("url"))
 
 
 # ---- regular markup ---------------------------------------------------------------

@@ -11,6 +11,7 @@ from ..functions.text import tokenize
 from ..operators import bayes, geo, match, pages, stats
 from ..params import Parameters
 from ..schemas import POST
+from ..session import run_dir
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -50,16 +51,22 @@ def to_posts(
     key: str | None = None,
     tokens: Callable[[Column], Column] = tokenize,
     hook: Hook | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Items to stored posts: location looked up, sentiment added, city in lower case.
 
     ``hook`` is a user function on the items; ``key`` a unique item column, if there is
     one.  Items with an array of ``cities`` become one post per entry, after the lookups,
-    so that no shuffle carries the copies.  Items are read several times: give a stored
-    table (``store_items``) if they are costly to make.
+    so that no shuffle carries the copies.
+
+    The lookups read the items three times, mostly single columns.  So that filters and
+    extraction run once, items are first written to the shared folder, unless they are
+    ``stored`` already.
     """
     if hook:
         items = items.transform(hook)
+    if not stored:
+        items = store_items(items, run_dir(items.sparkSession, "items"))
     labelled = bayes.classify(items, model, key, tokens=tokens)
     # Only the location column of the items is read for the dictionary.
     places = geo.location_dictionary(items, gazetteer, continents)

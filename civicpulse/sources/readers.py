@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import epoch_millis
+from ..functions.text import with_computed
 from ..operators.bayes import Model
 from ..params import Parameters
 from ..schemas import COUNTRY_CONTINENT, GAZETTEER, PAGE, POST, TWEET
@@ -58,7 +59,7 @@ def parse_tweets(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     schema = T.StructType([*TWEET.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.select(F.from_json(value, schema, options).alias("j"))
+    parsed = with_computed(lines.select(value), "j", F.from_json(value, schema, options))
     return parsed.select(
         F.col("j.text").alias("text"), epoch_millis(F.col("j.timestamp_ms")).alias("date"),
         F.col("j.lang").alias("lang"), F.col("j.user.location").alias("location"),

@@ -61,7 +61,7 @@ def start_tweets(
 
     def to_rows(batch):
         items = tweet_items(good_tweets(batch), params)
-        return to_posts(items, "TWITTER", gazetteer, continents, model)
+        return to_posts(items, "TWITTER", gazetteer, continents, model, stored=True)
 
     def keep_bad(batch, batch_id):
         (bad_tweets(batch).withColumn("batch_id", F.lit(batch_id))

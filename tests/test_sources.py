@@ -88,7 +88,7 @@ def test_items_to_posts(spark, tmp_path):
     places = spark.createDataFrame([(1, "Rome", "Rome", 3, "IT")], GAZETTEER)
     continents = spark.createDataFrame([("IT", "Europe")], COUNTRY_CONTINENT)
     drop_x = lambda df: df.where("text <> 'x'")
-    posts = flow.to_posts(stored, "SKYSCRAPER", places, continents, hook=drop_x)
+    posts = flow.to_posts(stored, "SKYSCRAPER", places, continents, hook=drop_x, stored=True)
     assert [tuple(r) for r in posts.collect()] == [("SKYSCRAPER", "rome", None, "ciao", ("Rome", "IT", "Europe"), None)]
     assert posts.columns == POST.fieldNames() and flow.empty_posts(spark).count() == 0
 
