@@ -62,7 +62,9 @@ def decode_named_entities(text: Column, strict: bool = False) -> Column:
 
     ``strict`` keeps ``&amp;`` in a text that holds no other named entity.
     """
-    names = F.create_map(*[F.lit(x) for n, c in name2codepoint.items() for x in (n, chr(c))])
+    # One literal that the optimizer folds to a map; no entity is a control character.
+    pairs = "\u0001".join(f"{n}\u0002{chr(c)}" for n, c in name2codepoint.items())
+    names = F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
 
     def char(entity):
         return F.try_element_at(names, F.substring(entity, F.lit(2), F.length(entity) - 2))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import urljoin
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 from xml.etree.ElementTree import Element
 
 from pyspark import StorageLevel
@@ -17,7 +18,18 @@ from ..params import REVIEW_URL
 from ..schemas import LINK
 from ..session import shared_dir
 from .pages import map_pages
+from .skew import hot_keys, salted_join
 
+# What a link may start with, and endings of files that are no pages.
+SCHEMES = ("http", "https", "ftp", "file")
+SKIPPED_EXTENSIONS = frozenset(
+    """
+    mng pct bmp gif jpg jpeg png pst psp tif tiff ai drw dxf eps ps svg
+    mp3 wma ogg wav ra aac mid au aiff
+    3gp asf asx avi mov mp4 mpg qt rm swf wmv m4a
+    xls xlsx ppt pptx pps doc docx odt ods odg odp
+    css pdf exe bin rss zip rar
+    """.split())
 SMALL_FRONTIER_BYTES = 64 * 1024 * 1024
 
 
@@ -25,15 +37,16 @@ SMALL_FRONTIER_BYTES = 64 * 1024 * 1024
 class Rule:
     """Where links are found on a page, and user functions applied to what is found.
 
-    ``regions`` yields the elements to search.  ``process_value`` rewrites a link,
-    ``process_links`` and ``callback`` work on all links or target pages of the rule.
+    ``regions`` yields the elements to search.  ``process_value`` rewrites a found value
+    (None drops it); ``process_links`` and ``callback`` work on the table of all links or
+    target pages of the rule.
     """
 
     name: str
     regions: Callable[[Element], list[Element]]
     tags: tuple[str, ...] = ("a", "area")
     attr: str = "href"
-    process_value: Callable[[Column], Column] | None = None
+    process_value: Callable[[str], str | None] | None = None
     process_links: Callable[[DataFrame], DataFrame] | None = None
     callback: Callable[[DataFrame], DataFrame] | None = None
 
@@ -59,6 +72,10 @@ def travel_threads(root: Element) -> list[Element]:
             for b in table.findall("./tr/td[2]/b")]
 
 
+def click_target(value: str) -> str:
+    return re.sub(urls.CLICK_TARGET, r"\1\2", value)
+
+
 # The regions that the two sites' rules search, in rule order.
 FORUM_RULES = (
     Rule("forum", forum_index),
@@ -69,7 +86,7 @@ REVIEW_RULES = (
     Rule("category", by_class("navLinks")),
     Rule("next_page", next_links("link"), tags=("link",)),
     Rule("city_search_result", by_class("result", "GEOS"), tags=("div",), attr="onclick",
-         process_value=urls.rewrite_click_target),
+         process_value=click_target),
     Rule("sidebar_category", by_class("accommodation_type")),
     Rule("property", by_class("property_title")),
     Rule("forum_thread", travel_threads),
@@ -77,18 +94,36 @@ REVIEW_RULES = (
 )
 
 
+def followable(base: str, value: str) -> str | None:
+    """The absolute link in a comparable form: sorted query, no fragment.
+
+    None for other schemes than the web's and for files that hold no page.
+    """
+    try:
+        parts = urlsplit(urljoin(base, value.strip()))
+    except ValueError:
+        return None
+    if parts.scheme not in SCHEMES or parts.path.lower().rpartition(".")[2] in SKIPPED_EXTENSIONS:
+        return None
+    query = urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True)))
+    return urlunsplit((parts.scheme, parts.netloc.lower(), parts.path or "/", query, ""))
+
+
 def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``url, city, rule, link, link_text`` of all rules; a page without HTML gives none."""
-    searches = [(r.regions, r.tags, r.attr) for r in rules]
+    searches = [(r.regions, r.tags, r.attr, r.process_value or str) for r in rules]
 
     def rows_of(url: str, city: str | None, html: str) -> Iterator[tuple]:
         root = parse(html)
-        for index, (regions, tags, attr) in enumerate(searches):
+        base = urljoin(url, next((b.get("href", "") for b in root.iter("base")), ""))
+        for index, (regions, tags, attr, process) in enumerate(searches):
             for region in regions(root):
                 for element in region.iter():
-                    if element.tag in tags and element.get(attr):
-                        label = "".join(element.itertext())
-                        yield (url, city, index, urljoin(url, element.get(attr).strip()), label)
+                    found = element.get(attr) if element.tag in tags else None
+                    value = process(found) if found else None
+                    link = followable(base, value) if value else None
+                    if link:
+                        yield (url, city, index, link, "".join(element.itertext()))
 
     marked = pages.where(F.contains("html", F.lit("<")))
     return apply_hooks(map_pages(marked, rows_of, LINK), rules)
@@ -96,11 +131,6 @@ def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def apply_hooks(links: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Run the per-rule functions on the links they belong to."""
-    value = F.col("link")
-    for index, rule in enumerate(rules):
-        if rule.process_value:
-            value = F.when(F.col("rule") == index, rule.process_value(F.col("link"))).otherwise(value)
-    links = links.withColumn("link", value)
     hooked = {i: r.process_links for i, r in enumerate(rules) if r.process_links}
     if not hooked:
         return links
@@ -187,9 +217,14 @@ def propagate_cities(seeds: DataFrame, edges: DataFrame, max_depth: int | None =
             break
         depth += 1
         sources = frontier.select(F.col("url").alias("src"), "city")
+        if size <= SMALL_FRONTIER_BYTES:
+            followed = links.join(F.broadcast(sources), "src")
+        else:
+            # A page may hold a large share of all links.
+            degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+            followed = salted_join(links, sources, "src", hot_keys(degrees, "src"))
         reached = (
-            links.join(F.broadcast(sources) if size <= SMALL_FRONTIER_BYTES else sources, "src")
-            .groupBy(F.col("dst").alias("url")).agg(F.min("city").alias("city")))
+            followed.groupBy(F.col("dst").alias("url")).agg(F.min("city").alias("city")))
         frontier = reached.join(visited.select("url"), "url", "left_anti").withColumn(
             "depth", F.lit(depth)).checkpoint()
         visited = visited.unionByName(frontier)

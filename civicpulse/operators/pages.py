@@ -8,6 +8,7 @@ the pages that cannot yield anything.  Cleaning, dates and city matching stay on
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from html import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,8 @@ def thread_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
     root = parse(html)
     heading = first_text([h for h in root.iter("h1") if h.get("id") == "HEADING"])
     for position, post in enumerate(with_class(root, "post")):
-        bodies = ["".join(b.itertext()) for b in with_class(post, "postBody")]
+        # Bodies are taken as markup: a "<" of the text stays an entity when tags are cut.
+        bodies = [escape("".join(b.itertext()), quote=False) for b in with_class(post, "postBody")]
         stamp = next((n for d in with_class(post, "postDate") for n in d.itertext()), None)
         yield (url, position, city, heading, " ".join(bodies),
                first_text(with_class(post, "location")), None, stamp)

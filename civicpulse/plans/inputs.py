@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import broadcast_if_small
 from ..sources.readers import spread_small
 
 # Words of the documents that stand in for subject cities and keywords.
@@ -89,7 +90,7 @@ class Tables:
         ).select("n_nationkey", "n_name", "r_name")
         docs = self.documents.select("doc_id", "source")
         located = docs.join(
-            F.broadcast(countries.limit(1000)), F.expr("doc_id % 30 = n_nationkey"), "left")
+            broadcast_if_small(countries), F.expr("doc_id % 30 = n_nationkey"), "left")
         return located.join(self.labels, "doc_id", "left").select(
             F.expr(RESOURCE).alias("resource"), F.col("source").alias("city"),
             F.struct(F.expr(TOWN.format(text="string")).alias("city"),

@@ -295,7 +295,7 @@ ORACLES: dict[str, str] = {
           CASE doc_id % 3 WHEN 0 THEN '2014-04-02 00:00:00' ELSE '2013-05-12 00:00:00' END AS date
         FROM documents WHERE doc_id % 3 < 2""",
     "thread_posts": f"""SELECT conv_id || '/' || turn AS url, role AS city, 'Talk ' || conv_id AS title,
-          {clean_review("text || 'bye'")} AS text, role AS geo,
+          {clean_review("replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || 'bye'")} AS text, role AS geo,
           '2016-01-' || lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0') || ' 19:05:00' AS date FROM conversations""",
     "site_links": f"""WITH l AS (SELECT p_partkey AS k, p_name, p_brand AS city, unnest([
             {{'rule': 0, 'link': '/hotels/1.html', 'link_text': 'Hotels'}}, {{'rule': 0, 'link': '/forum/1.html', 'link_text': 'Forum'}},

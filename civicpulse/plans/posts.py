@@ -61,13 +61,19 @@ def to_posts(
 
     The lookups read the items three times, mostly single columns.  So that filters and
     extraction run once, items are first written to the shared folder, unless they are
-    ``stored`` already.
+    ``stored`` already.  A row of that table has a fixed place in it, which then serves as
+    the unique key.
     """
     if hook:
         items = items.transform(hook)
+    row_key = key
     if not stored:
         items = store_items(items, run_dir(items.sparkSession, "items"))
-    labelled = bayes.classify(items, model, key, tokens=tokens)
+        if key is None:
+            row_key = "row_key"
+            items = items.withColumn(
+                row_key, F.concat_ws(":", "_metadata.file_name", "_metadata.row_index"))
+    labelled = bayes.classify(items, model, row_key, tokens=tokens)
     # Only the location column of the items is read for the dictionary.
     places = geo.location_dictionary(items, gazetteer, continents)
     labelled = geo.apply_dictionary(labelled, places)

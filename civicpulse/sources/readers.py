@@ -17,6 +17,7 @@ from ..params import Parameters
 from ..schemas import COUNTRY_CONTINENT, GAZETTEER, PAGE, POST, TWEET
 
 CORRUPT = "_corrupt_record"
+SMALL_SPLITS = 32
 
 # The columns of the published GeoNames place and country dumps.
 GEONAMES_COLUMNS = (
@@ -33,12 +34,13 @@ CONTINENTS = {
 
 
 def spread_small(table: DataFrame) -> DataFrame:
-    """Spread a table with fewer splits than cores, which then is a small one.
+    """Spread a table of few splits over the cores of a small session.
 
-    Row-wise text work is bound by the processor.  A table of many splits stays as it is.
+    Row-wise text work is bound by the processor.  A table of ``SMALL_SPLITS`` splits or
+    more is never shuffled for this.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    wanted = min(table.sparkSession.sparkContext.defaultParallelism, SMALL_SPLITS)
+    return table.repartition(wanted) if table.rdd.getNumPartitions() < wanted else table
 
 
 # ---- tweets -----------------------------------------------------------------------

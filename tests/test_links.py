@@ -37,16 +37,31 @@ def test_forum_rules(spark):
 
 def test_user_functions_of_a_rule(spark):
     rules = (
-        links.Rule("menu", links.by_class("navLinks"), process_value=lambda c: F.upper(c),
+        links.Rule("menu", links.by_class("navLinks"), process_value=str.upper,
                    process_links=lambda df: df.where("link_text <> 'Forum'"),
                    callback=lambda pages: pages.select("url", "city", F.length("html").alias("size"))),
         links.Rule("more", links.by_class("pgLinks")))
-    pages = table(spark, (BASE + "/d", LIST, "rome"), (BASE.upper() + "/H.HTML", "abc", None))
+    pages = table(spark, (BASE + "/d", LIST, "rome"), (BASE + "/H.HTML", "abc", None))
     found = links.requests(pages, rules, process_request=lambda df: df.withColumn("priority", F.lit(1)))
     assert {(r.rule, r.link, r.priority) for r in found.collect()} == {
-        (0, BASE.upper() + "/H.HTML", 1), (1, BASE + "/t?p=2", 1)}
+        (0, BASE + "/H.HTML", 1), (1, BASE + "/t?p=2", 1)}
     called = links.run_callbacks(found, pages, rules)
-    assert [tuple(r) for r in called["menu"].collect()] == [(BASE.upper() + "/H.HTML", "rome", 3)]
+    assert [tuple(r) for r in called["menu"].collect()] == [(BASE + "/H.HTML", "rome", 3)]
+
+
+def test_links_in_comparable_form():
+    form = lambda value: links.followable("http://A.org/d/p", value)
+    assert form(" q.html#top ") == "http://a.org/d/q.html"
+    assert form("/x?b=2&a=1&c=") == "http://a.org/x?a=1&b=2&c="
+    assert form("https://B.org") == "https://b.org/"
+    assert [form(v) for v in ("javascript:go()", "mailto:a@b", "/pic.JPG", "http://[bad")] == [None] * 4
+
+
+def test_base_element_and_dropped_values(spark):
+    html = '<base href="http://b.org/r/"><div class="m"><a href="x">X</a><a href="y">Y</a></div>'
+    rules = (links.Rule("m", links.by_class("m"), process_value=lambda v: None if v == "y" else v),)
+    got = links.page_links(table(spark, ("http://a.org/", html, None)), rules).collect()
+    assert [(r.link, r.link_text) for r in got] == [("http://b.org/r/x", "X")]
 
 
 def test_first_seen_is_idempotent(spark):

@@ -54,7 +54,7 @@ def test_reviews(spark):
 THREAD = """<h1 id="HEADING">\nBest food?\n</h1>
 <div class="post a"><div class="postDate"><span>Jan 3, 2016, 7:05 PM</span></div><div class="location">Rome</div>
 <div class="postBody"><p>Line one
-two</p><p><i>x</i>y</p></div></div>
+two</p><p><i>x</i>y &lt;3 &amp;</p></div></div>
 <div class="post"><div class="postDate">bad date</div><div class="postBody">z</div></div>
 <div class="postcard"><div class="postBody">no</div></div>"""
 
@@ -62,7 +62,7 @@ two</p><p><i>x</i>y</p></div></div>
 def test_threads(spark):
     got = pages.thread_items(page_table(spark, ("u", THREAD, "rome"))).orderBy("position").collect()
     assert [(r.title, r.text, r.geo, r.date) for r in got] == [
-        ("Best food?", "Line onetwoxy", "Rome", datetime(2016, 1, 3, 19, 5)), ("Best food?", "z", None, None)]
+        ("Best food?", "Line onetwoxy &lt;3 &amp;", "Rome", datetime(2016, 1, 3, 19, 5)), ("Best food?", "z", None, None)]
 
 
 def test_detail_requests_need_ids_and_a_property_url(spark):
