@@ -36,7 +36,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cpus": int(cpus)}))
+        "queries": times, "sf": float(folder.rstrip("/").rsplit("sf", 1)[-1]), "cpus": int(cpus)}))
 
 
 if __name__ == "__main__":

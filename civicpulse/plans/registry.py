@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
 from ..operators import bayes, geo, links, match, pages, stats
-from ..params import Parameters
 from ..session import run_dir
 from ..sources import readers, writers
 from ..streaming import ingest

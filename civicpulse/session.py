@@ -14,7 +14,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Pages and long posts travel to Python in small Arrow batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Location dictionaries of past stream batches are removed with their tables.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -1,5 +1,3 @@
-import tempfile
-
 import pytest
 
 from civicpulse.session import build_session
