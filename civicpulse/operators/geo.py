@@ -44,7 +44,7 @@ def with_place_key(df: DataFrame, location: str = "geo") -> DataFrame:
 def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """``place_key, geoname_id`` of the most populous place containing each key.
 
-    ``locations`` holds distinct, non-null ``place_key`` values; its other columns stay.
+    ``locations`` holds distinct, non-null ``place_key`` values.
     """
     lengths = locations.agg(F.collect_set(F.length("place_key")).alias("lengths"))
     names = (
@@ -65,55 +65,59 @@ def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return found.withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
 
 
+def location_counts(df: DataFrame, location: str = "geo") -> DataFrame:
+    """``place_key, n``: the distinct locations and how many rows have each."""
+    return (
+        with_place_key(df, location).where(F.col("place_key").isNotNull())
+        .groupBy("place_key").agg(F.count(F.lit(1)).alias("n")))
+
+
 def location_dictionary(
-    df: DataFrame, gazetteer: DataFrame, continents: DataFrame, location: str = "geo"
+    locations: DataFrame, gazetteer: DataFrame, continents: DataFrame
 ) -> DataFrame:
-    """``place_key, n, geo_city, geo_country, geo_continent`` of the locations of ``df``.
+    """``place_key, geo_city, geo_country, geo_continent`` of distinct locations.
 
-    Every distinct location is resolved once, however many posts share it; misses are
-    absent.  ``n`` is the number of rows with the location.
+    Every location is resolved once, however many posts share it; misses are absent.
     """
-    counts = (
-        with_place_key(df, location).where(F.col("place_key").isNotNull())
-        .groupBy("place_key").agg(F.count(F.lit(1)).alias("n"))
-        # Always true; it keeps ``n``, and so one plan, for all uses of the counts.
-        .where("n > 0"))
     places = gazetteer.select(
         "geoname_id", F.col("asciiname").alias("geo_city"),
         F.col("country_code").alias("geo_country"))
     dimension = broadcast_if_small(continents.select(
         F.col("country_code").alias("geo_country"), F.col("continent").alias("geo_continent")))
     return (
-        best_places(counts, gazetteer)
+        best_places(locations.select("place_key"), gazetteer)
         .join(places, "geoname_id")
         .join(dimension, "geo_country", "left")
-        .select("place_key", "n", "geo_city", "geo_country", "geo_continent"))
+        .select("place_key", "geo_city", "geo_country", "geo_continent"))
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, location: str = "geo") -> DataFrame:
+def enrich_locations(
+    df: DataFrame,
+    gazetteer: DataFrame,
+    continents: DataFrame,
+    location: str = "geo",
+    source: DataFrame | None = None,
+) -> DataFrame:
     """Replace the raw location by a ``geo`` struct of city, country and continent.
 
     No location gives three nulls; a location without a match keeps its raw text as city.
+    ``source`` is a cheaper table with the same locations to count them in.
     """
     shared_dir(df.sparkSession)
-    # Written once: its size decides the join, and no later stage resolves it again.
-    stored = dictionary.checkpoint()
-    names = stored.drop("n")
-    size = stored.agg(F.sum(F.octet_length("place_key") + ROW_BYTES)).first()[0] or 0
+    # Both are written once: no later stage counts or resolves again, and the size of the
+    # dictionary is known before the join.
+    counts = location_counts(df if source is None else source, location).checkpoint()
+    names = location_dictionary(counts, gazetteer, continents).checkpoint()
+    size = names.agg(F.sum(F.octet_length("place_key") + ROW_BYTES)).first()[0] or 0
     keyed = with_place_key(df, location)
     if size <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(names), "place_key", "left")
     else:
-        joined = salted_join(keyed, names, "place_key", hot_keys(stored, "place_key"), "left")
+        # Hot keys come from the counts, because a frequent location may have no match.
+        joined = salted_join(keyed, names, "place_key", hot_keys(counts, "place_key"), "left")
     raw = F.nullif(F.col(location), F.lit(""))
     return joined.withColumn("geo", F.struct(
         F.coalesce("geo_city", raw).alias("city"),
         F.col("geo_country").alias("country"),
         F.col("geo_continent").alias("continent"),
     )).drop("place_key", "geo_city", "geo_country", "geo_continent")
-
-
-def enrich_locations(
-    df: DataFrame, gazetteer: DataFrame, continents: DataFrame, location: str = "geo"
-) -> DataFrame:
-    return apply_dictionary(df, location_dictionary(df, gazetteer, continents, location), location)

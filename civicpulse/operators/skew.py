@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+HOT_SHARE = 0.001
 SALTS = 64
 SMALL_ROWS = 10_000
 
@@ -20,10 +20,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", limit: int = HOT_KEYS) -> DataFrame:
-    """Hashes of the ``limit`` most frequent keys: 8 bytes each, so always small."""
-    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc(n), key).limit(limit)
-    return top.select(F.xxhash64(key).alias("hot_hash"))
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> DataFrame:
+    """Hashes of the keys that hold at least ``share`` of all rows.
+
+    There are at most ``1 / share`` of them, 8 bytes each, so the result is always small.
+    """
+    total = counts.agg(F.sum(n)).scalar()
+    held = F.col(key).isNotNull() & (F.col(n) >= total * share)
+    return counts.where(held).select(F.xxhash64(key).alias("hot_hash"))
 
 
 def salted_join(

@@ -74,9 +74,8 @@ def to_posts(
             items = items.withColumn(
                 row_key, F.concat_ws(":", "_metadata.file_name", "_metadata.row_index"))
     labelled = bayes.classify(items, model, row_key, tokens=tokens)
-    # Only the location column of the items is read for the dictionary.
-    places = geo.location_dictionary(items, gazetteer, continents)
-    labelled = geo.apply_dictionary(labelled, places)
+    # Only the location column of the items is read to count the locations.
+    labelled = geo.enrich_locations(labelled, gazetteer, continents, source=items)
     if "cities" in labelled.columns:
         labelled = labelled.withColumn("city", F.explode("cities"))
     extra = [key] if key else []

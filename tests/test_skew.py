@@ -11,7 +11,8 @@ def test_salted_join_equals_plain_join(spark, how):
         .otherwise((F.col("id") % 50).cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("1", 2), ("2", 3), ("2", 4), (None, 5)], "k string, v int")
     counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    hot = skew.hot_keys(counts, "k", limit=2)
+    hot = skew.hot_keys(counts, "k", share=0.3)
+    assert hot.count() == 1
     salted = skew.salted_join(left, right, "k", hot, how, salts=5)
     plain = left.join(right, "k", how)
     key = lambda r: (r["id"], r["k"] or "", r["v"] or 0)
