@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from civicpulse.plans.oracles import ORACLES
+from civicpulse.plans.registry import QUERIES
 from tests.check import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,10 +18,10 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, FOLDER, name) is None
 
