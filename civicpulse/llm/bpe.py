@@ -264,7 +264,8 @@ def decode_chunks(token: dict[int, bytes], ids: Iterable[int]) -> Iterator[bytes
 def decode_text(token: dict[int, bytes], ids: Iterable[int]) -> str:
     """Text of the tokens, streamed; bytes that are no UTF-8 become U+FFFD."""
     stream = Utf8Stream()
-    return "".join(chain(map(stream.feed, decode_chunks(token, ids)), [stream.close()]))
+    done = "".join(map(stream.feed, decode_chunks(token, ids)))
+    return done + stream.close()
 
 
 COMPILED: dict[bytes, Transducer] = {}
