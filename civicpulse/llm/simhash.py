@@ -79,9 +79,9 @@ def forest(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     out = []
 
     def link(i: int, j: int) -> None:
-        i, j = root(i), root(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
             out.append((i, j))
 
     free = int(np.bitwise_or.reduce(values ^ values[0]))
