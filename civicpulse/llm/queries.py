@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, cube, simhash, urlrules
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,5 +21,33 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) AS fingerprint", "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
-SQL: dict[str, str] = {}
+def op7_cube(spark: SparkSession, folder: str) -> DataFrame:
+    return cube.mixed(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+#: Host, path and verdict of the url rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judged(table(spark, folder, "pages"), rules)
+
+
+OP9_SQL = r"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {rules}),
+cut AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+hosts AS (SELECT page_id, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path, row_number() OVER () AS n FROM cut),
+fit AS (SELECT h.*, r_host || r_path AS rule, r_verdict,
+  row_number() OVER (PARTITION BY n ORDER BY length(r_host || r_path) DESC NULLS LAST) AS place
+  FROM hosts h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fit WHERE place = 1
+""".format(rules=", ".join(str(r) for r in URL_RULES))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op7_cube": op7_cube, "op9_urls": op9_urls}
+SQL: dict[str, str] = {"op9_urls": OP9_SQL}
