@@ -47,7 +47,14 @@ class Store:
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows counted in ``n``: at most 1 / share rows."""
+    """Keys that hold at least ``share`` of all rows counted in ``n``: at most 1 / share rows.
+
+    Where there are no more keys than that, all of them.
+    """
+    if len(counts.limit(int(1 / share) + 1).select(n).collect()) <= 1 / share:
+        out = counts.select(*keys)
+        out.all_keys = True
+        return out
     total = counts.agg(F.sum(n)).first()[0] or 0
     return counts.where(F.col(n) >= max(2.0, total * share)).select(*keys)
 
@@ -61,10 +68,12 @@ def even_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataF
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    hot = hot.distinct()
     few = right.join(F.broadcast(hot), keys, "left_semi").select(
         *keys, F.struct(*values).alias("_hot"))
-    marked = left.join(F.broadcast(few), keys, "left")
+    marked = left.join(F.broadcast(few), keys, how if getattr(hot, "all_keys", False) else "left")
+    columns = [F.col(c) for c in left.columns]
+    if getattr(hot, "all_keys", False):
+        return marked.select(*columns, *[F.col(f"_hot.{c}").alias(c) for c in values])
     # Hot and null keys find nothing in the second join; random numbers of their row spread them.
     alone = F.col("_hot").isNotNull()
     for key in keys:
@@ -76,7 +85,6 @@ def even_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataF
     found = F.coalesce("_hot", "_rest")
     if how == "inner":
         joined = joined.where(F.coalesce(F.col("_hot").isNotNull(), F.lit(False)) | F.col("_rest").isNotNull())
-    columns = [F.col(c) for c in left.columns]
     return joined.withColumn("_found", found).select(*columns, *[F.col(f"_found.{c}").alias(c) for c in values])
 
 

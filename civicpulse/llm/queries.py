@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cube, simhash, urlrules
+from . import bpe, cube, gam, outliers, preference, simhash, urlrules
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,5 +49,18 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 """.format(rules=", ".join(str(r) for r in URL_RULES))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op7_cube": op7_cube, "op9_urls": op9_urls}
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_preference(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.preferences(preference.earlier_answer_pairs(table(spark, folder, "conversations")))
+
+
+def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judged(table(spark, folder, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op7_cube": op7_cube, "op8_preference": op8_preference,
+           "op10_outliers": op10_outliers, "op9_urls": op9_urls}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}

@@ -65,7 +65,7 @@ def test_large_source_in_blocks_and_odd_rows(spark):
     many = spark.range(9000).selectExpr(
         "id AS doc_id", "repeat('w ', int(id % 37)) AS text", "if(id % 3 = 0, 'big', string(id % 5)) AS source", "1 AS size")
     odd = spark.createDataFrame(
-        [(None, None, None, 1)] * 3 + [(5, "a b", None, 2)] * 2500 + [(None, "", "é", 3)], many.schema)
+        [(None, None, None, 1)] * 3 + [(5, "a b", None, 2)] * 2500 + [(None, "", "é", 3)], "doc_id long, text string, source string, size int")
     docs = many.unionByName(odd)
     rows = mixed(docs).collect()
     assert len(rows) == docs.count()
