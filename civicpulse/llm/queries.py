@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, cube, gam, outliers, preference, simhash, urlrules
+from . import bpe, cube, gam, lines, outliers, phrases, preference, simhash, urlrules
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,6 +62,16 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op7_cube": op7_cube, "op8_preference": op8_preference,
+def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicated(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.deduplicated(table(spark, folder, "documents"), window=35).drop("kept")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lines": op4_lines,
+           "op5_phrases": op5_phrases, "op7_cube": op7_cube, "op8_preference": op8_preference,
            "op10_outliers": op10_outliers, "op9_urls": op9_urls}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
