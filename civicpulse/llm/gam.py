@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,3 +207,20 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: i
     out = rows.mapInArrow(run, schema)
     return out.select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def passing(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The documents, whole rows, whose score is at least ``threshold``.
+
+    The model is that of ``scored``; texts are scored where they are read, so no text is
+    shuffled but those of labelled documents.
+    """
+    marks = labels.where("quality IN (0, 1)").select("doc_id").distinct()
+    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(learnt(featured(marked), labels, sample))
+
+    def score(column: pd.Series) -> pd.Series:
+        rows = [features((t or "").encode()) for t in column]
+        return pd.Series(model.value.score(np.array(rows).reshape(-1, len(FEATURES))))
+
+    return docs.where(F.pandas_udf(score, "double")(F.col("text")) >= threshold)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cube, gam, lines, outliers, phrases, preference, simhash, urlrules
+from . import bpe, cube, gam, hnsw, lines, outliers, phrases, preference, simhash, urlrules
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -71,7 +71,11 @@ def op5_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.deduplicated(table(spark, folder, "documents"), window=35).drop("kept")
 
 
+def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lines": op4_lines,
-           "op5_phrases": op5_phrases, "op7_cube": op7_cube, "op8_preference": op8_preference,
+           "op5_phrases": op5_phrases, "op6_embeddings": op6_embeddings, "op7_cube": op7_cube, "op8_preference": op8_preference,
            "op10_outliers": op10_outliers, "op9_urls": op9_urls}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
