@@ -71,7 +71,7 @@ def later_places(docs: DataFrame, run: int, store: Store) -> DataFrame:
     by the hashes of the windows that hold it.
     """
     rows = store.put(line_runs(docs, run))
-    hits = recurring(rows)
+    hits = recurring(rows, store)
     found = store.put(windows(rows.drop("runs").join(hits, ["k1", "k2"]), run))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "place")
     first = store.put(found.groupBy("w1", "w2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))

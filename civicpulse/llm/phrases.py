@@ -26,7 +26,7 @@ from .common import Hashes, Store, even_join, hot_keys, row_key, sequence_hashes
 from .winnow import RUN, recurring, runs
 
 #: Words of a fingerprinted sequence.
-GRAM = 16
+GRAM = 8
 #: A fingerprint that occurs more often is split: its windows are dealt by their own hash.
 COMMON = 1000
 #: Stretches of one automaton, and of one shard.
@@ -162,7 +162,7 @@ def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
         raise ValueError("a window has at least two words")
     store = Store(docs.sparkSession, "phrases")
     rows = store.put(word_runs(docs, window))
-    hits = recurring(rows)
+    hits = recurring(rows, store)
     keyed = docs.select("text", *row_key())
     suspects = store.put(keyed.join(hits, ["k1", "k2"]))
     found = store.put(stretches(suspects, window).withColumn("content", F.xxhash64("words")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import even_join, hot_keys, sliding_min
+from .common import Store, even_join, hot_keys, sliding_min
 
 #: A fingerprint with the windows that chose it: first, last, and how often it counts.
 RUN = T.StructType([
@@ -42,14 +42,13 @@ def runs(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return chosen.view(np.int64), first.astype(np.int32), last.astype(np.int32), weight.astype(np.int32)
 
 
-def recurring(rows: DataFrame) -> DataFrame:
+def recurring(rows: DataFrame, store: Store) -> DataFrame:
     """Per text (``k1, k2``) the runs whose fingerprint occurs more than once in all texts.
 
     ``rows`` has ``k1, k2, runs``.  Counts are summed before they are shuffled; positions
     meet the counts evenly, however often a fingerprint occurs.
     """
-    each = rows.select("k1", "k2", F.explode("runs").alias("run")).select("k1", "k2", "run.*")
-    counts = each.groupBy("a").agg(F.sum("w").alias("n")).where("n > 1")
-    total_share = hot_keys(counts, ["a"], "n")
-    met = even_join(each, counts, ["a"], total_share)
+    each = rows.select("k1", "k2", F.explode("runs").alias("run"))
+    counts = store.put(each.groupBy("run.a").agg(F.sum("run.w").alias("n")).where("n > 1"))
+    met = even_join(each.select("k1", "k2", "run.a", "run.first", "run.last"), counts, ["a"], hot_keys(counts, ["a"], "n"))
     return met.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "first", "last", "n")).alias("hits"))
