@@ -1,20 +1,20 @@
 """Regular expressions and word lists that results depend on."""
 
 # Token alternatives in order of precedence.  ``\p{L}\p{N}_`` stands for
-# a Unicode word character.  All of them are matched case-insensitively.
-PHONE = r"(?:\+?[01][\-\s.]*)?(?:[(]?\d{3}[\-\s.)]*)?\d{3}[\-\s.]*\d{4}"
+# a Unicode word character, ``\p{Nd}`` for a digit, ``\s\p{Z}`` for white space.  All of them are matched case-insensitively.
+PHONE = r"(?:\+?[01][\-\s\p{Z}.]*)?(?:[(]?\p{Nd}{3}[\-\s\p{Z}.)]*)?\p{Nd}{3}[\-\s\p{Z}.]*\p{Nd}{4}"
 EMOTICON = (
     r"[<>]?[:;=8][\-o*']?[)\](\[dp/:}{@|\\]+"
     r"|[)\](\[dp/:}{@|\\]+[\-o*']?[:;=8][<>]?"
 )
-WEB_ADDRESS = r"(?:https?://)?[\da-z.\-]+\.[a-z.]{2,6}[/\p{L}\p{N}_.\-]*/?"
+WEB_ADDRESS = r"(?:https?://)?[\p{Nd}a-z.\-]+\.[a-z.]{2,6}[/\p{L}\p{N}_.\-]*/?"
 MARKUP_TAG = r"<[^>]+>"
 USER_NAME = r"@[\p{L}\p{N}_]+"
 HASHTAG = r"#+[\p{L}\p{N}_]+[\p{L}\p{N}_'\-]*[\p{L}\p{N}_]+"
 JOINED_WORD = r"[a-z][a-z'\-_]+[a-z]"
-NUMBER = r"[+\-]?\d+[,/.:\-]\d+[+\-]?"
+NUMBER = r"[+\-]?\p{Nd}+[,/.:\-]\p{Nd}+[+\-]?"
 WORD = r"[\p{L}\p{N}_]+"
-ELLIPSIS = r"\.(?:\s*\.)+"
+ELLIPSIS = r"\.(?:[\s\p{Z}]*\.)+"
 ANY_SYMBOL = r"[^\s\p{Z}]"
 
 # Fixed value: the mark that replaces a web address.

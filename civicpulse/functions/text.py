@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 
-PAIR_SEPARATOR = "\u0001"
+# Stands between the tokens of a pair; within a token it and ESCAPE are written as ESCAPE and a digit.
+PAIR_SEPARATOR, ESCAPE = "\u0001", "\u0002"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -132,19 +133,32 @@ def strip_hash_lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("#"), F.lit("")))
 
 
+def escaped(token: Column) -> Column:
+    """The token without the separator of pairs; different tokens stay different."""
+    first = F.replace(token, F.lit(ESCAPE), F.lit(ESCAPE + "2"))
+    return F.replace(first, F.lit(PAIR_SEPARATOR), F.lit(ESCAPE + "1"))
+
+
 def adjacent_pairs(tokens: Column) -> Column:
-    """Pairs of neighbours as one string; the separator never occurs in a token."""
+    """Pairs of neighbours, ``first`` and ``second``."""
     def pairs(t):
         n = F.greatest(F.size(t) - 1, F.lit(0))
         return F.zip_with(
-            F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(PAIR_SEPARATOR), b))
+            F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
 
     return bind(tokens, pairs)
 
 
 def features_of(tokens: Column) -> Column:
     """The set of single tokens and neighbour pairs."""
-    return bind(tokens, lambda t: F.array_distinct(F.concat(t, adjacent_pairs(t))))
+    def both(t):
+        plain = F.transform(t, escaped)
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        pairs = bind(plain, lambda p: F.zip_with(
+            F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.concat(a, F.lit(PAIR_SEPARATOR), b)))
+        return F.array_distinct(F.concat(plain, pairs))
+
+    return bind(tokens, both)
 
 
 def feature_map(tokens: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import PAIR_SEPARATOR, adjacent_pairs, features_of, tokenize
+from ..functions.text import adjacent_pairs, features_of, tokenize
 from .skew import hot_keys, salted_join
 
 NANO = 1_000_000_000
@@ -99,9 +99,8 @@ def pair_counts(
 ) -> DataFrame:
     """``first, second, n``: how often two tokens are neighbours."""
     pairs = df.select(F.explode_outer(adjacent_pairs(tokens(F.col(text)))).alias("pair"))
-    counted = pairs.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    both = F.split("pair", PAIR_SEPARATOR)
-    return counted.select(both[0].alias("first"), both[1].alias("second"), "n")
+    return pairs.where(F.col("pair").isNotNull()).groupBy(
+        F.col("pair.first").alias("first"), F.col("pair.second").alias("second")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def label_counts(df: DataFrame, label: str = "label") -> tuple[tuple[str, int], ...]:

@@ -121,14 +121,17 @@ def forum_items(pages: DataFrame, cities=FORUM_CITIES, as_of: Column | None = No
 
 
 def review_items(pages: DataFrame) -> DataFrame:
-    """Reviews with a date; those without any are dropped."""
+    """Reviews with a date text; those without any are dropped.
+
+    A date text that does not parse leaves ``date`` null; see ``undated``.
+    """
     marked = pages.where(F.contains("html", F.lit("expanded_review")))
     return map_pages(marked, review_rows, RAW_ITEM).select(
         "url", "position", "city", text.clean_review_text(F.col("title")).alias("title"),
         text.clean_review_text(F.col("text")).alias("text"), "geo",
         dates.review_date(F.col("date_title"), F.col("date_text")).alias("date"),
         F.coalesce(F.nullif("date_title", F.lit("")), "date_text").alias("date_text"),
-    ).where(F.col("date").isNotNull())
+    ).where(F.coalesce(F.trim("date_text"), F.lit("")) != "")
 
 
 def thread_items(pages: DataFrame) -> DataFrame:
@@ -139,6 +142,11 @@ def thread_items(pages: DataFrame) -> DataFrame:
         dates.post_date(F.col("date_text")).alias("date"), "date_text")
 
 
+def dated(items: DataFrame) -> DataFrame:
+    """Items whose date is known."""
+    return items.where(F.col("date").isNotNull())
+
+
 def undated(items: DataFrame) -> DataFrame:
     """Items whose date text did not parse: the quarantine of an extraction."""
     return items.where(F.col("date").isNull())

@@ -41,8 +41,8 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join on ``key`` that splits hot and null keys of ``left``.
 
-    A left row of a hot key gets one of ``salts`` salts from a hash of ``spread_by`` (all
-    its columns by default), the matching right rows are repeated once per salt.  Rows
+    A left row of a hot key gets one of ``salts`` salts, in turn within its task or from a
+    hash of ``spread_by``; rows that are equal get different ones in turn.  The matching right rows are repeated once per salt.  Rows
     with a null key match nothing and are only spread.  ``how`` is inner or left.
     """
     if how not in ("inner", "left"):
@@ -53,7 +53,8 @@ def salted_join(
         return df.join(marks, F.xxhash64(df[key]) == marks["hot_hash"], "left")
 
     is_hot = F.col("hot_hash").isNotNull()
-    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int")
+    number = F.xxhash64(*spread_by) if spread_by else F.monotonically_increasing_id()
+    spread = F.pmod(number, F.lit(salts)).cast("int")
     salted_left = marked(left).withColumn(
         "salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(0)).drop("hot_hash")
     all_salts = F.array(*[F.lit(i) for i in range(salts)])

@@ -20,7 +20,6 @@ TRACK_CITIES = ("the of", "la", "der")
 LANGUAGES = ("en", "fr", "de")
 TOPIC_CITIES = ("The", "to the", "Is", "la", "t")
 DOMAINS = ("example.org", "thther.example.com")
-MAX_DEPTH = 8
 
 # A few words become hashtags, because the documents hold none.
 TRACK_TEXT = "replace(replace(text, ' and ', ' #and '), ' est ', ' #Est ')"
@@ -103,7 +102,7 @@ class Tables:
         return self.orders.select(
             F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("src"),
             F.concat(F.lit("c/"), ((F.col("o_orderkey") * 7 + 13) % n).cast("string")).alias("dst"),
-        ).where("o_orderstatus = 'P'")
+        )
 
 
 def escaped(column: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from .inputs import (
-    CITIES, DOMAINS, HASHTAGS, LABEL, LANGUAGES, LOCATION, MAX_DEPTH, PHRASE_CITIES, RESOURCE, SENTIMENT,
+    CITIES, DOMAINS, HASHTAGS, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
     SITE_SECTION, TOPIC_CITIES, TOWN, TRACK_CITIES, TRACK_TEXT,
 )
 
@@ -267,13 +267,13 @@ ORACLES: dict[str, str] = {
                  {SITE} || '/Search?q=' || replace(lower(n_name), '_', '+') AS url FROM nation),
         edge AS (
           SELECT 'c/' || o_custkey AS src, 'c/' || ((o_orderkey * 7 + 13) % (SELECT count(*) FROM customer)) AS dst
-          FROM orders WHERE o_orderstatus = 'P'
-          UNION SELECT url, 'c/' || n_nationkey FROM names WHERE n_nationkey % 3 = 0),
-        reach(url, city, depth) AS (
+          FROM orders
+          UNION SELECT url, 'c/' || n_nationkey FROM names),
+        reach(url, city, depth) USING KEY (url) AS (
           SELECT url, city, 0 FROM names
-          UNION SELECT dst, city, depth + 1 FROM reach JOIN edge ON src = url WHERE depth < {MAX_DEPTH})
-        SELECT url, min(city) AS city, min(depth) AS depth FROM (
-          SELECT *, min(depth) OVER (PARTITION BY url) AS first_depth FROM reach) WHERE depth = first_depth GROUP BY url""",
+          UNION SELECT dst, min(city), min(depth) + 1 FROM reach JOIN edge ON src = url
+          WHERE dst NOT IN (SELECT url FROM recurring.reach) GROUP BY dst)
+        SELECT url, city, depth FROM reach""",
     "search_urls": f"""SELECT n_nationkey, {SITE} || '/Search?q=' || replace(replace(lower(n_name), '_', ' ') || ' city', ' ', '+') AS url,
           replace(lower(n_name), '_', ' ') || ' city' AS city, split_part(lower(n_name), '_', 1) AS city_strict FROM nation
         UNION ALL SELECT CAST(page_id AS INTEGER), url, NULL, NULL FROM pages""",

@@ -27,12 +27,20 @@ def tweet_items(tweets: DataFrame, params: Parameters, phrase_match: bool = Fals
 def review_site_items(
     property_pages: DataFrame, thread_pages: DataFrame, persist_reviews: bool = True
 ) -> DataFrame:
-    """Items of a review site: forum posts, and its reviews unless switched off."""
+    """Items of a review site: forum posts, and its dated reviews unless switched off.
+
+    Reviews whose date text does not parse are in ``undated_reviews``.
+    """
     columns = ("city", "text", "geo", "date")
     posts = pages.thread_items(thread_pages).select(*columns)
     if not persist_reviews:
         return posts
-    return pages.review_items(property_pages).select(*columns).unionByName(posts)
+    return pages.dated(pages.review_items(property_pages)).select(*columns).unionByName(posts)
+
+
+def undated_reviews(property_pages: DataFrame) -> DataFrame:
+    """Quarantine: reviews with a date text that is no date, as extracted."""
+    return pages.undated(pages.review_items(property_pages))
 
 
 def forum_site_items(

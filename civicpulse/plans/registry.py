@@ -14,7 +14,7 @@ from ..sources import readers, writers
 from ..streaming import ingest
 from . import posts as flow
 from .inputs import (
-    CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, MAX_DEPTH, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
+    CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
     TRACK_CITIES, TRACK_TEXT, Tables, escaped,
 )
 
@@ -262,10 +262,10 @@ def domain_filter(t):
 def city_propagation(t):
     seeds = links.seed_cities(t.nation.select(
         urls.search_url(F.lower(F.replace("n_name", F.lit("_"), F.lit(" ")))).alias("url"), "n_nationkey"))
-    start = t.nation.where("n_nationkey % 3 = 0").select(
+    start = t.nation.select(
         urls.search_url(F.lower(F.replace("n_name", F.lit("_"), F.lit(" ")))).alias("src"),
         F.concat(F.lit("c/"), F.col("n_nationkey").cast("string")).alias("dst"))
-    return links.propagate_cities(seeds, t.edges().unionByName(start), MAX_DEPTH)
+    return links.propagate_cities(seeds, t.edges().unionByName(start))
 
 
 @query
@@ -335,7 +335,7 @@ def review_posts(t):
         F.lit('</span><div class="entry"><p>'), F.col("body"), F.lit("<p>second<b>bold</b>part</div></div>"))
     listed = t.documents.select("doc_id", "lang", escaped("text").alias("body")).select(
         F.col("doc_id").cast("string").alias("url"), page.alias("html"), F.col("lang").alias("city"))
-    return pages.review_items(listed).select(
+    return pages.dated(pages.review_items(listed)).select(
         F.col("url").alias("doc_id"), "city", "title", "text", "geo", stamp("date").alias("date"))
 
 
@@ -449,11 +449,11 @@ def stream_posts(t):
 
 @query
 def stream_dedupe(t):
-    """Users of the event stream, each once, with state bounded by event time."""
+    """Users of the event stream, each once however late a row comes."""
     source = t.spark.readStream.schema(t.events.schema).option(
         "pathGlobFilter", "events.parquet").parquet(t.folder)
     folder = run_dir(t.spark, "stream")
-    users = ingest.dedupe_stream(source, "user_id", "ts", "3650 days").select("user_id")
+    users = ingest.dedupe_stream(source, "user_id").select("user_id")
     (users.writeStream.format("parquet").option("path", f"{folder}/users")
      .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination())
     return t.spark.read.parquet(f"{folder}/users")

@@ -144,11 +144,11 @@ def read_posts(spark: SparkSession, path: str, resource: str | None = None) -> D
 
 
 def load_model(spark: SparkSession, models_dir: str, data_source: str) -> Model | None:
-    """A saved model, or None if this source has none."""
+    """The latest saved version of a model, or None if this source has none."""
     path = f"{models_dir}/{data_source}"
     try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        features = spark.read.parquet(f"{path}/features")
+        meta = spark.read.parquet(f"{path}/meta").orderBy(F.desc("version")).first()
+        features = spark.read.parquet(f"{path}/features-{meta['version']}")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,14 @@ def write_stats(documents: DataFrame, path: str) -> None:
 
 
 def save_model(model: Model, models_dir: str, data_source: str) -> None:
-    """Save the features, the long likelihood's source, and one row of metadata.
+    """Save a new version: its features in a folder of their own, then one row of metadata.
 
-    The metadata goes last: a model without it does not load.
+    The row is appended last and names the folder, so until then the version before loads.
     """
-    path = f"{models_dir}/{data_source}"
+    path, version = f"{models_dir}/{data_source}", f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     spark = model.features.sparkSession
-    model.features.write.mode("overwrite").parquet(f"{path}/features")
-    saved = spark.read.parquet(f"{path}/features")
+    model.features.write.parquet(f"{path}/features-{version}")
+    saved = spark.read.parquet(f"{path}/features-{version}")
     size = saved.agg(
         F.count(F.lit(1)).alias("n_features"),
         F.coalesce(F.sum(F.octet_length("feature")), F.lit(0)).alias("feature_bytes"))
@@ -40,4 +43,4 @@ def save_model(model: Model, models_dir: str, data_source: str) -> None:
         [(list(model.labels),)], "labels array<struct<label:string,n:bigint>>")
     # Two single rows.
     size.withColumn("one", F.lit(1)).join(labels.withColumn("one", F.lit(1)), "one").drop(
-        "one").write.mode("overwrite").parquet(f"{path}/meta")
+        "one").withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/meta")

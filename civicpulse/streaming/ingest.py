@@ -77,8 +77,10 @@ def dedupe_stream(
 ) -> DataFrame:
     """The first row of each key.
 
-    With ``time`` a key is remembered for ``delay`` of event time, which bounds the state;
-    without it, forever.
+    By default a key is remembered forever, and a row counts however late it comes.  With
+    ``time`` a key is remembered for ``delay`` of event time only, which bounds the state at
+    a price: rows older than the watermark are lost even if their key is new, and a key may
+    come again after the delay.
     """
     if time is None:
         return stream.dropDuplicates([key])

@@ -133,3 +133,19 @@ def test_too_many_labels_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(bayes, "MAX_LABELS", 2)
     with pytest.raises(ValueError):
         bayes.train(corpus(spark), tokens=TOKENS)
+
+
+def test_separator_as_a_token(spark):
+    odd = spark.createDataFrame([("alpha &#1; beta",), ("<a\u0001b> c",), ("<a b> c",)], "text string")
+    got = {(r["first"], r["second"]): r["n"] for r in bayes.pair_counts(odd).collect()}
+    assert got[("alpha", "\u0001")] == 1 and got[("\u0001", "beta")] == 1
+
+
+def test_a_stopped_save_leaves_the_version_before(spark, tmp_path):
+    corpus = spark.createDataFrame([("good fine", "positive"), ("bad poor", "negative")], "text string, label string")
+    writers.save_model(bayes.train(corpus), str(tmp_path), "m")
+    later = bayes.train(corpus.where("label = 'positive'"))
+    later.features.write.parquet(f"{tmp_path}/m/features-99999999999999999999-x")
+    assert dict(readers.load_model(spark, str(tmp_path), "m").labels) == {"positive": 1, "negative": 1}
+    writers.save_model(later, str(tmp_path), "m")
+    assert dict(readers.load_model(spark, str(tmp_path), "m").labels) == {"positive": 1}

@@ -119,3 +119,10 @@ def test_lineage_of_a_frontier_too_large_to_broadcast(spark, monkeypatch):
 def test_seeds_come_from_search_urls(spark):
     df = spark.createDataFrame([(BASE + "/Search?q=new+york+city",), (BASE + "/Hotels",)], "url string")
     assert [tuple(r) for r in links.seed_cities(df).collect()] == [(BASE + "/Search?q=new+york+city", "new york city")]
+
+
+def test_cities_reach_beyond_any_depth(spark):
+    chain = spark.range(30).selectExpr("'p' || id AS src", "'p' || (id + 1) AS dst")
+    seeds = spark.createDataFrame([("p0", "rome"), ("p20", "bonn")], "url string, city string")
+    got = {r["url"]: (r["city"], r["depth"]) for r in links.propagate_cities(seeds, chain).collect()}
+    assert len(got) == 31 and got["p19"] == ("rome", 19) and got["p30"] == ("bonn", 10)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from civicpulse.functions.markup import own_texts, parse
 from civicpulse.operators import pages
+from civicpulse.plans import posts
 from civicpulse.schemas import PAGE
 
 POST = """<table id="post{i}"><tr><td class="thead x"><div><span><span><b>{when}</b></span></span></div></td></tr>
@@ -48,7 +49,14 @@ def test_reviews(spark):
     got = pages.review_items(page_table(spark, ("u", REVIEWS, "boston"))).orderBy("position").collect()
     assert [(r.city, r.title, r.text, r.geo, r.date) for r in got] == [
         ("boston", "Nice one", "First second line", "Paris, France", datetime(2014, 4, 2)),
-        ("boston", None, "third", None, datetime(2013, 5, 12))]
+        ("boston", None, "third", None, datetime(2013, 5, 12)),
+        ("boston", None, "dropped", None, None)]  # by the dated items, not here
+    assert pages.dated(got_frame(spark)).count() == 2
+    assert [r.date_text for r in posts.undated_reviews(page_table(spark, ("u", REVIEWS, "boston"))).collect()] == ["Reviewed lately"]
+
+
+def got_frame(spark):
+    return pages.review_items(page_table(spark, ("u", REVIEWS, "boston")))
 
 
 THREAD = """<h1 id="HEADING">\nBest food?\n</h1>

@@ -43,3 +43,11 @@ def test_broadcast_hint_needs_a_small_table(spark):
 def test_other_join_kinds_are_refused(spark):
     with pytest.raises(ValueError):
         skew.salted_join(spark.range(1), spark.range(1), "id", spark.range(1), "right")
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    left = spark.range(100_000).selectExpr("if(id % 2 = 0, 'hot', NULL) AS k", "1 AS v")
+    right = spark.createDataFrame([("hot", 2)], "k string, w int")
+    hot = skew.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+    joined = skew.salted_join(left, right, "k", hot, "left")
+    assert joined.where("w = 2").count() == 50_000 and joined.count() == 100_000

@@ -48,7 +48,7 @@ def test_long_runs_do_not_overflow(spark):
 def test_fold_matches_a_plain_rendering(spark):
     samples = ["8)", ":-D", "=(((", "x:P", "Www.Example.com/a", "8", "18:30", "D:", "d.com", "p8", "...."]
     emoticon = re.compile(P.STARTS_WITH_EMOTICON)
-    address = re.compile(P.ADDRESS.replace(r"\p{L}\p{N}", r"\w"))
+    address = re.compile(P.ADDRESS.replace(r"\p{L}\p{N}", r"\w").replace(r"\p{Nd}", r"\d"))
     expected = ["".join(OrderedDict.fromkeys(s)) if emoticon.match(s) else address.sub("_url_", s.lower())
                 for s in samples]
     assert values(spark, samples, text.fold_token) == expected
@@ -96,3 +96,7 @@ def test_page_strings(spark):
     assert values(spark, ["a<br>\nb\tc"], text.clean_review_text) == ["ab\tc"]
     assert values(spark, ["\n Chicago | X\t"], text.clean_topic) == ["chicago | x"]
     assert values(spark, ["Posts: 1\nLocation: Oak Park\nx", "none"], text.location_label) == ["Oak Park", None]
+
+
+def test_digits_and_spaces_of_all_scripts(spark):
+    assert values(spark, ["\u0663/\u0664", ".\u00a0.", "\u0663-\u0664"], text.raw_tokens) == [["\u0663/\u0664"], [".\u00a0."], ["\u0663-\u0664"]]
