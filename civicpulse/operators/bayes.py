@@ -22,7 +22,6 @@ from ..functions.text import adjacent_pairs, features_of, tokenize
 from .skew import hot_keys, salted_join
 
 NANO = 1_000_000_000
-MAX_LABELS = 256
 # A model up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -65,8 +64,9 @@ class Model:
         return table.withColumn("logp", F.col("logp_nano") / NANO)
 
     def is_small(self) -> bool:
+        """Whether features and their weights, eight bytes a label, fit a broadcast."""
         return (self.n_features is not None and self.n_features <= BROADCAST_ROWS
-                and self.feature_bytes <= BROADCAST_BYTES)
+                and self.feature_bytes + 8 * len(self.labels) * self.n_features <= BROADCAST_BYTES)
 
 
 def nano(p: Column) -> Column:
@@ -104,10 +104,8 @@ def pair_counts(
 
 
 def label_counts(df: DataFrame, label: str = "label") -> tuple[tuple[str, int], ...]:
-    """The labels and their document counts; at most ``MAX_LABELS`` rows reach the driver."""
-    rows = relevant(df, label).groupBy(label).count().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels: is {label!r} the label column?")
+    """The labels and their document counts, one row per label."""
+    rows = relevant(df, label).groupBy(label).count().collect()
     return tuple(sorted((r[0], r[1]) for r in rows))
 
 

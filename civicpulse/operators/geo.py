@@ -41,12 +41,8 @@ def with_place_key(df: DataFrame, location: str = "geo") -> DataFrame:
     return df.withColumn("place_key", F.lower(clean_location(F.col(location))))
 
 
-def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``place_key, geoname_id`` of the most populous place containing each key.
-
-    ``locations`` holds distinct, non-null ``place_key`` values.
-    """
-    lengths = locations.agg(F.collect_set(F.length("place_key")).alias("lengths"))
+def name_parts(gazetteer: DataFrame, lengths: Column | None = None) -> DataFrame:
+    """``place_key, rank``: the substrings of all place names, or those of some ``lengths``."""
     names = (
         gazetteer
         .select(F.lower("name").alias("name"),
@@ -54,14 +50,22 @@ def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .where("name <> ''")
         .groupBy("name").agg(F.max("rank").alias("rank")))
     size = F.length("name")
-    parts = (
+    widths = F.sequence(F.lit(1), size)
+    return (
         names
-        .withColumn("width", F.explode(
-            F.array_intersect(lengths.scalar(), F.sequence(F.lit(1), size))))
+        .withColumn("width", F.explode(widths if lengths is None else F.array_intersect(lengths, widths)))
         .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("width") + 1)))
         .select(F.substring("name", F.col("start"), F.col("width")).alias("place_key"), "rank")
         .groupBy("place_key").agg(F.max("rank").alias("rank")))
-    found = locations.join(parts, "place_key")
+
+
+def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """``place_key, geoname_id`` of the most populous place containing each key.
+
+    ``locations`` holds distinct, non-null ``place_key`` values.
+    """
+    lengths = locations.agg(F.collect_set(F.length("place_key")).alias("lengths"))
+    found = locations.join(name_parts(gazetteer, lengths.scalar()), "place_key")
     return found.withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
 
 
@@ -72,42 +76,62 @@ def location_counts(df: DataFrame, location: str = "geo") -> DataFrame:
         .groupBy("place_key").agg(F.count(F.lit(1)).alias("n")))
 
 
-def location_dictionary(
-    locations: DataFrame, gazetteer: DataFrame, continents: DataFrame
-) -> DataFrame:
-    """``place_key, geo_city, geo_country, geo_continent`` of distinct locations.
-
-    Every location is resolved once, however many posts share it; misses are absent.
-    """
+def with_geography(keys: DataFrame, gazetteer: DataFrame, continents: DataFrame) -> DataFrame:
+    """``place_key, geo_city, geo_country, geo_continent`` of keys with a ``geoname_id``."""
     places = gazetteer.select(
         "geoname_id", F.col("asciiname").alias("geo_city"),
         F.col("country_code").alias("geo_country"))
     dimension = broadcast_if_small(continents.select(
         F.col("country_code").alias("geo_country"), F.col("continent").alias("geo_continent")))
     return (
-        best_places(locations.select("place_key"), gazetteer)
-        .join(places, "geoname_id")
+        keys.join(places, "geoname_id")
         .join(dimension, "geo_country", "left")
         .select("place_key", "geo_city", "geo_country", "geo_continent"))
 
 
+def location_dictionary(
+    locations: DataFrame, gazetteer: DataFrame, continents: DataFrame
+) -> DataFrame:
+    """``place_key, geo_city, geo_country, geo_continent`` of distinct locations.
+
+    Every location is resolved once, however many posts share it; misses are absent.
+    """
+    keys = best_places(locations.select("place_key"), gazetteer)
+    return with_geography(keys, gazetteer, continents)
+
+
+def place_index(gazetteer: DataFrame, continents: DataFrame) -> DataFrame:
+    """The dictionary of all locations that any place name contains.
+
+    Cutting all names costs the same for a few locations as for many, so a stream builds
+    and stores this table once and looks each batch's locations up in it.
+    """
+    keys = name_parts(gazetteer).withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
+    return with_geography(keys, gazetteer, continents)
+
+
 def enrich_locations(
     df: DataFrame,
     gazetteer: DataFrame,
     continents: DataFrame,
     location: str = "geo",
     source: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the raw location by a ``geo`` struct of city, country and continent.
 
     No location gives three nulls; a location without a match keeps its raw text as city.
-    ``source`` is a cheaper table with the same locations to count them in.
+    ``source`` is a cheaper table with the same locations to count them in; ``index`` a
+    stored ``place_index``, which then serves instead of the gazetteer.
     """
     shared_dir(df.sparkSession)
     # Both are written once: no later stage counts or resolves again, and the size of the
     # dictionary is known before the join.
     counts = location_counts(df if source is None else source, location).checkpoint()
-    names = location_dictionary(counts, gazetteer, continents).checkpoint()
+    if index is None:
+        names = location_dictionary(counts, gazetteer, continents).checkpoint()
+    else:
+        names = index.join(broadcast_if_small(counts.select("place_key")), "place_key").checkpoint()
     size = names.agg(F.sum(F.octet_length("place_key") + ROW_BYTES)).first()[0] or 0
     keyed = with_place_key(df, location)
     if size <= BROADCAST_BYTES:

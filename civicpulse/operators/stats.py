@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import RESOURCES
+from ..session import shared_dir
 
 SENTIMENTS = ("positive", "negative")
 ALL = "all"
 LEVELS = ("by_city", "by_country", "by_continent")
 GEO_COLUMNS = ("geo_city", "geo_country", "geo_continent")
 STAT_KEYS = ("resource", "city", "sentiment", "level", "geo")
-FILL_SALTS = 256
-VALUES_PER_DOCUMENT = 100_000
 
 
 def posts_of(posts: DataFrame, resource: str) -> DataFrame:
@@ -29,12 +28,10 @@ def posts_of(posts: DataFrame, resource: str) -> DataFrame:
 
 def cells(posts: DataFrame) -> DataFrame:
     """Posts per source, subject city, sentiment and geography."""
-    # The filter is always true.  It keeps ``n`` in every use of the cells, so that all of
-    # them share one shuffle of the posts.
     return posts.groupBy(
         "resource", "city", "sentiment", F.col("geo.city").alias("geo_city"),
         F.col("geo.country").alias("geo_country"), F.col("geo.continent").alias("geo_continent"),
-    ).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def all_cities(cells: DataFrame) -> DataFrame:
@@ -75,27 +72,21 @@ def sparse_stats(cells: DataFrame) -> DataFrame:
         "level", "geo", "n")
 
 
-def dense_stats(cells: DataFrame, city: str | None = None) -> DataFrame:
-    """Stats with a zero for each combination that does not occur.
+def dense_stats(cells: DataFrame, cities: str | Sequence[str]) -> DataFrame:
+    """Stats of the asked cities, with a zero for each combination that does not occur.
 
-    Each subject city is combined with every geo value of its whole source.  With
-    ``city`` only that one is reported, in every source, even if it has no posts.
+    Each asked city is combined with every geo value of every source, even if the source
+    has no posts on it.  The asked cities are a list of the caller; no zero is stored for
+    cities that nobody asks for.
     """
-    counted = sparse_stats(cells)
+    asked = sorted({c.lower() for c in ([cities] if isinstance(cities, str) else cities)})
+    counted = sparse_stats(cells).where(F.col("city").isin(asked))
     totals = cells.select("resource", F.lit("total").alias("level"),
                           F.lit(None).cast("string").alias("geo")).distinct()
     values = geo_values(cells).unionByName(totals)
-    if city is not None:
-        counted = counted.where(F.col("city") == city.lower())
-        grid = values.withColumn("city", F.lit(city.lower()))
-    else:
-        # There are few sources and many values: the salt splits each source.
-        salted = values.withColumn("salt", F.pmod(F.xxhash64("level", "geo"), F.lit(FILL_SALTS)))
-        cities = all_cities(cells).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(FILL_SALTS - 1).cast("bigint"))))
-        grid = salted.join(cities, ["resource", "salt"]).drop("salt")
     names = F.array(*[F.lit(s) for s in (*SENTIMENTS, ALL)])
-    zeros = grid.withColumn("sentiment", F.explode(names)).withColumn("n", F.lit(0).cast("bigint"))
+    zeros = values.withColumn("city", F.explode(F.lit(asked))).withColumn(
+        "sentiment", F.explode(names)).withColumn("n", F.lit(0).cast("bigint"))
     # Counted rows are a subset of the grid, so a sum is the fill, nulls included.
     return (zeros.select(*STAT_KEYS, "n").unionByName(counted)
             .groupBy(*STAT_KEYS).agg(F.sum("n").alias("n")))
@@ -122,42 +113,22 @@ def count_posts(
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-def stats_documents(
-    dense: DataFrame, values_per_document: int = VALUES_PER_DOCUMENT
-) -> DataFrame:
-    """``resource, city, part, parts, stats``: nested stats as JSON.
+def stats_documents(dense: DataFrame) -> DataFrame:
+    """``resource, city, level, geo, stats``: one small JSON object per cell.
 
-    With few geo values a city is one document (``parts`` is 1).  Otherwise it is split by
-    geo value into several documents that merge key by key, so that no task has to hold
-    an unbounded object.  The totals are in part 0.
+    ``stats`` holds the counts ``positive``, ``negative`` and ``all``.  A missing geo value
+    and the text "null" share the name "null"; the totals have no ``geo``.  The shape does
+    not depend on how many values there are, and no task holds a whole city.
     """
     named = F.when(F.col("level") != "total", F.coalesce("geo", F.lit("null")))
-    # The text "null" and a missing value share one key.
-    merged = dense.withColumn("geo", named).groupBy(*STAT_KEYS).agg(F.sum("n").alias("n"))
-    largest = dense.groupBy("resource", "city").count().agg(F.max("count")).scalar()
-    split = merged.withColumn(
-        "parts", F.ceil(largest / values_per_document).cast("int")
-    ).withColumn("part", F.when(F.col("level") == "total", 0).otherwise(
-        F.pmod(F.xxhash64("geo"), F.col("parts"))).cast("int"))
-
-    def level_map(sentiment, level):
-        mine = (F.col("sentiment") == sentiment) & (F.col("level") == level)
-        entry = F.struct(F.col("geo").alias("key"), F.col("n").alias("value"))
-        return F.map_from_entries(F.array_sort(F.collect_list(F.when(mine, entry))))
-
-    def sentiment_struct(sentiment):
-        mine = (F.col("sentiment") == sentiment) & (F.col("level") == "total")
-        return F.struct(
-            *[level_map(sentiment, level).alias(level) for level in LEVELS],
-            F.max(F.when(mine, F.col("n"))).alias("total")).alias(sentiment)
-
-    body = F.to_json(F.struct(*[sentiment_struct(s) for s in (*SENTIMENTS, ALL)]))
-    return split.groupBy("resource", "city", "part", "parts").agg(body.alias("stats"))
-
-
-def stats_for(posts: DataFrame, city: str | None = None,
+    body = F.to_json(F.struct(*[
+        F.sum(F.when(F.col("sentiment") == s, F.col("n"))).alias(s) for s in (*SENTIMENTS, ALL)]))
+    return dense.withColumn("geo", named).groupBy("resource", "city", "level", "geo").agg(
+        body.alias("stats"))
+
+
+def stats_for(posts: DataFrame, cities: str | Sequence[str],
               resources: Sequence[str] = RESOURCES) -> DataFrame:
-    """Dense stats of several sources from one scan of the posts."""
-    # The null check is implied; spelled out, it is the same filter in every branch.
-    mine = posts.where(F.col("resource").isin(*resources) & F.col("resource").isNotNull())
-    return dense_stats(cells(mine), city)
+    """Dense stats of several sources.  The cells are written once, so posts are read once."""
+    shared_dir(posts.sparkSession)
+    return dense_stats(cells(posts.where(F.col("resource").isin(*resources))).checkpoint(), cities)

@@ -14,6 +14,8 @@ from ..sources.readers import spread_small
 
 # Words of the documents that stand in for subject cities and keywords.
 CITIES = ("tion", "the", "der", "que")
+# Sources of the documents that stand in for the cities of a report; one has no posts.
+ASKED_CITIES = ("src0", "src1", "src3", "nowhere")
 PHRASE_CITIES = ("of the", "de", "the and to")
 HASHTAGS = ("and", "est", "und")
 TRACK_CITIES = ("the of", "la", "der")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from .inputs import (
-    CITIES, DOMAINS, HASHTAGS, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
+    ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
     SITE_SECTION, TOPIC_CITIES, TOWN, TRACK_CITIES, TRACK_TEXT,
 )
 
@@ -121,34 +121,21 @@ counted AS (
   FROM (SELECT *, unnest([NULL, CASE WHEN sentiment IN ('positive', 'negative') THEN sentiment ELSE '' END]) AS s
         FROM leveled) WHERE s IS NULL OR s <> '' GROUP BY ALL)"""
 
-DENSE = STATS + """,
+def dense(cities) -> str:
+    return STATS + f""",
 grid AS (
   SELECT g.resource, c.city, s.sentiment, g.level, g.geo
   FROM (SELECT DISTINCT resource, level, geo FROM leveled) g
-  JOIN (SELECT DISTINCT resource, city FROM posts) c ON c.resource = g.resource
+  CROSS JOIN (SELECT unnest([{listed(cities)}]) AS city) c
   CROSS JOIN (SELECT unnest(['positive', 'negative', 'all']) AS sentiment) s),
 dense AS (
   SELECT g.*, coalesce(n, 0) AS n FROM grid g LEFT JOIN counted k
   ON k.resource = g.resource AND k.city = g.city AND k.sentiment = g.sentiment AND k.level = g.level
   AND k.geo IS NOT DISTINCT FROM g.geo)"""
 
-ONE_CITY = DENSE.replace("(SELECT DISTINCT resource, city FROM posts)",
-                         "(SELECT DISTINCT resource, 'src3' AS city FROM posts)")
-
-def level_json(sentiment: str, level: str) -> str:
-    return (
-        f"""'"{level}":{{' || string_agg('"' || coalesce(geo, 'null') || '":' || n, ',' """
-        f"""ORDER BY coalesce(geo, 'null')) FILTER (sentiment = '{sentiment}' AND level = '{level}') || '}}'""")
-
-
-def sentiment_json(sentiment: str) -> str:
-    levels = " || ',' || ".join(level_json(sentiment, x) for x in ("by_city", "by_country", "by_continent"))
-    total = f"max(n) FILTER (sentiment = '{sentiment}' AND level = 'total')"
-    return f"""'"{sentiment}":{{' || {levels} || ',"total":' || {total} || '}}'"""
-
 
 STATS_JSON = "'{' || " + " || ',' || ".join(
-    sentiment_json(s) for s in ("positive", "negative", "all")) + " || '}'"
+    f"""'"{s}":' || sum(n) FILTER (sentiment = '{s}')""" for s in ("positive", "negative", "all")) + " || '}'"
 
 H1 = "regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1)"
 ANCHORS = f"""anchor AS (
@@ -239,8 +226,8 @@ ORACLES: dict[str, str] = {
     "geo_enrich": f"""WITH {CUSTOMERS}, {located('located')}
         SELECT c_custkey, geo_city, geo_country, geo_continent FROM resolved""",
     "post_stats": f"WITH {POSTS}, {STATS} SELECT resource, city, sentiment, level, geo, n FROM counted",
-    "post_stats_dense": f"WITH {POSTS}, {DENSE} SELECT resource, city, sentiment, level, geo, n FROM dense",
-    "post_stats_city": f"WITH {POSTS}, {ONE_CITY} SELECT resource, city, sentiment, level, geo, n FROM dense",
+    "post_stats_dense": f"WITH {POSTS}, {dense(ASKED_CITIES)} SELECT resource, city, sentiment, level, geo, n FROM dense",
+    "post_stats_city": f"WITH {POSTS}, {dense(['src3'])} SELECT resource, city, sentiment, level, geo, n FROM dense",
     "post_totals": f"""WITH {POSTS} SELECT resource, city, count(*) AS total,
         count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative
         FROM posts GROUP BY ALL""",
@@ -248,7 +235,8 @@ ORACLES: dict[str, str] = {
     "subject_cities": f"WITH {POSTS} SELECT DISTINCT resource, city FROM posts WHERE resource = 'TWITTER'",
     "post_count": f"""WITH {POSTS} SELECT count(*) AS n FROM posts
         WHERE city = 'src3' AND sentiment = 'positive' AND geo_country IS NULL""",
-    "stats_json": f"""WITH {POSTS}, {DENSE} SELECT resource, city, {STATS_JSON} AS stats FROM dense GROUP BY resource, city""",
+    "stats_json": f"""WITH {POSTS}, {dense(ASKED_CITIES)} SELECT resource, city, level,
+        CASE WHEN level <> 'total' THEN coalesce(geo, 'null') END AS geo, {STATS_JSON} AS stats FROM dense GROUP BY 1, 2, 3, 4""",
     "page_titles": f"SELECT page_id, {clean_topic(clean_forum(H1))} AS title FROM pages",
     "page_posts": f"""WITH p AS (SELECT page_id, regexp_extract_all(replace(html, '<p>', '</p><p>') || '</p>', '(?s)<p>(.*?)</p>', 1) AS parts FROM pages)
         SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS position,
@@ -320,6 +308,20 @@ ORACLES: dict[str, str] = {
     "bad_tweet_rows": "SELECT '{broken ' || conv_id AS line FROM conversations WHERE turn % 7 = 6",
     "stream_posts": f"""SELECT conv_id, turn, role, city FROM (
           SELECT conv_id, turn, role, unnest({WORDS}) AS city FROM conversations) WHERE city IN ({listed(CITIES)})""",
+    "tweet_stream": f"""WITH {TRAINING},
+        tweet AS (SELECT conv_id * 1000000 + turn AS id, conv_id, {TRACK_TEXT} AS text FROM conversations WHERE conv_id % 7 < 5),
+        w AS (SELECT *, regexp_extract_all(lower(text), '([#@]?[\\p{{L}}\\p{{N}}_]+)', 1) AS words FROM tweet),
+        f AS (SELECT *, list_distinct(list_concat(words, list_transform(words, lambda x: ltrim(x, '#@')))) AS forms FROM w),
+        tracked AS (SELECT id, conv_id, text FROM f WHERE {TRACKED}),
+        talk AS (SELECT id, {CLEAN} AS words FROM tracked), {scored('talk', 'id')},
+        place_of AS (SELECT id, {LOCATION.format(id='conv_id')} AS geo FROM tracked LEFT JOIN part ON p_partkey = conv_id),
+        {located('place_of')},
+        mention AS (SELECT id, text, city FROM (SELECT id, text, unnest({WORDS}) AS city FROM tracked)
+                    WHERE city IN ({listed(c.lower() for c in TRACK_CITIES)}))
+        SELECT city, text, id AS millis, geo_city, geo_country, geo_continent, sentiment
+        FROM mention JOIN resolved USING (id) JOIN labelled USING (id)""",
+    "tweet_stream_bad": f"""SELECT CASE WHEN conv_id % 7 = 5 THEN {TRACK_TEXT} END AS text FROM conversations
+        WHERE conv_id % 7 >= 5""",
     "stream_dedupe": "SELECT DISTINCT user_id FROM events",
     "enriched_posts": f"""WITH {TRAINING}, {scored('tok', 'doc_id')}, {MENTIONS}, {located('place_of')}
         SELECT m.doc_id, m.city, count(*) AS mentions, any_value(geo_city) AS geo_city, any_value(geo_country) AS geo_country,
@@ -327,7 +329,7 @@ ORACLES: dict[str, str] = {
         FROM mention m JOIN resolved r USING (doc_id) JOIN labelled USING (doc_id) GROUP BY m.doc_id, m.city""",
     "post_report": f"""WITH {TRAINING}, {scored('tok', 'doc_id')}, {MENTIONS}, {located('place_of')},
         posts AS (SELECT 'TWITTER' AS resource, m.city, geo_city, geo_country, geo_continent, sentiment
-          FROM mention m JOIN resolved USING (doc_id) JOIN labelled USING (doc_id)), {DENSE}
+          FROM mention m JOIN resolved USING (doc_id) JOIN labelled USING (doc_id)), {dense(CITIES)}
         SELECT resource, city, sentiment, level, geo, n FROM dense""",
 }
 ORACLES["nb_classify_shuffled"] = ORACLES["nb_classify"]

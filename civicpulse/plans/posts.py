@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +60,13 @@ def to_posts(
     tokens: Callable[[Column], Column] = tokenize,
     hook: Hook | None = None,
     stored: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Items to stored posts: location looked up, sentiment added, city in lower case.
 
     ``hook`` is a user function on the items; ``key`` a unique item column, if there is
     one.  Items with an array of ``cities`` become one post per entry, after the lookups,
-    so that no shuffle carries the copies.
+    so that no shuffle carries the copies.  ``index`` is a stored place index (a stream's).
 
     The lookups read the items three times, mostly single columns.  So that filters and
     extraction run once, items are first written to the shared folder, unless they are
@@ -83,7 +84,7 @@ def to_posts(
                 row_key, F.concat_ws(":", "_metadata.file_name", "_metadata.row_index"))
     labelled = bayes.classify(items, model, row_key, tokens=tokens)
     # Only the location column of the items is read to count the locations.
-    labelled = geo.enrich_locations(labelled, gazetteer, continents, source=items)
+    labelled = geo.enrich_locations(labelled, gazetteer, continents, source=items, index=index)
     if "cities" in labelled.columns:
         labelled = labelled.withColumn("city", F.explode("cities"))
     extra = [key] if key else []
@@ -98,9 +99,9 @@ def store_items(items: DataFrame, path: str) -> DataFrame:
     return items.sparkSession.read.schema(items.schema).parquet(path)
 
 
-def report(posts: DataFrame, city: str | None = None) -> DataFrame:
-    """Zero-filled counts over the three sources."""
-    return stats.stats_for(posts, city)
+def report(posts: DataFrame, cities: str | Sequence[str]) -> DataFrame:
+    """Zero-filled counts of the asked cities over the three sources."""
+    return stats.stats_for(posts, cities)
 
 
 def empty_posts(spark) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
+from ..params import Parameters
 from ..operators import bayes, geo, links, match, pages, stats
 from ..session import run_dir
 from ..sources import readers, writers
 from ..streaming import ingest
 from . import posts as flow
 from .inputs import (
-    CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
+    ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
     TRACK_CITIES, TRACK_TEXT, Tables, escaped,
 )
 
@@ -174,12 +175,12 @@ def post_stats(t):
 
 @query
 def post_stats_dense(t):
-    return stats.dense_stats(stats.cells(t.posts()))
+    return stats.stats_for(t.posts(), ASKED_CITIES)
 
 
 @query
 def post_stats_city(t):
-    return stats.stats_for(t.posts(), city="SRC3")
+    return stats.stats_for(t.posts(), "SRC3")
 
 
 @query
@@ -204,8 +205,7 @@ def post_count(t):
 
 @query
 def stats_json(t):
-    dense = stats.dense_stats(stats.cells(t.posts()))
-    return stats.stats_documents(dense).select("resource", "city", "stats")
+    return stats.stats_documents(stats.stats_for(t.posts(), ASKED_CITIES))
 
 
 # ---- pages ------------------------------------------------------------------------
@@ -447,6 +447,51 @@ def stream_posts(t):
     return t.spark.read.parquet(f"{folder}/posts").select("conv_id", "turn", "role", "city")
 
 
+def tweet_lines(t: Tables) -> DataFrame:
+    """Conversation turns as lines of a tweet stream, with keywords and author locations.
+
+    Of seven conversations one has broken lines and one has lines without a readable time.
+    """
+    names = t.part.select(F.col("p_partkey").alias("conv_id"), "p_name", "p_brand")
+    number = F.col("conv_id") % 7
+    millis = (F.col("conv_id") * 1_000_000 + F.col("turn")).cast("string")
+    tweet = F.to_json(F.struct(
+        F.expr(TRACK_TEXT).alias("text"), F.when(number == 5, "soon").otherwise(millis).alias("timestamp_ms"),
+        F.lit("en").alias("lang"),
+        F.struct(F.expr(LOCATION.format(id="conv_id")).alias("location")).alias("user")))
+    broken = F.concat(F.lit("{broken "), millis)
+    return t.conversations.join(names, "conv_id", "left").select(
+        "conv_id", F.when(number == 6, broken).otherwise(tweet).alias("value"))
+
+
+def streamed_tweets(t: Tables) -> str:
+    """The tweet stream from lines to stored posts, stopped halfway and resumed."""
+    folder, lines, model = run_dir(t.spark, "tweets"), tweet_lines(t), trained(t)
+    params = Parameters(hashtags=HASHTAGS, stream_cities=TRACK_CITIES, languages=LANGUAGES)
+    for half in (0, 1):
+        lines.where(F.col("conv_id") % 2 == half).select("value").write.mode("append").text(f"{folder}/in")
+        ingest.start_tweets(
+            readers.stream_tweet_lines(t.spark, f"{folder}/in"), params, t.gazetteer(), t.continents(), model,
+            f"{folder}/posts", f"{folder}/state", quarantine=f"{folder}/bad", available_now=True,
+        ).awaitTermination()
+    return folder
+
+
+@query
+def tweet_stream(t):
+    """Stored posts of the whole stream: filters, mentions, geography and sentiment."""
+    return readers.read_posts(t.spark, f"{streamed_tweets(t)}/posts", "twitter").select(
+        "city", "text", F.unix_millis("date").alias("millis"), F.col("geo.city").alias("geo_city"),
+        F.col("geo.country").alias("geo_country"), F.col("geo.continent").alias("geo_continent"), "sentiment")
+
+
+@query
+def tweet_stream_bad(t):
+    """Quarantine of the whole stream: the texts of bad lines, null for lines that are not JSON."""
+    bad = t.spark.read.parquet(f"{streamed_tweets(t)}/bad")
+    return bad.select(F.get_json_object(readers.CORRUPT, "$.text").alias("text"))
+
+
 @query
 def stream_dedupe(t):
     """Users of the event stream, each once however late a row comes."""
@@ -485,4 +530,4 @@ def enriched_posts(t):
 def post_report(t):
     """The whole way: items to posts to the zero-filled report."""
     posts = flow.to_posts(document_items(t), "TWITTER", t.gazetteer(), t.continents(), trained(t))
-    return flow.report(posts)
+    return flow.report(posts, CITIES)

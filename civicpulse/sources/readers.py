@@ -55,17 +55,18 @@ def stream_tweet_lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def parse_tweets(lines: DataFrame, value: str = "value") -> DataFrame:
-    """``text, date, lang, location`` and the corrupt text of lines that are not JSON.
+    """``text, date, lang, location`` and the whole line where it is not JSON or has no readable time.
 
     Works on batch and streaming lines alike, for example Kafka values cast to string.
     """
     schema = T.StructType([*TWEET.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = with_computed(lines.select(value), "j", F.from_json(value, schema, options))
+    date = epoch_millis(F.col("j.timestamp_ms"))
     return parsed.select(
-        F.col("j.text").alias("text"), epoch_millis(F.col("j.timestamp_ms")).alias("date"),
+        F.col("j.text").alias("text"), date.alias("date"),
         F.col("j.lang").alias("lang"), F.col("j.user.location").alias("location"),
-        F.col(f"j.{CORRUPT}").alias(CORRUPT))
+        F.coalesce(F.col(f"j.{CORRUPT}"), F.when(date.isNull(), F.col(value))).alias(CORRUPT))
 
 
 def good_tweets(tweets: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def good_tweets(tweets: DataFrame) -> DataFrame:
 
 
 def bad_tweets(tweets: DataFrame) -> DataFrame:
-    """Quarantine: lines that are not JSON or have no text."""
+    """Quarantine: lines that are not JSON, or have no text or no readable time."""
     return tweets.where(F.col(CORRUPT).isNotNull() | F.col("text").isNull())
 
 

@@ -22,6 +22,12 @@ def write_batch_posts(posts: DataFrame, path: str, batch_id: int) -> None:
      .partitionBy("batch_id", "resource").parquet(path))
 
 
+def save_place_index(index: DataFrame, path: str) -> None:
+    """In order of the keys, so that a lookup of few locations skips most row groups."""
+    (index.repartitionByRange("place_key").sortWithinPartitions("place_key")
+     .write.mode("overwrite").parquet(path))
+
+
 def write_stats(documents: DataFrame, path: str) -> None:
     """Nested stats, one JSON object per line."""
     documents.write.mode("overwrite").json(path)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bayes import Model
+from ..operators.geo import place_index
 from ..params import Parameters
 from ..plans.posts import to_posts, tweet_items
+from ..session import run_dir
 from ..sources.readers import bad_tweets, good_tweets, parse_tweets
-from ..sources.writers import write_batch_posts
+from ..sources.writers import save_place_index, write_batch_posts
 
 
 def start_ingest(
@@ -56,12 +58,18 @@ def start_tweets(
     quarantine: str | None = None,
     **options,
 ) -> StreamingQuery:
-    """Tweet lines to stored posts; lines that do not parse go to ``quarantine``."""
+    """Tweet lines to stored posts; lines that do not parse go to ``quarantine``.
+
+    The place index is built and stored once, before the first batch.
+    """
     tweets = parse_tweets(lines)
+    spark, folder = lines.sparkSession, run_dir(lines.sparkSession, "places")
+    save_place_index(place_index(gazetteer, continents), folder)
+    index = spark.read.parquet(folder)
 
     def to_rows(batch):
         items = tweet_items(good_tweets(batch), params)
-        return to_posts(items, "TWITTER", gazetteer, continents, model, stored=True)
+        return to_posts(items, "TWITTER", gazetteer, continents, model, stored=True, index=index)
 
     def keep_bad(batch, batch_id):
         (bad_tweets(batch).withColumn("batch_id", F.lit(batch_id))

@@ -129,10 +129,20 @@ def test_informative_features_need_two_labels(spark):
     assert [r.log_ratio_nano for r in got] == sorted((r.log_ratio_nano for r in got), reverse=True)
 
 
-def test_too_many_labels_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(bayes, "MAX_LABELS", 2)
-    with pytest.raises(ValueError):
-        bayes.train(corpus(spark), tokens=TOKENS)
+def test_three_hundred_labels(spark):
+    docs = [(f"l{i:03d}", f"own{i:03d} shared") for i in range(300)]
+    model = bayes.train(spark.createDataFrame(docs, "label string, text string"), tokens=TOKENS)
+    asked = spark.createDataFrame([(7, "own007"), (299, "own299 shared")], "id bigint, text string")
+    got = {r.id: r.label for r in bayes.score(asked, model, "id", tokens=TOKENS).select("id", "label").collect()}
+    assert got == {7: "l007", 299: "l299"}
+    assert model.likelihood().where("feature = 'shared'").count() == 300
+
+
+def test_weights_count_in_the_size_of_a_model(spark):
+    features = spark.createDataFrame([("a", 1)], "feature string, n bigint")
+    few, many = [tuple((str(i), 1) for i in range(n)) for n in (2, 256)]
+    assert bayes.Model(few, features, 1_000_000, 10_000_000).is_small()
+    assert not bayes.Model(many, features, 1_000_000, 10_000_000).is_small()
 
 
 def test_separator_as_a_token(spark):

@@ -14,11 +14,13 @@ def tweet(text, location, lang="en", ms="1425200400123"):
 
 def test_tweet_lines(spark, tmp_path):
     (tmp_path / "t.json").write_text("\n".join([
-        tweet("hi", "Rome"), "{not json", '{"timestamp_ms": "1"}', tweet("yo", None, "fr", "x"), '{"text": "no user"}']))
+        tweet("hi", "Rome"), "{not json", '{"timestamp_ms": "1"}', tweet("yo", None, "fr", "x"),
+        '{"text": "no user", "timestamp_ms": "2"}', '{"text": "no time"}']))
     rows = readers.parse_tweets(readers.read_tweet_lines(spark, str(tmp_path)))
     good = {(r.text, r.date, r.lang, r.location) for r in readers.good_tweets(rows).collect()}
-    assert good == {("hi", datetime(2015, 3, 1, 9, 0, 0, 123000), "en", "Rome"), ("yo", None, "fr", None), ("no user", None, None, None)}
-    assert {r[readers.CORRUPT] for r in readers.bad_tweets(rows).collect()} == {"{not json", None}
+    assert good == {("hi", datetime(2015, 3, 1, 9, 0, 0, 123000), "en", "Rome"), ("no user", datetime(1970, 1, 1, 0, 0, 0, 2000), None, None)}
+    bad = [r[readers.CORRUPT] or "" for r in readers.bad_tweets(rows).collect()]
+    assert sorted(bad) == sorted(["{not json", "", tweet("yo", None, "fr", "x"), '{"text": "no time"}'])
 
 
 def test_corpus_by_position(spark, tmp_path):
@@ -76,10 +78,10 @@ def test_posts_round_trip_with_pruning(spark, tmp_path):
 
 def test_stats_json_sink(spark, tmp_path):
     posts = spark.createDataFrame([("TWITTER", "rome", None, "t", ("a", "b", None), "positive")], POST)
-    writers.write_stats(stats.stats_documents(flow.report(posts)), str(tmp_path / "s"))
-    line = spark.read.json(str(tmp_path / "s")).first()
-    assert json.loads(line.stats)["all"] == {
-        "by_city": {"a": 1}, "by_country": {"b": 1}, "by_continent": {"null": 1}, "total": 1}
+    writers.write_stats(stats.stats_documents(flow.report(posts, "rome")), str(tmp_path / "s"))
+    lines = spark.read.json(str(tmp_path / "s")).collect()
+    assert {(r.level, r.geo, json.loads(r.stats)["all"]) for r in lines} == {
+        ("by_city", "a", 1), ("by_country", "b", 1), ("by_continent", "null", 1), ("total", None, 1)}
 
 
 def test_items_to_posts(spark, tmp_path):
