@@ -16,6 +16,8 @@ from ..sources.readers import spread_small
 CITIES = ("tion", "the", "der", "que")
 # Sources of the documents that stand in for the cities of a report; one has no posts.
 ASKED_CITIES = ("src0", "src1", "src3", "nowhere")
+# Cities that the three sources name: forum, reviews and travel forum, tweets.
+SOURCE_CITIES = ("chicago", "new york", "en", "user", "la")
 PHRASE_CITIES = ("of the", "de", "the and to")
 HASHTAGS = ("and", "est", "und")
 TRACK_CITIES = ("the of", "la", "der")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from .inputs import (
-    ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
+    ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, SOURCE_CITIES, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
     SITE_SECTION, TOPIC_CITIES, TOWN, TRACK_CITIES, TRACK_TEXT,
 )
 
@@ -333,3 +333,15 @@ ORACLES: dict[str, str] = {
         SELECT resource, city, sentiment, level, geo, n FROM dense""",
 }
 ORACLES["nb_classify_shuffled"] = ORACLES["nb_classify"]
+ORACLES["source_report"] = f"""WITH {TRAINING},
+    item AS (
+      SELECT 'r' || doc_id AS id, 'TRIPADVISOR' AS resource, city, text, geo FROM ({ORACLES['review_posts']})
+      UNION ALL SELECT 't' || url, 'TRIPADVISOR', city, text, geo FROM ({ORACLES['thread_posts']})
+      UNION ALL SELECT 'f' || doc_id || '/' || position, 'SKYSCRAPER', city, text, geo FROM ({ORACLES['forum_posts']})),
+    talk AS (SELECT id, {CLEAN} AS words FROM item), {scored('talk', 'id')},
+    place_of AS (SELECT id, geo FROM item), {located('place_of')},
+    posts AS (
+      SELECT 'TWITTER' AS resource, city, geo_city, geo_country, geo_continent, sentiment FROM ({ORACLES['tweet_stream']})
+      UNION ALL SELECT resource, lower(city), geo_city, geo_country, geo_continent, sentiment
+      FROM item JOIN resolved USING (id) JOIN labelled USING (id)), {dense(SOURCE_CITIES)}
+    SELECT resource, city, sentiment, level, geo, n FROM dense"""

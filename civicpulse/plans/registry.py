@@ -15,7 +15,7 @@ from ..sources import readers, writers
 from ..streaming import ingest
 from . import posts as flow
 from .inputs import (
-    ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
+    ASKED_CITIES, CITIES, SOURCE_CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
     TRACK_CITIES, TRACK_TEXT, Tables, escaped,
 )
 
@@ -299,8 +299,10 @@ def click_targets(t):
     return t.part.select("p_partkey", urls.rewrite_click_target(value).alias("link"))
 
 
-@query
-def forum_posts(t):
+AS_OF = "2015-03-10 08:00:00"
+
+
+def forum_pages(t: Tables) -> DataFrame:
     """Every document as a forum thread, every line as a post."""
     line = lambda body, i: F.concat(
         F.lit('<table id="post'), i.cast("string"), F.lit('"><tr><td class="thead"><div><span><span><b>'),
@@ -316,16 +318,18 @@ def forum_posts(t):
         .otherwise("Old Boston "), F.col("doc_id").cast("string"),
         F.lit("\n</strong></td></tr></table></td></tr></table>"),
         F.array_join(F.transform(F.split(F.col("body"), "\n"), line), ""), F.lit("</body></html>"))
-    threads = t.documents.select("doc_id", escaped("text").alias("body")).select(
+    return t.documents.select("doc_id", escaped("text").alias("body")).select(
         F.col("doc_id").cast("string").alias("url"), page.alias("html"))
-    as_of = F.lit("2015-03-10 08:00:00").cast("timestamp")
-    found = pages.forum_items(threads, as_of=as_of)
+
+
+@query
+def forum_posts(t):
+    found = pages.forum_items(forum_pages(t), as_of=F.lit(AS_OF).cast("timestamp"))
     return found.select(F.col("url").alias("doc_id"), "position", "city", "topic", "text", "geo",
                         stamp("date").alias("date"))
 
 
-@query
-def review_posts(t):
+def review_pages(t: Tables) -> DataFrame:
     """Every document as one review, with the date as attribute, as text, or missing."""
     page = F.concat(
         F.lit('<div id="expanded_review_1"><span class="noQuotes">Title '), F.col("doc_id").cast("string"),
@@ -333,14 +337,17 @@ def review_posts(t):
         F.when(F.col("doc_id") % 3 == 0, ' title="April 2, 2014">on time').when(
             F.col("doc_id") % 3 == 1, ">Reviewed May 12, 2013 by phone").otherwise(">long ago"),
         F.lit('</span><div class="entry"><p>'), F.col("body"), F.lit("<p>second<b>bold</b>part</div></div>"))
-    listed = t.documents.select("doc_id", "lang", escaped("text").alias("body")).select(
+    return t.documents.select("doc_id", "lang", escaped("text").alias("body")).select(
         F.col("doc_id").cast("string").alias("url"), page.alias("html"), F.col("lang").alias("city"))
-    return pages.dated(pages.review_items(listed)).select(
-        F.col("url").alias("doc_id"), "city", "title", "text", "geo", stamp("date").alias("date"))
 
 
 @query
-def thread_posts(t):
+def review_posts(t):
+    return pages.dated(pages.review_items(review_pages(t))).select(
+        F.col("url").alias("doc_id"), "city", "title", "text", "geo", stamp("date").alias("date"))
+
+
+def thread_pages(t: Tables) -> DataFrame:
     """Every conversation turn as a travel-forum post."""
     page = F.concat(
         F.lit('<h1 id="HEADING">Talk '), F.col("conv_id").cast("string"),
@@ -348,10 +355,14 @@ def thread_posts(t):
         (F.col("turn") % 28 + 1).cast("string"), F.lit(', 2016, 7:05 PM</span></div><div class="location">'),
         F.col("role"), F.lit('</div><div class="postBody"><p>'), F.col("body"),
         F.lit("</p><p>bye</p></div></div>"))
-    listed = t.conversations.select(
+    return t.conversations.select(
         F.concat_ws("/", "conv_id", "turn").alias("url"), escaped("text").alias("body"),
         "conv_id", "turn", "role").select("url", page.alias("html"), F.col("role").alias("city"))
-    return pages.thread_items(listed).select(
+
+
+@query
+def thread_posts(t):
+    return pages.thread_items(thread_pages(t)).select(
         "url", "city", "title", "text", "geo", stamp("date").alias("date"))
 
 
@@ -464,14 +475,16 @@ def tweet_lines(t: Tables) -> DataFrame:
         "conv_id", F.when(number == 6, broken).otherwise(tweet).alias("value"))
 
 
+PARAMS = Parameters(hashtags=HASHTAGS, stream_cities=TRACK_CITIES, languages=LANGUAGES)
+
+
 def streamed_tweets(t: Tables) -> str:
     """The tweet stream from lines to stored posts, stopped halfway and resumed."""
     folder, lines, model = run_dir(t.spark, "tweets"), tweet_lines(t), trained(t)
-    params = Parameters(hashtags=HASHTAGS, stream_cities=TRACK_CITIES, languages=LANGUAGES)
     for half in (0, 1):
         lines.where(F.col("conv_id") % 2 == half).select("value").write.mode("append").text(f"{folder}/in")
         ingest.start_tweets(
-            readers.stream_tweet_lines(t.spark, f"{folder}/in"), params, t.gazetteer(), t.continents(), model,
+            readers.stream_tweet_lines(t.spark, f"{folder}/in"), PARAMS, t.gazetteer(), t.continents(), model,
             f"{folder}/posts", f"{folder}/state", quarantine=f"{folder}/bad", available_now=True,
         ).awaitTermination()
     return folder
@@ -531,3 +544,22 @@ def post_report(t):
     """The whole way: items to posts to the zero-filled report."""
     posts = flow.to_posts(document_items(t), "TWITTER", t.gazetteer(), t.continents(), trained(t))
     return flow.report(posts, CITIES)
+
+
+@query
+def source_report(t):
+    """Tweets, review pages and forum pages to one store and one report, each with its source's model."""
+    folder = run_dir(t.spark, "sources")
+    model = bayes.train(t.corpus())
+    for name in sorted(set(PARAMS.models.values())):
+        writers.save_model(model, f"{folder}/models", name)
+    models = readers.load_models(t.spark, f"{folder}/models", PARAMS.models)
+    tweets = readers.good_tweets(readers.parse_tweets(tweet_lines(t)))
+    items = {
+        "TWITTER": flow.tweet_items(tweets, PARAMS),
+        "TRIPADVISOR": flow.review_site_items(review_pages(t), thread_pages(t)),
+        "SKYSCRAPER": flow.forum_site_items(forum_pages(t), PARAMS, F.lit(AS_OF).cast("timestamp"))}
+    for resource, rows in items.items():
+        found = flow.to_posts(rows, resource, t.gazetteer(), t.continents(), models[resource])
+        writers.append_posts(found, f"{folder}/posts")
+    return flow.report(readers.read_posts(t.spark, f"{folder}/posts"), SOURCE_CITIES)
