@@ -112,7 +112,9 @@ def deduplicated(docs: DataFrame, run: int = 3) -> DataFrame:
 
     cut_udf = F.pandas_udf(cut, schema)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key())
-    joined = rows.join(places, ["k1", "k2"], "left").select("row", cut_udf(F.col("row.text"), F.col("places")).alias("cut"))
+    # Places grow with the documents, so the join back is a shuffle at every size; frequent
+    # texts are split by the skew join.
+    joined = rows.join(places.hint("merge"), ["k1", "k2"], "left").select("row", cut_udf(F.col("row.text"), F.col("places")).alias("cut"))
     return joined.select(
         *[F.col("cut.text").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns],
         F.col("cut.n_lines").alias("n_lines"), F.col("cut.n_removed").alias("n_removed"))
