@@ -174,13 +174,26 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def learnt(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of ``labels.quality`` on at most ``sample`` labelled rows that are not held out."""
-    marks = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
-    both = rows.join(marks.where(~held_out()), "doc_id")
-    few = both.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "y").limit(sample).select(*FEATURES, "y").toArrow()
-    data = np.array([few.column(i).to_numpy() for i in range(few.num_columns)]).T
-    return fit(data[:, :-1], data[:, -1]) if len(data) else Model(edges=[np.empty(0)] * len(FEATURES), tables=[np.zeros(1)] * len(FEATURES))
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, store: Store) -> DataFrame:
+    """``doc_id, y`` of the labelled documents that the model is fitted on: ``sample`` rows at most.
+
+    They are the first in the order of a hash of the id.  Only ids are joined with the labels,
+    and hashes far behind the last one wanted go before the rest is put in order.
+    """
+    marks = labels.where("quality IN (0, 1)").where(~held_out()).select("doc_id", F.col("quality").cast("double").alias("y")).distinct()
+    both = store.put(docs.select("doc_id").join(marks, "doc_id").withColumn("order", F.xxhash64("doc_id", F.lit(3))))
+    n = both.count()
+    if n > 1.25 * sample:
+        both = both.where(F.col("order") < int(2.0 ** 64 * 1.1 * sample / n) - 2 ** 63)
+    return store.put(both.orderBy("order", "doc_id", "y").limit(sample).select("doc_id", "y"))
+
+
+def learnt(rows: DataFrame, few: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of the labels of ``few`` (see ``sampled``, so its size is bounded) on ``rows`` of features."""
+    both = rows.join(F.broadcast(few.distinct()), "doc_id")
+    data = both.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "y").limit(sample).select(*FEATURES, "y").toArrow()
+    x = np.array([data.column(i).to_numpy() for i in range(data.num_columns)]).T
+    return fit(x[:, :-1], x[:, -1]) if len(x) else Model(edges=[np.empty(0)] * len(FEATURES), tables=[np.zeros(1)] * len(FEATURES))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -191,12 +204,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: i
     ``sample`` labelled rows (the bound of what is gathered: ``sample`` times 16 numbers).
 
     Null and empty texts are scored like any other, with all features zero.  Labels that are
-    null or not 0 or 1 are left out; without labels every score is one half.  Null and
+    null or not 0 or 1 are left out, and one given twice counts once; without labels every
+    score is one half.  Null and
     repeated ids keep a row each (a null id is not held out); other columns are not read.
     """
     store = Store(docs.sparkSession, "quality")
     rows = store.put(featured(docs))
-    model = docs.sparkSession.sparkContext.broadcast(learnt(rows, labels, sample))
+    model = docs.sparkSession.sparkContext.broadcast(learnt(rows, sampled(rows, labels, sample, store), sample))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +226,13 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: i
 def passing(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The documents, whole rows, whose score is at least ``threshold``.
 
-    The model is that of ``scored``; texts are scored where they are read, so no text is
-    shuffled but those of labelled documents.
+    The model is that of ``scored``; texts are scored where they are read, and no text is
+    shuffled: the ids of the sample, a bounded number, are sent to the texts.
     """
-    marks = labels.where("quality IN (0, 1)").select("doc_id").distinct()
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left_semi")
-    model = docs.sparkSession.sparkContext.broadcast(learnt(featured(marked), labels, sample))
+    store = Store(docs.sparkSession, "quality")
+    few = sampled(docs, labels, sample, store)
+    marked = docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = docs.sparkSession.sparkContext.broadcast(learnt(featured(marked), few, sample))
 
     def score(column: pd.Series) -> pd.Series:
         rows = [features((t or "").encode()) for t in column]
