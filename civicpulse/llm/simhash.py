@@ -149,13 +149,3 @@ def near_duplicates(
     found = named.join(groups, F.col("rep") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return even_join(rows, store.put(found), ["fp"], hot_keys(counts, ["fp"], "n"), "left")
-
-
-def representatives(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The documents, whole rows, without the near-duplicates: of each group the least id stays.
-
-    Rows without id stay, as nothing tells them apart; so do all rows of an id that stays.
-    """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
