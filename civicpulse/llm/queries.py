@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cube, gam, hnsw, lines, outliers, phrases, preference, simhash, urlrules
+from . import align, bpe, cube, gam, hnsw, lines, outliers, phrases, preference, simhash, urlrules
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -75,7 +75,17 @@ def op6_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
 
 
+#: Tokenizers that are aligned.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def op12_align(spark: SparkSession, folder: str) -> DataFrame:
+    found = align.align_documents(
+        table(spark, folder, "documents"), *map(public_tokenizers.path, ALIGNED), public_tokenizers.PATTERN, hashed=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_lines": op4_lines,
            "op5_phrases": op5_phrases, "op6_embeddings": op6_embeddings, "op7_cube": op7_cube, "op8_preference": op8_preference,
-           "op10_outliers": op10_outliers, "op9_urls": op9_urls}
+           "op10_outliers": op10_outliers, "op9_urls": op9_urls, "op12_align": op12_align}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
