@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Store, texts
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Pairs of a block in one row.
 CHUNK = 8192
 #: Bits of a B id in an id pair.
