@@ -1,10 +1,8 @@
 """Author locations to city, country and continent through a gazetteer.
 
-A location matches every place whose name contains it; the most populous one wins.  That
-substring join is turned into an equi-join: each place name is cut into its substrings of
-the lengths that occur among the locations, the best place per substring is found by one
-pre-aggregated ``max``, and locations look themselves up by equality.  No location is
-ever paired with all its candidate places.
+A location matches every place whose name contains it; the most populous one wins.  The
+substring join is a prefix search in a stored suffix index (``places``): distinct locations
+are looked up there, and no location is ever paired with all its candidate places.
 """
 
 from __future__ import annotations
@@ -13,62 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_location
-from ..session import shared_dir
+from ..session import run_dir, shared_dir
+from .places import PlaceIndex, build_index, place_rank, rank_to_id
 from .skew import broadcast_if_small, hot_keys, salted_join
 
-# Population and id in one number, so that the maximum runs as a hash aggregate: the
-# greatest rank is the greatest population and, among equals, the smallest id.
-ID_SPAN = 10**19
 # A location dictionary up to this size is broadcast; ROW_BYTES stands for its other columns.
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 200
 
 
-def id_span() -> Column:
-    return F.lit(str(ID_SPAN)).cast("decimal(20,0)")
-
-
-def place_rank(population: Column, place_id: Column) -> Column:
-    people = F.greatest(F.coalesce(population.try_cast("bigint"), F.lit(0)), F.lit(0))
-    return (people.cast("decimal(19,0)") * id_span() + (id_span() - 1 - place_id)).cast("decimal(38,0)")
-
-
-def rank_to_id(rank: Column) -> Column:
-    return (id_span() - 1 - rank % id_span()).cast("bigint")
-
-
 def with_place_key(df: DataFrame, location: str = "geo") -> DataFrame:
     return df.withColumn("place_key", F.lower(clean_location(F.col(location))))
 
 
-def name_parts(gazetteer: DataFrame, lengths: Column | None = None) -> DataFrame:
-    """``place_key, rank``: the substrings of all place names, or those of some ``lengths``."""
-    names = (
-        gazetteer
-        .select(F.lower("name").alias("name"),
-                place_rank(F.col("population"), F.col("geoname_id")).alias("rank"))
-        .where("name <> ''")
-        .groupBy("name").agg(F.max("rank").alias("rank")))
-    size = F.length("name")
-    widths = F.sequence(F.lit(1), size)
-    return (
-        names
-        .withColumn("width", F.explode(widths if lengths is None else F.array_intersect(lengths, widths)))
-        .withColumn("start", F.explode(F.sequence(F.lit(1), size - F.col("width") + 1)))
-        .select(F.substring("name", F.col("start"), F.col("width")).alias("place_key"), "rank")
-        .groupBy("place_key").agg(F.max("rank").alias("rank")))
-
-
-def best_places(locations: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``place_key, geoname_id`` of the most populous place containing each key.
-
-    ``locations`` holds distinct, non-null ``place_key`` values.
-    """
-    lengths = locations.agg(F.collect_set(F.length("place_key")).alias("lengths"))
-    found = locations.join(name_parts(gazetteer, lengths.scalar()), "place_key")
-    return found.withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
-
-
 def location_counts(df: DataFrame, location: str = "geo") -> DataFrame:
     """``place_key, n``: the distinct locations and how many rows have each."""
     return (
@@ -76,38 +31,32 @@ def location_counts(df: DataFrame, location: str = "geo") -> DataFrame:
         .groupBy("place_key").agg(F.count(F.lit(1)).alias("n")))
 
 
-def with_geography(keys: DataFrame, gazetteer: DataFrame, continents: DataFrame) -> DataFrame:
-    """``place_key, geo_city, geo_country, geo_continent`` of keys with a ``geoname_id``."""
+def geography(gazetteer: DataFrame, continents: DataFrame) -> DataFrame:
+    """``geoname_id, geo_city, geo_country, geo_continent`` of all places."""
     places = gazetteer.select(
         "geoname_id", F.col("asciiname").alias("geo_city"),
         F.col("country_code").alias("geo_country"))
     dimension = broadcast_if_small(continents.select(
         F.col("country_code").alias("geo_country"), F.col("continent").alias("geo_continent")))
-    return (
-        keys.join(places, "geoname_id")
-        .join(dimension, "geo_country", "left")
-        .select("place_key", "geo_city", "geo_country", "geo_continent"))
+    return places.join(dimension, "geo_country", "left")
 
 
-def location_dictionary(
-    locations: DataFrame, gazetteer: DataFrame, continents: DataFrame
-) -> DataFrame:
-    """``place_key, geo_city, geo_country, geo_continent`` of distinct locations.
+def place_index(gazetteer: DataFrame, continents: DataFrame, path: str | None = None) -> PlaceIndex:
+    """The stored suffix index of a gazetteer, in the shared folder if no path is given.
 
-    Every location is resolved once, however many posts share it; misses are absent.
+    A stream builds it once and looks each batch's locations up in it.
     """
-    keys = best_places(locations.select("place_key"), gazetteer)
-    return with_geography(keys, gazetteer, continents)
+    return build_index(
+        gazetteer, geography(gazetteer, continents), path or run_dir(gazetteer.sparkSession, "places"))
 
 
-def place_index(gazetteer: DataFrame, continents: DataFrame) -> DataFrame:
-    """The dictionary of all locations that any place name contains.
+def best_places(locations: DataFrame, gazetteer: DataFrame, index: PlaceIndex | None = None) -> DataFrame:
+    """``place_key, geoname_id`` of the most populous place containing each key.
 
-    Cutting all names costs the same for a few locations as for many, so a stream builds
-    and stores this table once and looks each batch's locations up in it.
+    ``locations`` holds distinct, non-null ``place_key`` values.
     """
-    keys = name_parts(gazetteer).withColumn("geoname_id", rank_to_id(F.col("rank"))).drop("rank")
-    return with_geography(keys, gazetteer, continents)
+    nowhere = gazetteer.select("country_code", F.lit(None).cast("string").alias("continent")).limit(0)
+    return (index or place_index(gazetteer, nowhere)).lookup(locations).select("place_key", "geoname_id")
 
 
 def enrich_locations(
@@ -116,22 +65,20 @@ def enrich_locations(
     continents: DataFrame,
     location: str = "geo",
     source: DataFrame | None = None,
-    index: DataFrame | None = None,
+    index: PlaceIndex | None = None,
 ) -> DataFrame:
     """Replace the raw location by a ``geo`` struct of city, country and continent.
 
     No location gives three nulls; a location without a match keeps its raw text as city.
     ``source`` is a cheaper table with the same locations to count them in; ``index`` a
-    stored ``place_index``, which then serves instead of the gazetteer.
+    stored ``place_index`` of the gazetteer, which is then not read.
     """
     shared_dir(df.sparkSession)
     # Both are written once: no later stage counts or resolves again, and the size of the
     # dictionary is known before the join.
     counts = location_counts(df if source is None else source, location).checkpoint()
-    if index is None:
-        names = location_dictionary(counts, gazetteer, continents).checkpoint()
-    else:
-        names = index.join(broadcast_if_small(counts.select("place_key")), "place_key").checkpoint()
+    index = index or place_index(gazetteer, continents)
+    names = index.lookup(counts).drop("population", "geoname_id").checkpoint()
     size = names.agg(F.sum(F.octet_length("place_key") + ROW_BYTES)).first()[0] or 0
     keyed = with_place_key(df, location)
     if size <= BROADCAST_BYTES:
