@@ -7,8 +7,9 @@ shuffle that reads posts.  Everything else works on those cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import RESOURCES
@@ -113,20 +114,74 @@ def count_posts(
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-def stats_documents(dense: DataFrame) -> DataFrame:
+def stats_documents(counted: DataFrame) -> DataFrame:
     """``resource, city, level, geo, stats``: one small JSON object per cell.
 
-    ``stats`` holds the counts ``positive``, ``negative`` and ``all``.  A missing geo value
-    and the text "null" share the name "null"; the totals have no ``geo``.  The shape does
-    not depend on how many values there are, and no task holds a whole city.
+    ``counted`` is ``sparse_stats`` of all cities or ``dense_stats`` of some.  ``stats`` holds
+    the counts ``positive``, ``negative`` and ``all``, zero where nothing was counted.  A
+    missing geo value and the text "null" share the name "null"; the totals have no ``geo``.
+    The shape does not depend on how many values there are, and no task holds a whole city.
     """
     named = F.when(F.col("level") != "total", F.coalesce("geo", F.lit("null")))
     body = F.to_json(F.struct(*[
-        F.sum(F.when(F.col("sentiment") == s, F.col("n"))).alias(s) for s in (*SENTIMENTS, ALL)]))
-    return dense.withColumn("geo", named).groupBy("resource", "city", "level", "geo").agg(
+        F.coalesce(F.sum(F.when(F.col("sentiment") == s, F.col("n"))), F.lit(0)).alias(s) for s in (*SENTIMENTS, ALL)]))
+    return counted.withColumn("geo", named).groupBy("resource", "city", "level", "geo").agg(
         body.alias("stats"))
 
 
+def stats_fragments(documents: DataFrame) -> DataFrame:
+    """``position, fragment``: all ``stats_documents`` as one nested JSON text, in pieces.
+
+    In order of ``position`` the fragments join to ``{source: {city: {"total": {..},
+    "by_city": {geo: {..}}, ..}}}``.  Every row is a fragment that opens and closes what its
+    neighbours do not share, so a city of any size is spread over many tasks.  Rows are
+    sorted by range; at the ends of a range the neighbours are the other ranges' ends.
+    """
+    shared_dir(documents.sparkSession)
+    keys = ("resource", "city", "level", "geo")
+    rows = documents.where(F.col("resource").isNotNull() & F.col("city").isNotNull()).select(
+        "resource", "city", F.when(F.col("level") == "total", "").otherwise(F.col("level")).alias("level"),
+        F.coalesce("geo", F.lit("")).alias("geo"), "stats")
+    ranged = rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()).checkpoint()
+    here = F.struct(*keys[:3])
+    within = Window.partitionBy("part").orderBy(*keys)
+    lined = ranged.select(
+        "*", F.row_number().over(within).alias("n"), F.lag(here).over(within).alias("before"),
+        F.lead(here).over(within).alias("after"))
+    # One row for each range, so few: how many rows come before, and the neighbours' keys.
+    order = Window.orderBy("part")
+    ends = ranged.groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last"))
+    ends = ends.select(
+        "part", (F.sum("rows").over(order) - F.col("rows")).alias("offset"), F.lag("last").over(order).alias("left"),
+        F.lead("first").over(order).alias("right"))
+    ends = ends.select("part", "offset", *[
+        F.when(F.col(side).isNotNull(), F.struct(*[F.col(f"{side}.{k}").alias(k) for k in keys[:3]])).alias(side)
+        for side in ("left", "right")])
+    lined = lined.join(F.broadcast(ends), "part").withColumn("before", F.coalesce("before", "left")).withColumn(
+        "after", F.coalesce("after", "right"))
+
+    def same(other: str, depth: int) -> Column:
+        equal = [F.col(f"{other}.{k}") == F.col(k) for k in keys[:depth]]
+        return F.coalesce(reduce(Column.__and__, equal), F.lit(False))
+
+    def opening(column: str, *more: str) -> Column:
+        quoted = F.to_json(F.struct(F.col(column).alias("k")))
+        return F.concat(F.substr(quoted, F.lit(6), F.length(quoted) - 6), *map(F.lit, (":", *more)))
+
+    total, nothing = F.col("level") == "", F.lit("")
+    opened = F.concat(
+        F.when(F.col("before").isNull(), "{").otherwise(","),
+        F.when(same("before", 1), nothing).otherwise(opening("resource", "{")),
+        F.when(same("before", 2), nothing).otherwise(opening("city", "{")),
+        F.when(total, '"total":').when(same("before", 3), nothing).otherwise(opening("level", "{")),
+        F.when(total, nothing).otherwise(opening("geo")))
+    closed = F.concat(
+        F.when(total | same("after", 3), nothing).otherwise("}"), F.when(same("after", 2), nothing).otherwise("}"),
+        F.when(same("after", 1), nothing).otherwise("}"), F.when(F.col("after").isNull(), "}").otherwise(nothing))
+    return lined.select((F.col("offset") + F.col("n")).alias("position"), F.concat(opened, "stats", closed).alias("fragment"))
+
+
 def stats_for(posts: DataFrame, cities: str | Sequence[str],
               resources: Sequence[str] = RESOURCES) -> DataFrame:
     """Dense stats of several sources.  The cells are written once, so posts are read once."""

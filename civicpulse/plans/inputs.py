@@ -86,8 +86,8 @@ class Tables:
         return self.customer.select("c_custkey").join(names, "c_custkey", "left").select(
             "c_custkey", F.expr(LOCATION.format(id="c_custkey")).alias("geo"))
 
-    def posts(self) -> DataFrame:
-        """Posts with given geography and sentiment."""
+    def posts(self, *keep: str) -> DataFrame:
+        """Posts with given geography and sentiment; ``keep`` names columns to hold besides."""
         countries = self.nation.join(
             self.region, F.col("n_regionkey") == F.col("r_regionkey")
         ).select("n_nationkey", "n_name", "r_name")
@@ -98,7 +98,7 @@ class Tables:
             F.expr(RESOURCE).alias("resource"), F.col("source").alias("city"),
             F.struct(F.expr(TOWN.format(text="string")).alias("city"),
                      F.col("n_name").alias("country"), F.col("r_name").alias("continent")).alias("geo"),
-            F.when(F.col("quality").isNotNull(), F.expr(SENTIMENT)).alias("sentiment"))
+            F.when(F.col("quality").isNotNull(), F.expr(SENTIMENT)).alias("sentiment"), *keep)
 
     def edges(self) -> DataFrame:
         """Link edges among customers computed from order keys."""

@@ -135,7 +135,10 @@ dense AS (
 
 
 STATS_JSON = "'{' || " + " || ',' || ".join(
-    f"""'"{s}":' || sum(n) FILTER (sentiment = '{s}')""" for s in ("positive", "negative", "all")) + " || '}'"
+    f"""'"{s}":' || coalesce(sum(n) FILTER (sentiment = '{s}'), 0)""" for s in ("positive", "negative", "all")) + " || '}'"
+STATS_DOCUMENTS = f"""document AS (
+  SELECT resource, city, level, CASE WHEN level <> 'total' THEN coalesce(geo, 'null') END AS geo, {STATS_JSON} AS stats
+  FROM counted GROUP BY 1, 2, 3, 4)"""
 
 H1 = "regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1)"
 ANCHORS = f"""anchor AS (
@@ -235,8 +238,22 @@ ORACLES: dict[str, str] = {
     "subject_cities": f"WITH {POSTS} SELECT DISTINCT resource, city FROM posts WHERE resource = 'TWITTER'",
     "post_count": f"""WITH {POSTS} SELECT count(*) AS n FROM posts
         WHERE city = 'src3' AND sentiment = 'positive' AND geo_country IS NULL""",
-    "stats_json": f"""WITH {POSTS}, {dense(ASKED_CITIES)} SELECT resource, city, level,
-        CASE WHEN level <> 'total' THEN coalesce(geo, 'null') END AS geo, {STATS_JSON} AS stats FROM dense GROUP BY 1, 2, 3, 4""",
+    "stats_json": f"WITH {POSTS}, {STATS}, {STATS_DOCUMENTS} SELECT * FROM document",
+    "stats_nested": f"""WITH {POSTS}, {STATS}, {STATS_DOCUMENTS},
+        flat AS (SELECT resource, city, CASE WHEN level = 'total' THEN '' ELSE level END AS level, coalesce(geo, '') AS geo, stats
+          FROM document WHERE resource IS NOT NULL AND city IS NOT NULL),
+        row AS (SELECT *, row_number() OVER o AS position, count(*) OVER () AS rows,
+          coalesce(lag(resource) OVER o = resource, false) AS s0, coalesce(lag(resource) OVER o = resource AND lag(city) OVER o = city, false) AS c0,
+          coalesce(lag(resource) OVER o = resource AND lag(city) OVER o = city AND lag(level) OVER o = level, false) AS l0,
+          coalesce(lead(resource) OVER o = resource, false) AS s1, coalesce(lead(resource) OVER o = resource AND lead(city) OVER o = city, false) AS c1,
+          coalesce(lead(resource) OVER o = resource AND lead(city) OVER o = city AND lead(level) OVER o = level, false) AS l1
+          FROM flat WINDOW o AS (ORDER BY resource, city, level, geo))
+        SELECT position, CASE WHEN position = 1 THEN '{{' ELSE ',' END || CASE WHEN s0 THEN '' ELSE '"' || resource || '":{{' END
+          || CASE WHEN c0 THEN '' ELSE '"' || city || '":{{' END
+          || CASE WHEN level = '' THEN '"total":' WHEN l0 THEN '' ELSE '"' || level || '":{{' END
+          || CASE WHEN level = '' THEN '' ELSE '"' || geo || '":' END || stats || CASE WHEN level = '' OR l1 THEN '' ELSE '}}' END
+          || CASE WHEN c1 THEN '' ELSE '}}' END || CASE WHEN s1 THEN '' ELSE '}}' END || CASE WHEN position = rows THEN '}}' ELSE '' END AS fragment
+        FROM row""",
     "page_titles": f"SELECT page_id, {clean_topic(clean_forum(H1))} AS title FROM pages",
     "page_posts": f"""WITH p AS (SELECT page_id, regexp_extract_all(replace(html, '<p>', '</p><p>') || '</p>', '(?s)<p>(.*?)</p>', 1) AS parts FROM pages)
         SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS position,
@@ -323,6 +340,11 @@ ORACLES: dict[str, str] = {
     "tweet_stream_bad": f"""SELECT CASE WHEN conv_id % 7 = 5 THEN {TRACK_TEXT} END AS text FROM conversations
         WHERE conv_id % 7 >= 5""",
     "stream_dedupe": "SELECT DISTINCT user_id FROM events",
+    "stream_stats": " UNION ALL ".join(f"""SELECT * FROM (WITH {POSTS.replace('SELECT', 'SELECT doc_id % 3 AS part,', 1)},
+        {STATS.replace('FROM posts', f'FROM posts WHERE part <= {b}')} SELECT resource, city, sentiment, level, geo, n, {b} AS batch FROM counted)"""
+        for b in range(3)),
+    "merged_posts": f"""WITH {POSTS}, {STATS} SELECT resource, city, sentiment, level, geo, n, phase
+        FROM counted CROSS JOIN (SELECT unnest(['before', 'after']) AS phase)""",
     "enriched_posts": f"""WITH {TRAINING}, {scored('tok', 'doc_id')}, {MENTIONS}, {located('place_of')}
         SELECT m.doc_id, m.city, count(*) AS mentions, any_value(geo_city) AS geo_city, any_value(geo_country) AS geo_country,
           any_value(geo_continent) AS geo_continent, any_value(sentiment) AS sentiment

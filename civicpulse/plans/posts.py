@@ -60,7 +60,7 @@ def to_posts(
     tokens: Callable[[Column], Column] = tokenize,
     hook: Hook | None = None,
     stored: bool = False,
-    index: DataFrame | None = None,
+    index: geo.PlaceIndex | None = None,
 ) -> DataFrame:
     """Items to stored posts: location looked up, sentiment added, city in lower case.
 

@@ -13,6 +13,7 @@ from ..operators import bayes, geo, links, match, pages, stats
 from ..session import run_dir
 from ..sources import readers, writers
 from ..streaming import ingest
+from ..streaming.cells import CellStore
 from . import posts as flow
 from .inputs import (
     ASKED_CITIES, CITIES, SOURCE_CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
@@ -205,7 +206,14 @@ def post_count(t):
 
 @query
 def stats_json(t):
-    return stats.stats_documents(stats.stats_for(t.posts(), ASKED_CITIES))
+    """Every source and city, cell by cell."""
+    return stats.stats_documents(stats.sparse_stats(stats.cells(t.posts())))
+
+
+@query
+def stats_nested(t):
+    """The same as one nested document, in fragments."""
+    return stats.stats_fragments(stats.stats_documents(stats.sparse_stats(stats.cells(t.posts()))))
 
 
 # ---- pages ------------------------------------------------------------------------
@@ -505,15 +513,72 @@ def tweet_stream_bad(t):
     return bad.select(F.get_json_object(readers.CORRUPT, "$.text").alias("text"))
 
 
+BATCHES = 3
+
+
+def batched_posts(t: Tables, after_batch: Callable[[str, CellStore, int], None] | None = None) -> tuple[str, CellStore]:
+    """Posts that arrive in three batches by document number, stored and counted as they come."""
+    folder = run_dir(t.spark, "batches")
+    cells = CellStore(t.spark, f"{folder}/cells", merge_every=2)
+    rows = t.posts("doc_id").select(
+        "doc_id", "resource", "city", F.timestamp_seconds(F.col("doc_id") % 5 * 86400).alias("date"),
+        F.lit(None).cast("string").alias("text"), "geo", "sentiment")
+    for part in range(BATCHES):
+        rows.where(F.col("doc_id") % BATCHES == part).write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        ingest.start_ingest(source, lambda batch: batch.drop("doc_id"), f"{folder}/posts", f"{folder}/state",
+                            available_now=True, cells=cells).awaitTermination()
+        if after_batch:
+            after_batch(folder, cells, part)
+    return f"{folder}/posts", cells
+
+
+@query
+def stream_stats(t):
+    """The counts as they stand after each of three batches, the second of which is replayed."""
+    def report(folder: str, cells: CellStore, part: int) -> None:
+        if part == 1:
+            cells.add(readers.read_batch_posts(t.spark, f"{folder}/posts", part), part)
+        stats.sparse_stats(cells.cells()).withColumn("batch", F.lit(part)).write.mode("append").parquet(f"{cells.path}-reports")
+
+    _, cells = batched_posts(t, report)
+    return t.spark.read.parquet(f"{cells.path}-reports")
+
+
+@query
+def merged_posts(t):
+    """The counts of the stored posts before and after a merge.  An earlier merge holds the
+    first two batches, the second of which is replayed behind it."""
+
+    def merge(folder: str, cells: CellStore, part: int) -> None:
+        if part == 1:
+            again = readers.read_batch_posts(t.spark, f"{folder}/posts", part).checkpoint()
+            writers.merge_posts(t.spark, f"{folder}/posts", part)
+            writers.write_batch_posts(again, f"{folder}/posts", part)
+
+    def counted(phase: str) -> DataFrame:
+        posts = readers.read_posts(t.spark, path)
+        return stats.sparse_stats(stats.cells(posts)).withColumn("phase", F.lit(phase))
+
+    path, _ = batched_posts(t, merge)
+    before = counted("before").checkpoint()
+    writers.merge_posts(t.spark, path, BATCHES - 1)
+    return before.unionByName(counted("after"))
+
+
 @query
 def stream_dedupe(t):
-    """Users of the event stream, each once however late a row comes."""
-    source = t.spark.readStream.schema(t.events.schema).option(
-        "pathGlobFilter", "events.parquet").parquet(t.folder)
+    """Users of the event stream, each once however late a row comes: three batches, the last
+    of which brings all rows of the first again."""
     folder = run_dir(t.spark, "stream")
-    users = ingest.dedupe_stream(source, "user_id").select("user_id")
-    (users.writeStream.format("parquet").option("path", f"{folder}/users")
-     .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination())
+    parts = (F.col("user_id") % 2 == 0, F.lit(True), F.col("user_id") % 2 == 0)
+    for part in parts:
+        t.events.where(part).write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(t.events.schema).parquet(f"{folder}/in")
+        with ingest.state_on_disk(t.spark):
+            users = ingest.dedupe_stream(source, "user_id").select("user_id")
+            (users.writeStream.format("parquet").option("path", f"{folder}/users")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination())
     return t.spark.read.parquet(f"{folder}/users")
 
 

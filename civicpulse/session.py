@@ -50,3 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path under the shared folder for one run's tables."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

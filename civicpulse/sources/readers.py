@@ -15,8 +15,10 @@ from ..functions.text import with_computed
 from ..operators.bayes import Model
 from ..params import Parameters
 from ..schemas import COUNTRY_CONTINENT, GAZETTEER, PAGE, POST, TWEET
+from .segments import Segments
 
 CORRUPT = "_corrupt_record"
+STORED_POST = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POST.fields)
 SMALL_SPLITS = 32
 
 # The columns of the published GeoNames place and country dumps.
@@ -139,11 +141,23 @@ def read_parameters(spark: SparkSession, path: str) -> Parameters:
 # ---- posts and models -------------------------------------------------------------
 
 def read_posts(spark: SparkSession, path: str, resource: str | None = None) -> DataFrame:
-    """All posts, or those of one source by partition pruning (any case)."""
-    posts = spark.read.schema(POST).parquet(path).select(*POST.fieldNames())
+    """All posts, or those of one source by partition pruning (any case).
+
+    Of a store whose batches were merged, the segments and the batches behind them.
+    """
+    held = Segments(spark, path)
+    if held.merged() >= 0:
+        posts = held.rows(STORED_POST).select(*POST.fieldNames())
+    else:
+        posts = spark.read.schema(POST).parquet(path).select(*POST.fieldNames())
     return posts if resource is None else posts.where(F.col("resource") == resource.upper())
 
 
+def read_batch_posts(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The posts that one batch of a stream has stored."""
+    return Segments(spark, path).batches(STORED_POST, batch_id - 1, batch_id).drop("batch_id")
+
+
 def load_model(spark: SparkSession, models_dir: str, data_source: str) -> Model | None:
     """The latest saved version of a model, or None if this source has none."""
     path = f"{models_dir}/{data_source}"

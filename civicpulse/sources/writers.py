@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bayes import Model
+from .readers import STORED_POST
+from .segments import Segments
 
 
 def append_posts(posts: DataFrame, path: str) -> None:
@@ -22,10 +24,17 @@ def write_batch_posts(posts: DataFrame, path: str, batch_id: int) -> None:
      .partitionBy("batch_id", "resource").parquet(path))
 
 
-def save_place_index(index: DataFrame, path: str) -> None:
-    """In order of the keys, so that a lookup of few locations skips most row groups."""
-    (index.repartitionByRange("place_key").sortWithinPartitions("place_key")
-     .write.mode("overwrite").parquet(path))
+def merge_posts(spark: SparkSession, path: str, upto: int) -> None:
+    """Merge the batches of a post store up to ``upto`` into one segment by day and source.
+
+    The segment has few files of even size: large days are split, small ones put together.
+    Replays of merged batches change nothing.
+    """
+    held = Segments(spark, path)
+    merged = held.merged()
+    if merged < upto:
+        posts = held.batches(STORED_POST, merged, upto).drop("batch_id").withColumn("day", F.to_date("date"))
+        held.write(posts.hint("rebalance", "day", "resource"), merged, upto, "day", "resource")
 
 
 def write_stats(documents: DataFrame, path: str) -> None:
@@ -33,6 +42,12 @@ def write_stats(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
 
+def write_fragments(fragments: DataFrame, path: str) -> None:
+    """Nested stats as text files that, one after the other, are one JSON text."""
+    (fragments.repartitionByRange("position").sortWithinPartitions("position")
+     .select("fragment").write.mode("overwrite").text(path))
+
+
 def save_model(model: Model, models_dir: str, data_source: str) -> None:
     """Save a new version: its features in a folder of their own, then one row of metadata.
 
