@@ -62,8 +62,12 @@ def op10_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(table(spark, folder, "documents"))
 
 
+#: A single repeated line of at least so many words goes.
+LINE_WORDS = 8
+
+
 def op4_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.deduplicated(table(spark, folder, "documents")).select(
+    return lines.deduplicated(table(spark, folder, "documents"), run=3, words=LINE_WORDS).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

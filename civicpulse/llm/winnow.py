@@ -42,13 +42,13 @@ def runs(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return chosen.view(np.int64), first.astype(np.int32), last.astype(np.int32), weight.astype(np.int32)
 
 
-def recurring(rows: DataFrame, store: Store) -> DataFrame:
-    """Per text (``k1, k2``) the runs whose fingerprint occurs more than once in all texts.
+def recurring(rows: DataFrame, store: Store, keys: tuple[str, ...] = ("k1", "k2")) -> DataFrame:
+    """Per text (``keys``) the runs whose fingerprint occurs more than once in all texts.
 
-    ``rows`` has ``k1, k2, runs``.  Counts are summed before they are shuffled; positions
+    ``rows`` has ``keys`` and ``runs``.  Counts are summed before they are shuffled; positions
     meet the counts evenly, however often a fingerprint occurs.
     """
-    each = rows.select("k1", "k2", F.explode("runs").alias("run"))
+    each = rows.select(*keys, F.explode("runs").alias("run"))
     counts = store.put(each.groupBy("run.a").agg(F.sum("run.w").alias("n")).where("n > 1"))
-    met = even_join(each.select("k1", "k2", "run.a", "run.first", "run.last"), counts, ["a"], hot_keys(counts, ["a"], "n"))
-    return met.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "first", "last", "n")).alias("hits"))
+    met = even_join(each.select(*keys, "run.a", "run.first", "run.last"), counts, ["a"], hot_keys(counts, ["a"], "n"))
+    return met.groupBy(*keys).agg(F.collect_set(F.struct("a", "first", "last", "n")).alias("hits"))

@@ -27,17 +27,18 @@ def brute_phrases(rows, window):
         yield key, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-def brute_lines(rows, run):
+def brute_lines(rows, run, words=None):
     """rows: distinct (doc_id, text), ids distinct"""
-    seen, split = defaultdict(list), {}
-    for key, text in rows:
-        split[key] = [(i, x) for i, x in enumerate((text or "").split("\n")) if split_words(x)]
-        for i in range(len(split[key]) - run + 1):
-            seen[tuple(x for _, x in split[key][i:i + run])].append((key, i))
     gone = defaultdict(set)
-    for places in seen.values():
-        for key, i in sorted(places)[1:]:
-            gone[key].update(p for p, _ in split[key][i:i + run])
+    for size, least in [(run, 1), *([(1, words)] if words else [])]:
+        seen, split = defaultdict(list), {}
+        for key, text in rows:
+            split[key] = [(i, x) for i, x in enumerate((text or "").split("\n")) if len(split_words(x)) >= least]
+            for i in range(len(split[key]) - size + 1):
+                seen[tuple(x for _, x in split[key][i:i + size])].append((key, i))
+        for places in seen.values():
+            for key, i in sorted(places)[1:]:
+                gone[key].update(p for p, _ in split[key][i:i + size])
     for key, text in rows:
         every = text.split("\n") if text is not None else []
         yield key, len(every), len(gone[key]), None if text is None else "\n".join(
@@ -80,6 +81,9 @@ def test_lines_equal_brute_force(spark):
     for run in (1, 2, 3):
         got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in lines.deduplicated(frame, run).collect()), key=repr)
         assert got == sorted(brute_lines(rows, run), key=repr)
+    for words in (2, 5):
+        got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in lines.deduplicated(frame, 3, words).collect()), key=repr)
+        assert got == sorted(brute_lines(rows, 3, words), key=repr)
     assert lines.deduplicated(frame).columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
     assert lines.deduplicated(frame.limit(0)).count() == 0
     ids = spark.createDataFrame([(None, "a\nb\nc"), (7, "a\nb\nc"), (8, "a\nb\nc"), (8, "a\nb\nc")], "doc_id int, text string")
@@ -91,5 +95,23 @@ def test_queries_equal_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in op5_phrases(spark, folder).collect()) == sorted(brute_phrases(rows, 35))
-    want = sorted((k, n, m, hashlib.sha256(t.encode()).hexdigest()) for k, n, m, t in brute_lines(rows, 3))
+    want = sorted((k, n, m, hashlib.sha256(t.encode()).hexdigest()) for k, n, m, t in brute_lines(rows, 3, 8))
     assert sorted(tuple(r) for r in op4_lines(spark, folder).collect()) == want
+
+
+def test_no_long_line_is_left_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    seen = Counter(x for r in lines.deduplicated(docs, 3, 8).collect() for x in (r["text"] or "").split("\n") if len(split_words(x)) >= 8)
+    assert max(seen.values()) == 1
+
+
+def test_lines_of_odd_columns_and_long_texts(spark):
+    long = "\n".join(f"line {i} with quite a few words in it for sure" for i in range(20_000))
+    rows = [(1, long, 5, {"a": 1}, 7.5, "x"), (2, "head\n" + long, 6, None, None, None), (3, None, 1, {}, 1.0, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, `a.b` map<string,int>, _row double, places string")
+    got = {r["doc_id"]: r for r in lines.deduplicated(docs, 3, 8, counts=False).collect()}
+    assert lines.deduplicated(docs, counts=False).columns == docs.columns
+    assert got[1]["text"] == long and got[2]["text"] == "head" and got[3]["text"] is None
+    assert [got[i]["n_lines"] for i in (1, 2, 3)] == [5, 6, 1] and got[1]["a.b"] == {"a": 1} and got[1]["_row"] == 7.5
+    counted = {r["doc_id"]: r["n_lines"] for r in lines.deduplicated(docs, 3, 8).collect()}
+    assert counted == {1: 20_000, 2: 20_001, 3: 0}

@@ -6,11 +6,12 @@ import pytest
 
 import corpus_pipeline
 from civicpulse.llm import gam, hnsw, outliers, preference
-from civicpulse.llm.queries import op3_quality, op6_embeddings, op8_preference, op10_outliers
+from civicpulse.llm.queries import LINE_WORDS, op3_quality, op6_embeddings, op8_preference, op10_outliers
 
 from .test_cube import plain_targets
 from .test_dedup import brute_lines, split_words
-from .test_simhash import brute, groups
+from .test_nearcopies import brute_copies
+from .test_simhash import groups
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -172,10 +173,10 @@ def test_pipeline(spark):
     assert all(k in kept for k, q in labels.items() if q) and good.columns == docs.columns
     assert sum(k not in kept for k, q in labels.items() if not q) >= .9 * sum(not q for q in labels.values())
     cut = stages["line_dedup"](spark, good, FOLDER).persist()
-    want = {k: t for k, _, _, t in brute_lines([(r["doc_id"], r["text"]) for r in good.collect()], 3)}
+    want = {k: t for k, _, _, t in brute_lines([(r["doc_id"], r["text"]) for r in good.collect()], 3, LINE_WORDS)}
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == want and cut.columns == docs.columns
     near = stages["near_dedup"](spark, cut, FOLDER).persist()
-    assert {r["doc_id"] for r in near.collect()} == set(brute(list(want.items())).values())
+    assert {r["doc_id"] for r in near.collect()} == set(brute_copies(list(want.items())).values())
     mixed = stages["mix"](spark, near, FOLDER).persist()
     sizes, taken, largest = Counter(), Counter(), {}
     for r in near.collect():
