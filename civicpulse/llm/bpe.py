@@ -3,9 +3,14 @@
 A token sequence is the BPE encoding of a piece exactly if each token encodes itself and
 each two neighbours encode their joined bytes as just these two.  That makes encoding a
 finite-state matter: a nondeterministic machine guesses token ends, and a pair table says
-which token may follow which.  ``Transducer`` determinises it while it reads.  A state holds
-the guesses that are still open, each with the tokens not yet emitted; as soon as all guesses
-share their first tokens, these are emitted, so output lags by a bounded number of bytes.
+which token may follow which.  ``Transducer`` determinises it while it reads.
+
+A state holds the guesses that are still open: the token before, and the trie node of the bytes
+since.  Of the token before, only that counts which decides the future: which of the tokens
+below the node may follow it.  So guesses that agree in this are one, guesses that nothing can
+follow are dropped, and histories that differ meet in one state again.  A move tells the token
+that ends here, which is the only one, as every prefix of a piece has one encoding.  Tokens go
+out as soon as all open guesses share them, so output lags by a bounded number of bytes.
 
 Decoding concatenates token bytes in chunks; ``Utf8Stream`` keeps back an unfinished
 character at the end of a chunk until its other bytes arrive.
@@ -14,6 +19,7 @@ character at the end of a chunk until its other bytes arrive.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -25,7 +31,12 @@ from pyspark.sql import types as T
 
 from .common import texts
 
+#: Bytes, or tokens, worked off at a time.
 CHUNK = 4096
+#: First bytes of a piece whose state is remembered.
+HEAD = 4
+#: So many tokens below a trie node are looked at to find guesses with the same future.
+FEW = 32
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -52,38 +63,66 @@ class Transducer:
     """Bytes of one piece in, token ids out.
 
     ``most_states`` and ``most_pieces`` bound the memory, not the results: with that many
-    states it goes on without new ones, following the guesses of a piece one after the other where
-    a move is missing; of the remembered pieces it forgets the oldest half.
+    states the machine starts its tables anew, going on from the state it is in; of the
+    remembered pieces it forgets the oldest half.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 20_000, most_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000, most_pieces: int = 150_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.token = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=0)
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token_at = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                node = self.child.setdefault(node << 8 | byte, len(self.token_at))
-                if node == len(self.token_at):
+                after = self.child.setdefault(node << 8 | byte, len(self.token_at))
+                if after == len(self.token_at):
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                node = after
             self.token_at[node] = rank
+        self.below = self.tokens_below()
         self.spines: dict[int, tuple[list, list] | None] = {}
-        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty tables of states."""
+        self.pairs: dict[int, bool] = {}
+        self.classes: dict[tuple, tuple[int, int]] = {}
+        self.guesses: dict[int, tuple[int, int] | None] = {}
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self.state((((-1,), 0),))
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
+        self.start = self.state(((-1, 0),))
+
+    def tokens_below(self) -> list[tuple[int, ...] | None]:
+        """For each node the tokens longer than its bytes that begin with them; None if many."""
+        out: list[list[int] | None] = [[] for _ in self.token_at]
+        parent = [0] * len(self.token_at)
+        for key, node in self.child.items():
+            parent[node] = key >> 8
+        for node in range(1, len(self.token_at)):
+            up, token = parent[node], self.token_at[node]
+            while token >= 0:
+                held = out[up]
+                if held is not None:
+                    held.append(token)
+                    if len(held) > FEW:
+                        out[up] = None
+                if not up:
+                    break
+                up = parent[up]
+        return [None if held is None else tuple(held) for held in out]
 
     def state(self, guesses: tuple) -> int:
         found = self.number.get(guesses)
         if found is None:
             found = self.number[guesses] = len(self.states)
             self.states.append(guesses)
-            self.moves.append({})
         return found
 
     def spine(self, rank: int) -> tuple[list, list] | None:
@@ -134,124 +173,126 @@ class Transducer:
 
     def pair(self, before: int, token: int) -> bool:
         """``follows``, remembered."""
-        if len(self.pairs) >= 400_000:
-            self.pairs.clear()
-        fits = self.pairs[(before + 1) << 32 | token] = self.follows(before, token)
+        key = (before + 1) << 32 | token
+        fits = self.pairs.get(key)
+        if fits is None:
+            fits = self.pairs[key] = self.follows(before, token)
         return fits
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are certain now; built when first needed."""
-        after, pairs, child, token_at = [], self.pairs, self.child, self.token_at
-        for tokens, node in self.states[state]:
-            node = child.get(node << 8 | byte)
+    def guess(self, before: int, node: int) -> tuple[int, int] | None:
+        """The open guess that stands for all with the same future; None if there is none."""
+        key = (before + 1) << 32 | node
+        if key in self.guesses:
+            return self.guesses[key]
+        tokens, found = self.below[node], (before, node)
+        if tokens is not None:
+            may = tuple(t for t in tokens if self.follows(before, t))
+            found = self.classes.setdefault((node, may), found) if may else None
+        self.guesses[key] = found
+        return found
+
+    def move(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the token that ends here; built when first needed."""
+        after, last = [], -1
+        for before, node in self.states[state]:
+            node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
-            after.append((tokens, node))
-            token = token_at[node]
-            if token >= 0:
-                fits = pairs.get((tokens[-1] + 1) << 32 | token)
-                if fits is None:
-                    fits = self.pair(tokens[-1], token)
-                if fits:
-                    after.append(((*tokens, token), 0))
-        # Tokens that all guesses share are out; the last of them stays as what comes before.
-        first = after[0][0]
-        shared = min(len(tokens) for tokens, _ in after)
-        while shared > 1 and any(tokens[:shared] != first[:shared] for tokens, _ in after):
-            shared -= 1
-        sent = first[1:shared]
-        if sent:
-            after = [(tokens[shared - 1:], node) for tokens, node in after]
-        out = self.moves[state][byte] = (self.state(tuple(after)), sent)
+            token = self.token_at[node]
+            if last < 0 <= token and self.pair(before, token):
+                last = token
+            open_ = self.guess(before, node)
+            if open_:
+                after.append(open_)
+        after.append((last, 0))
+        out = self.moves[state << 8 | byte] = (self.state(tuple(after)), last)
         return out
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
-        state, out, moves, full = self.start, [], self.moves, len(self.states) >= self.most_states
-        for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                if full:
-                    before = self.states[state][0][0][0]
-                    return (*out, *self.simulate(before, piece[sum(map(len, map(self.token.get, out))):]))
-                step = self.move(state, byte)
-            state, sent = step
-            if sent:
-                out += sent
-        rest = next(tokens for tokens, node in self.states[state] if not node)
-        return (*out, *rest[1:])
-
-    def simulate(self, before: int, rest: bytes) -> list[int]:
-        """The tokens of ``rest`` after the token ``before``: guesses are followed one by one,
-        longest token first.
-
-        A place that leads nowhere is left for good: every prefix has one encoding at most,
-        so no other way comes there with another last token.
-        """
-        find, pairs, longest, size = self.ranks.get, self.pairs.get, self.longest, len(rest)
-        out, ends, dead, last, place = [], [], set(), before, 0
-        length = min(longest, size)
-        while place < size:
-            while length:
-                token = find(rest[place:place + length])
-                if token is not None and place + length not in dead:
-                    fits = pairs((last + 1) << 32 | token)
-                    if self.pair(last, token) if fits is None else fits:
-                        break
-                length -= 1
-            if length:
-                out.append(token)
-                ends.append(place)
-                last, place = token, place + length
-                length = min(longest, size - place)
-            else:
-                dead.add(place)
-                out.pop()
-                last, length = out[-1] if out else before, place - ends[-1] - 1
-                place = ends.pop()
+    def tokens(self, last: list[int], end: int) -> list[int]:
+        """The tokens up to a position, from the last token of every prefix."""
+        out, size = [], self.size
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
         return out
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        """Token ids of a piece and the same as decimals joined by commas, remembered."""
-        found = self.known.get(piece)
-        if found is None:
-            found = self.older.get(piece)
-            if found is None:
+    def certain(self, state: int, last: list[int]) -> int:
+        """Up to which position all open guesses share their tokens."""
+        ends = {len(last) - self.depth[node] for _, node in self.states[state]}
+        while len(ends) > 1:
+            end = max(ends)
+            ends.remove(end)
+            ends.add(end - self.size[last[end - 1]])
+        return ends.pop()
+
+    def head(self, piece: bytes) -> tuple[int, tuple[int, ...]]:
+        """The state after the first bytes of a piece and the last tokens of their prefixes,
+        remembered: many pieces begin alike."""
+        state, last = self.start, []
+        for byte in piece[:HEAD]:
+            state, token = self.moves.get(state << 8 | byte) or self.move(state, byte)
+            last.append(token)
+        found = self.heads[piece[:HEAD]] = (state, tuple(last))
+        return found
+
+    def encode(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        if len(self.states) > self.most_states:
+            self.forget()
+        state, last = self.heads.get(piece[:HEAD]) or self.head(piece)
+        moves, last, out = self.moves.get, list(last), []
+        for byte in piece[HEAD:CHUNK]:
+            state, token = moves(state << 8 | byte) or self.move(state, byte)
+            last.append(token)
+        for start in range(CHUNK, len(piece), CHUNK):
+            sure = self.certain(state, last)
+            out += self.tokens(last, sure)
+            del last[:sure]
+            if len(self.states) > self.most_states:
+                held = self.states[state]
+                self.forget()
+                state = self.state(held)
+            for byte in piece[start:start + CHUNK]:
+                state, token = self.moves.get(state << 8 | byte) or self.move(state, byte)
+                last.append(token)
+        return out + self.tokens(last, len(last))
+
+    def pieces(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str]]:
+        """Of each piece the token ids and the same as decimals joined by commas, remembered."""
+        found = list(map(self.known.get, pieces))
+        for place in [i for i, x in enumerate(found) if x is None]:
+            piece = pieces[place]
+            held = self.known.get(piece) or self.older.get(piece)
+            if held is None:
                 ids = self.encode(piece.encode())
-                found = (ids, ",".join(map(str, ids)))
+                held = (tuple(ids), ",".join(map(str, ids)))
             if len(piece) <= 64:
                 if len(self.known) >= self.most_pieces:
                     self.older, self.known = self.known, {}
-                self.known[piece] = found
+                self.known[piece] = held
+            found[place] = held
         return found
 
 
 class Utf8Stream:
-    """Incremental UTF-8: ``feed`` gives the text that is complete, ``close`` the rest."""
+    """Incremental UTF-8: ``feed`` gives the text that is complete, ``close`` the rest.
+
+    The state between chunks is what the character begun last still lacks, with its bytes so
+    far; it is kept by the standard library's incremental decoder.
+    """
 
     def __init__(self):
-        self.held = b""
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data)
-        # State: how many bytes the character begun last still lacks.
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:
-                wants = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                cut -= back if wants > back and byte < 0xF8 else 0
-                break
-            if byte < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return self.machine.decode(data)
 
     def close(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        return self.machine.decode(b"", True)
 
 
 def decode_chunks(token: dict[int, bytes], ids: Iterable[int]) -> Iterator[bytes]:
@@ -261,11 +302,15 @@ def decode_chunks(token: dict[int, bytes], ids: Iterable[int]) -> Iterator[bytes
         yield b"".join(map(token.__getitem__, ids[at:at + CHUNK]))
 
 
-def decode_text(token: dict[int, bytes], ids: Iterable[int]) -> str:
+def decoded(token: dict[int, bytes], ids: Iterable[int]) -> Iterator[str]:
     """Text of the tokens, streamed; bytes that are no UTF-8 become U+FFFD."""
     stream = Utf8Stream()
-    done = "".join(map(stream.feed, decode_chunks(token, ids)))
-    return done + stream.close()
+    yield from map(stream.feed, decode_chunks(token, ids))
+    yield stream.close()
+
+
+def decode_text(token: dict[int, bytes], ids: Iterable[int]) -> str:
+    return "".join(decoded(token, ids))
 
 
 COMPILED: dict[bytes, Transducer] = {}
@@ -304,11 +349,11 @@ def encode_documents(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(ranks.value)
-        find, lookup, token = regex.compile(pattern).findall, machine.piece, machine.token
+        find, lookup, token = regex.compile(pattern).findall, machine.pieces, machine.token
         for batch in batches:
             out = {f: [] for f in fields}
             for text in texts(batch.column(1)):
-                pieces = list(map(lookup, find(text.decode("utf-8", "replace"))))
+                pieces = lookup(find(text.decode("utf-8", "replace")))
                 ids = list(chain.from_iterable(p[0] for p in pieces))
                 if "n_tokens" in out:
                     out["n_tokens"].append(len(ids))
@@ -320,8 +365,8 @@ def encode_documents(
                     out["decoded"].append(decode_text(token, ids))
                 if "decoded_sha256" in out:
                     digest = sha()
-                    for part in decode_chunks(token, ids):
-                        digest.update(part)
+                    for part in decoded(token, ids):
+                        digest.update(part.encode())
                     out["decoded_sha256"].append(digest.hexdigest())
             types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             arrays = [pa.array(out[f], types.get(f, pa.string())) for f in fields]

@@ -3,9 +3,11 @@ import random
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
+from civicpulse.llm import bpe
 from civicpulse.llm.bpe import Transducer, Utf8Stream, decode_text, encode_documents, merged, parse_ranks
 from civicpulse.llm.queries import RANKS, op1_bpe
 
@@ -35,6 +37,32 @@ def test_pieces_equal_the_merges(ranks, most_states):
         assert wanted is None or got == wanted
 
 
+def test_histories_meet_in_states(spark, ranks):
+    """A state for every second piece at most; most bytes need no new move; nothing is left
+    to another way."""
+    machine, find = Transducer(ranks), regex.compile(P.PATTERN).findall
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.coalesce("text", F.lit(""))).collect()
+    pieces = sorted({w.encode() for (t,) in docs for w in find(t)} - set(ranks))
+    first = [machine.encode(p) for p in pieces]
+    states, moves = len(machine.states), len(machine.moves)
+    assert states < len(pieces) / 2 and moves < sum(map(len, pieces)) / 4
+    assert [machine.encode(p) for p in pieces] == first and (len(machine.states), len(machine.moves)) == (states, moves)
+
+
+def test_output_lags_by_a_bounded_number_of_bytes(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    machine, whole, draw = Transducer(ranks), Transducer(ranks), random.Random(2)
+    longest = max(map(len, ranks))
+    held = []
+    certain = machine.certain
+    monkeypatch.setattr(machine, "certain", lambda state, last: held.append(len(last) - certain(state, last)) or certain(state, last))
+    piece = bytes(draw.choices(b"abehnort", k=20_000)) + b"ab" * 5000
+    got = machine.encode(piece)
+    monkeypatch.setattr(bpe, "CHUNK", 1 << 20)
+    assert got == whole.encode(piece) and b"".join(map(machine.token.get, got)) == piece
+    assert len(held) > 400 and max(held) <= 4 * longest
+
+
 def test_documents_equal_the_library(spark, library):
     odd = [None, "", " ", "  a  b\n\n c ", "don't I'LL we've", "naïve 漢字 🙂👩‍🚀 é", "\x1c\x85　x", "a" * 50_000,
            "\n" * 3000, "é" * 9999, "a", "a"]
