@@ -3,17 +3,17 @@ automata, and located in all documents.
 
 Every window of ``window`` words chooses a fingerprint among its word sequences, so windows
 that are equal meet under one.  The stretches of text under fingerprints that occur more
-than once are dealt to shards by fingerprint.  A shard confirms the windows that occur at
-least twice, compiles them into automata over words, and streams all its stretches through
-them.  No document needs to see another shard: what it shares with others is where its
+than once are dealt to shards by fingerprint.  A shard confirms the passages whose windows
+occur at least twice, compiles them into automata over words, and streams its stretches
+through them.  No document needs to see another shard: what it shares with others is where its
 fingerprints are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Hashes, Store, even_join, hot_keys, row_key, sequence_hashes, texts
+from .common import Hashes, Store, even_join, hot_keys, mix, row_key, sequence_hashes, texts
 from .winnow import RUN, recurring, runs
 
 #: Words of a fingerprinted sequence.
@@ -101,33 +101,68 @@ def stretches(texts_with_hits: DataFrame, window: int) -> DataFrame:
     return texts_with_hits.select("text", "k1", "k2", "hits").mapInArrow(work, schema)
 
 
+def confirmed(words: np.ndarray, sizes: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """``(stretch, first, last)`` of the recurring passages, in windows of the stretch.
+
+    ``words`` are the numbers of all words, stretch after stretch.  A window is confirmed if
+    its hash occurs twice or more; ``counts`` says how often each stretch does.  Neighbouring
+    windows are one passage if both occur exactly as often as they occur together, so that
+    none of its windows occurs anywhere without the whole passage.
+    """
+    stretch = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+    x = mix((words + 1).astype(np.uint64))
+    times = []
+    for length in (window, window + 1):
+        at = np.nonzero(left >= length)[0]
+        _, same = np.unique(sequence_hashes(x, length, BASE)[at], return_inverse=True)
+        held = np.zeros(len(words), np.int64)
+        if len(at):
+            held[at] = np.bincount(same, counts[stretch[at]])[same]
+        times.append(held)
+    often, both = times
+    tight = np.zeros(len(words), bool)
+    tight[:-1] = (both[:-1] == often[:-1]) & (both[:-1] == often[1:])
+    good = often > 1
+    opens = good & ~np.concatenate(([False], (good & tight)[:-1]))
+    first = np.nonzero(opens)[0]
+    last = np.nonzero(good & ~tight)[0]
+    base = (np.cumsum(sizes) - sizes)[stretch[first]]
+    return np.stack((stretch[first], first - base, last - base), axis=1)
+
+
 def located(stretch_words: list[list[bytes]], counts: list[int], window: int) -> list[int]:
     """For each stretch a mask of its windows that occur at least twice in all of them.
 
-    A word becomes one character, so a window is a string of ``window`` characters.
+    The confirmed passages are compiled into an automaton over words (a word becomes one
+    character), which then finds every place of every passage; one that it finds once only
+    was confirmed by a hash that two windows share, and does not count.
     """
-    letters: dict[bytes, str] = {}
-
-    def letter(word: bytes) -> str:
-        found = letters.get(word)
-        if found is None:
-            code = len(letters) + 1
-            found = letters[word] = chr(code if code < 0xD800 else code + 0x800)
-        return found
-
-    strings = ["".join(map(letter, words)) for words in stretch_words]
-    seen: Counter[str] = Counter()
-    for string, n in zip(strings, counts):
-        for i in range(len(string) - window + 1):
-            seen[string[i:i + window]] += n
-    automaton = ahocorasick.Automaton()
-    for phrase, n in seen.items():
-        if n > 1:
-            automaton.add_word(phrase, True)
-    if not len(automaton):
-        return [0] * len(strings)
+    letters: dict[bytes, int] = {}
+    numbers = [[letters.setdefault(word, len(letters)) for word in words] for words in stretch_words]
+    strings = ["".join([chr(i + 1 if i < 0xD7FF else i + 0x801) for i in row]) for row in numbers]
+    sizes, weight = np.array([len(row) for row in numbers]), np.array(counts)
+    flat = np.fromiter(chain.from_iterable(numbers), np.int64, count=int(sizes.sum()))
+    found = confirmed(flat, sizes, weight, window)
+    masks = [0] * len(strings)
+    if not len(found):
+        return masks
+    passages_of, automaton = {}, ahocorasick.Automaton()
+    for stretch, first, last in found.tolist():
+        passage = strings[stretch][first:last + window]
+        if passage not in passages_of:
+            automaton.add_word(passage, (len(passages_of), len(passage)))
+            passages_of[passage] = len(passages_of)
     automaton.make_automaton()
-    return [sum({1 << end - window + 1 for end, _ in automaton.iter(string)}) for string in strings]
+    hits = [(stretch, number, end - size + 1, size) for stretch in np.unique(found[:, 0]).tolist()
+            for end, (number, size) in automaton.iter(strings[stretch])]
+    times = [0] * len(passages_of)
+    for stretch, number, _, _ in hits:
+        times[number] += counts[stretch]
+    for stretch, number, first, size in hits:
+        if times[number] > 1:
+            masks[stretch] |= ((1 << size - window + 1) - 1) << first
+    return masks
 
 
 def passages(distinct: DataFrame, window: int) -> DataFrame:

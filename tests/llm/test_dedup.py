@@ -115,3 +115,23 @@ def test_lines_of_odd_columns_and_long_texts(spark):
     assert [got[i]["n_lines"] for i in (1, 2, 3)] == [5, 6, 1] and got[1]["a.b"] == {"a": 1} and got[1]["_row"] == 7.5
     counted = {r["doc_id"]: r["n_lines"] for r in lines.deduplicated(docs, 3, 8).collect()}
     assert counted == {1: 20_000, 2: 20_001, 3: 0}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_passages_of_a_shard_equal_brute_force(seed):
+    draw = random.Random(seed)
+    window, words = 4, [b"%d" % i for i in range(6 if seed % 2 else 60)]
+    passages = [[draw.choice(words) for _ in range(draw.randrange(4, 12))] for _ in range(6)]
+    stretches, counts = [], []
+    for _ in range(30):
+        part = draw.choice(passages)
+        part = part[draw.randrange(3):len(part) - draw.randrange(3)] if draw.random() < .5 else part
+        stretch = [draw.choice(words) for _ in range(draw.randrange(4))] + part + [draw.choice(words) for _ in range(draw.randrange(4))]
+        stretches.append(stretch[:30])
+        counts.append(draw.choice([1, 1, 1, 3]))
+    seen = Counter()
+    for stretch, n in zip(stretches, counts):
+        for i in range(len(stretch) - window + 1):
+            seen[tuple(stretch[i:i + window])] += n
+    want = [sum(1 << i for i in range(len(s) - window + 1) if seen[tuple(s[i:i + window])] > 1) for s in stretches]
+    assert phrases.located(stretches, counts, window) == want
