@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 from xml.etree.ElementTree import Element
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +15,10 @@ from ..functions import urls
 from ..functions.markup import has_class, parse, with_class
 from ..params import REVIEW_URL
 from ..schemas import LINK
-from ..session import shared_dir
+from ..session import run_dir
+from ..sources.buckets import Buckets
 from .pages import map_pages
-from .skew import hot_keys, salted_join
+from .skew import SALTS, hot_keys
 
 # What a link may start with, and endings of files that are no pages.
 SCHEMES = ("http", "https", "ftp", "file")
@@ -30,7 +30,6 @@ SKIPPED_EXTENSIONS = frozenset(
     xls xlsx ppt pptx pps doc docx odt ods odg odp
     css pdf exe bin rss zip rar
     """.split())
-SMALL_FRONTIER_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -198,35 +197,55 @@ def seed_cities(search_urls: DataFrame, base: str = REVIEW_URL) -> DataFrame:
     return search_urls.select("url", city.alias("city")).where(F.col("city").isNotNull())
 
 
+def link_buckets(edges: DataFrame, path: str) -> tuple[Buckets, DataFrame]:
+    """Links between different urls, bucketed by their start; and the hashes of the starts that
+    hold a large share of all links.
+
+    The links of such a page are dealt to ``SALTS`` buckets, so no task follows them alone.
+    """
+    links = edges.select("src", "dst").where("src <> dst").distinct()
+    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(degrees, "src").checkpoint()
+    salt = F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = links.join(F.broadcast(hot), F.xxhash64("src") == F.col("hot_hash"), "left").withColumn("salt", salt)
+    held = Buckets(edges.sparkSession, path, ("src", "salt"))
+    held.append(salted.select("src", "salt", "dst"))
+    return held, hot
+
+
+def next_reached(links: DataFrame, hot: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
+    """``url, city, depth``: the urls that links lead to from those reached one round before,
+    and that no round has reached yet.
+
+    ``links`` lie in buckets of (src, salt) and ``visited`` in buckets of url: only the rows of
+    the last round, and the urls they lead to, are shuffled.
+    """
+    salts = F.when(F.col("hot_hash").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    last = visited.where(F.col("depth") == depth - 1).select(F.col("url").alias("src"), "city")
+    sources = last.join(F.broadcast(hot), F.xxhash64("src") == F.col("hot_hash"), "left").select(
+        "src", "city", F.explode(salts).alias("salt"))
+    reached = links.join(sources, ["src", "salt"]).groupBy(F.col("dst").alias("url")).agg(F.min("city").alias("city"))
+    # Without the hint the larger of the two sides could be broadcast.
+    return reached.join(visited.select("url").hint("merge"), "url", "left_anti").withColumn("depth", F.lit(depth))
+
+
 def propagate_cities(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``url, city, depth`` of every url reached from a seed; each url is reached once.
 
     A url takes the city of the page that reaches it first; if several do in the same
-    round, the smallest city.  Each round writes a checkpoint, so a lost executor costs
-    no earlier round.
+    round, the smallest city.  Links and reached urls are written once, bucketed by their
+    keys; a round moves what the round before reached and adds what it reaches.  All of it is
+    in the shared folder, so a lost executor costs no earlier round.
     """
-    shared_dir(edges.sparkSession)
-    links = edges.select("src", "dst").where("src <> dst").distinct().persist(
-        StorageLevel.MEMORY_AND_DISK)
-    frontier = seeds.groupBy("url").agg(F.min("city").alias("city")).withColumn(
-        "depth", F.lit(0)).checkpoint()
-    visited, depth = frontier, 0
+    spark = edges.sparkSession
+    folder = run_dir(spark, "lineage")
+    links, hot = link_buckets(edges, f"{folder}/links")
+    visited, depth = Buckets(spark, f"{folder}/visited", ("url",), "depth"), 0
+    visited.append(seeds.groupBy("url").agg(F.min("city").alias("city")).withColumn("depth", F.lit(0)))
     while max_depth is None or depth < max_depth:
-        size = frontier.agg(F.sum(F.octet_length("url") + F.octet_length("city") + 64)).first()[0]
-        if not size:
+        if not visited.read().where(F.col("depth") == depth).limit(1).count():
             break
         depth += 1
-        sources = frontier.select(F.col("url").alias("src"), "city")
-        if size <= SMALL_FRONTIER_BYTES:
-            followed = links.join(F.broadcast(sources), "src")
-        else:
-            # A page may hold a large share of all links.
-            degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-            followed = salted_join(links, sources, "src", hot_keys(degrees, "src"))
-        reached = (
-            followed.groupBy(F.col("dst").alias("url")).agg(F.min("city").alias("city")))
-        frontier = reached.join(visited.select("url"), "url", "left_anti").withColumn(
-            "depth", F.lit(depth)).checkpoint()
-        visited = visited.unionByName(frontier)
-    links.unpersist()
-    return visited
+        visited.append(next_reached(links.read(), hot, visited.read(), depth))
+    links.close()
+    return visited.close().select("url", "city", "depth")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from civicpulse.functions import urls
+from civicpulse.sources.buckets import Buckets
 from civicpulse.operators import links
 from civicpulse.schemas import EDGE, PAGE
 
@@ -107,8 +108,45 @@ def test_city_lineage(spark):
     assert {r.url for r in short} == {"s1", "s2", "a", "c"}
 
 
-def test_lineage_of_a_frontier_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(links, "SMALL_FRONTIER_BYTES", 0)
+def plan_tree(df):
+    """Per node of the executed plan its depth and text, parents first."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [(len(x) - len(x.lstrip(" :+-*(0123456789)")), x) for x in lines if x.strip()]
+
+
+def test_a_round_moves_the_frontier_alone(spark, tmp_path):
+    edges = spark.range(4000).selectExpr("'p' || id % 500 AS src", "'q' || id AS dst").unionByName(
+        spark.range(500).selectExpr("'hub' AS src", "'p' || id AS dst"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        held, hot = links.link_buckets(edges, str(tmp_path / "links"))
+        visited = Buckets(spark, str(tmp_path / "visited"), ("url",), "depth")
+        visited.append(spark.createDataFrame([("hub", "rome", 0)], "url string, city string, depth int"))
+        step = links.next_reached(held.read(), hot, visited.read(), 1)
+        tree = plan_tree(step)
+        scans = [i for i, (_, x) in enumerate(tree) if "FileScan" in x and "Bucketed: true" in x]
+        assert any("dst" in tree[i][1] for i in scans)
+        for i in scans:
+            above, depth = [], tree[i][0]
+            for at in range(i - 1, -1, -1):
+                if tree[at][0] < depth:
+                    depth = tree[at][0]
+                    above.append(tree[at][1])
+            # Between the scan of bucketed links or urls and its join nothing is shuffled.
+            joined = next(k for k, x in enumerate(above) if "Join" in x)
+            if "PartitionFilters: [isnotnull(depth" not in tree[i][1]:
+                assert not any("Exchange" in x for x in above[:joined]), tree[i][1]
+        assert step.count() == 500
+        visited.append(step)
+        assert links.next_reached(held.read(), hot, visited.read(), 2).count() == 4000
+        assert {r["depth"] for r in visited.close().select("depth").distinct().collect()} == {0, 1}
+        held.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lineage_of_a_page_with_most_links(spark):
     edges = [("s", f"a{i}") for i in range(50)] + [(f"a{i}", "b") for i in range(50)]
     got = links.propagate_cities(spark.createDataFrame([("s", "rome")], "url string, city string"),
                                  spark.createDataFrame(edges, EDGE))
