@@ -38,7 +38,8 @@ class Rule:
 
     ``regions`` yields the elements to search.  ``process_value`` rewrites a found value
     (None drops it); ``process_links`` and ``callback`` work on the table of all links or
-    target pages of the rule.
+    target pages of the rule.  ``layout`` names what the target pages are read for: posts of
+    a layout of ``pages.LAYOUTS``, or a ``property`` page's expanded reviews.
     """
 
     name: str
@@ -48,6 +49,7 @@ class Rule:
     process_value: Callable[[str], str | None] | None = None
     process_links: Callable[[DataFrame], DataFrame] | None = None
     callback: Callable[[DataFrame], DataFrame] | None = None
+    layout: str | None = None
 
 
 def by_class(*names: str) -> Callable[[Element], list[Element]]:
@@ -75,21 +77,22 @@ def click_target(value: str) -> str:
     return re.sub(urls.CLICK_TARGET, r"\1\2", value)
 
 
-# The regions that the two sites' rules search, in rule order.
+# The regions that the two sites' rules search, in rule order, and what the pages
+# behind them are read for.
 FORUM_RULES = (
     Rule("forum", forum_index),
     Rule("next_page", next_links("a")),
-    Rule("thread", forum_threads),
+    Rule("thread", forum_threads, layout="forum"),
 )
 REVIEW_RULES = (
     Rule("category", by_class("navLinks")),
-    Rule("next_page", next_links("link"), tags=("link",)),
+    Rule("next_page", next_links("link"), tags=("link",), layout="property"),
     Rule("city_search_result", by_class("result", "GEOS"), tags=("div",), attr="onclick",
          process_value=click_target),
     Rule("sidebar_category", by_class("accommodation_type")),
-    Rule("property", by_class("property_title")),
-    Rule("forum_thread", travel_threads),
-    Rule("forum_pagination", by_class("pgLinks")),
+    Rule("property", by_class("property_title"), layout="property"),
+    Rule("forum_thread", travel_threads, layout="thread"),
+    Rule("forum_pagination", by_class("pgLinks"), layout="thread"),
 )
 
 
@@ -108,12 +111,11 @@ def followable(base: str, value: str) -> str | None:
     return urlunsplit((parts.scheme, parts.netloc.lower(), parts.path or "/", query, ""))
 
 
-def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``url, city, rule, link, link_text`` of all rules; a page without HTML gives none."""
+def link_rows(rules: Sequence[Rule]) -> Callable[[str, str | None, Element], Iterator[tuple]]:
+    """``url, city, rule, link, link_text`` of a parsed page."""
     searches = [(r.regions, r.tags, r.attr, r.process_value or str) for r in rules]
 
-    def rows_of(url: str, city: str | None, html: str) -> Iterator[tuple]:
-        root = parse(html)
+    def rows_of(url: str, city: str | None, root: Element) -> Iterator[tuple]:
         base = urljoin(url, next((b.get("href", "") for b in root.iter("base")), ""))
         for index, (regions, tags, attr, process) in enumerate(searches):
             for region in regions(root):
@@ -123,9 +125,14 @@ def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                     link = followable(base, value) if value else None
                     if link:
                         yield (url, city, index, link, "".join(element.itertext()))
+    return rows_of
+
 
+def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``url, city, rule, link, link_text`` of all rules; a page without HTML gives none."""
+    rows = link_rows(rules)
     marked = pages.where(F.contains("html", F.lit("<")))
-    return apply_hooks(map_pages(marked, rows_of, LINK), rules)
+    return apply_hooks(map_pages(marked, lambda url, city, html: rows(url, city, parse(html)), LINK), rules)
 
 
 def apply_hooks(links: DataFrame, rules: Sequence[Rule]) -> DataFrame:

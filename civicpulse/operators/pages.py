@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from html import escape
+from xml.etree.ElementTree import Element
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,8 @@ def map_pages(pages: DataFrame, rows_of: Callable[..., Iterable[Row]], schema) -
 
 # ---- layouts ----------------------------------------------------------------------
 
-def forum_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
+def forum_rows(url: str, city: str | None, root: Element) -> Iterator[Row]:
     """City-forum thread: topic in the navigation bar, one table per post."""
-    root = parse(html)
     topic = first_text([
         strong
         for cell in root.iter("td") if "alt1" in cell.get("class", "")
@@ -77,9 +77,9 @@ def forum_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
         yield (url, position, city, topic, " ".join(message), "\n".join(side), None, stamp)
 
 
-def review_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
+def review_rows(url: str, city: str | None, root: Element) -> Iterator[Row]:
     """Expanded reviews: one ``expanded_review...`` block per review."""
-    blocks = [d for d in parse(html).iter("div") if d.get("id", "").startswith("expanded_review")]
+    blocks = [d for d in root.iter("div") if d.get("id", "").startswith("expanded_review")]
     for position, block in enumerate(blocks):
         paragraphs = [n for entry in with_class(block, "entry") for p in entry.findall("./p")
                       for n in own_texts(p)]
@@ -90,9 +90,8 @@ def review_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
                stamp, first_text(marks))
 
 
-def thread_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
+def thread_rows(url: str, city: str | None, root: Element) -> Iterator[Row]:
     """Travel-forum thread: heading, and one ``post`` element per post."""
-    root = parse(html)
     heading = first_text([h for h in root.iter("h1") if h.get("id") == "HEADING"])
     for position, post in enumerate(with_class(root, "post")):
         # Bodies are taken as markup: a "<" of the text stays an entity when tags are cut.
@@ -102,6 +101,18 @@ def thread_rows(url: str, city: str | None, html: str) -> Iterator[Row]:
                first_text(with_class(post, "location")), None, stamp)
 
 
+#: What a page can hold, by name: its layout, and what the JVM looks for before it is parsed.
+LAYOUTS = {"forum": forum_rows, "review": review_rows, "thread": thread_rows}
+MARKS = {"forum": "post_message_", "review": "expanded_review", "thread": "postBody"}
+
+
+def raw_items(pages: DataFrame, layout: str) -> DataFrame:
+    """The items of all pages of one layout, as found."""
+    rows = LAYOUTS[layout]
+    return map_pages(pages.where(F.contains("html", F.lit(MARKS[layout]))),
+                     lambda url, city, html: rows(url, city, parse(html)), RAW_ITEM)
+
+
 # ---- posts ------------------------------------------------------------------------
 
 def forum_items(pages: DataFrame, cities=FORUM_CITIES, as_of: Column | None = None) -> DataFrame:
@@ -109,8 +120,11 @@ def forum_items(pages: DataFrame, cities=FORUM_CITIES, as_of: Column | None = No
 
     ``as_of`` is the reference time of ``Today`` and ``Yesterday``; give the crawl time.
     """
-    marked = pages.where(F.contains("html", F.lit("post_message_")))
-    found = map_pages(marked, forum_rows, RAW_ITEM).withColumn("topic", text.clean_topic(F.col("title")))
+    return forum_posts(raw_items(pages, "forum"), cities, as_of)
+
+
+def forum_posts(raw: DataFrame, cities=FORUM_CITIES, as_of: Column | None = None) -> DataFrame:
+    found = raw.withColumn("topic", text.clean_topic(F.col("title")))
     return topic_cities(found.drop("city"), cities).select(
         "url", "position", "city", "topic",
         text.clean_forum_text(F.col("text")).alias("text"),
@@ -125,8 +139,11 @@ def review_items(pages: DataFrame) -> DataFrame:
 
     A date text that does not parse leaves ``date`` null; see ``undated``.
     """
-    marked = pages.where(F.contains("html", F.lit("expanded_review")))
-    return map_pages(marked, review_rows, RAW_ITEM).select(
+    return review_posts(raw_items(pages, "review"))
+
+
+def review_posts(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "url", "position", "city", text.clean_review_text(F.col("title")).alias("title"),
         text.clean_review_text(F.col("text")).alias("text"), "geo",
         dates.review_date(F.col("date_title"), F.col("date_text")).alias("date"),
@@ -135,8 +152,11 @@ def review_items(pages: DataFrame) -> DataFrame:
 
 
 def thread_items(pages: DataFrame) -> DataFrame:
-    marked = pages.where(F.contains("html", F.lit("postBody")))
-    return map_pages(marked, thread_rows, RAW_ITEM).select(
+    return thread_posts(raw_items(pages, "thread"))
+
+
+def thread_posts(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "url", "position", "city", text.clean_review_text(F.col("title")).alias("title"),
         text.clean_review_text(F.col("text")).alias("text"), "geo",
         dates.post_date(F.col("date_text")).alias("date"), "date_text")
@@ -154,14 +174,18 @@ def undated(items: DataFrame) -> DataFrame:
 
 def detail_requests(pages: DataFrame) -> DataFrame:
     """Property pages with review ids to the url of their expanded reviews."""
+    rest = [c for c in pages.columns if c not in ("url", "html")]
+    return text.with_computed(pages, "detail", detail_of(F.col("url"), F.col("html"))).where(
+        F.col("detail").isNotNull()).select(*rest, F.col("url").alias("page_url"), F.col("detail").alias("url"))
+
+
+def detail_of(url: Column, html: Column) -> Column:
+    """The url of a property page's expanded reviews; null for other pages."""
     tags = F.regexp_extract_all(
-        "html", F.lit(r"""(?s)<[^>]*class\s*=\s*["'][^"']*\breviewSelector\b[^>]*>"""), F.lit(0))
+        html, F.lit(r"""(?s)<[^>]*class\s*=\s*["'][^"']*\breviewSelector\b[^>]*>"""), F.lit(0))
     named = F.transform(tags, lambda tag: F.regexp_extract(tag, r"""\sid\s*=\s*["']([^"']*)""", 1))
     own = F.flatten(F.transform(named, urls.review_ids))
-    url = urls.detail_url(F.col("url"), own)
-    rest = [c for c in pages.columns if c not in ("url", "html")]
-    return text.with_computed(pages, "detail", url).where(F.col("detail").isNotNull()).select(
-        *rest, F.col("url").alias("page_url"), F.col("detail").alias("url"))
+    return urls.detail_url(url, own)
 
 
 # ---- regular markup ---------------------------------------------------------------

@@ -7,6 +7,9 @@ from .inputs import (
     ASKED_CITIES, CITIES, DOMAINS, HASHTAGS, SOURCE_CITIES, LABEL, LANGUAGES, LOCATION, PHRASE_CITIES, RESOURCE, SENTIMENT,
     SITE_SECTION, TOPIC_CITIES, TOWN, TRACK_CITIES, TRACK_TEXT,
 )
+from .storedsites import CITY as SITE_CITY
+from .storedsites import IS_FORUM, IS_REVIEW, IS_THREAD, PER_LIST
+from .storedsites import TEXT as SITE_TEXT
 
 
 def quoted(value: str) -> str:
@@ -287,6 +290,23 @@ ORACLES: dict[str, str] = {
           WHERE page_id % 3 > 0 AND page_id % 4 > 0)
         SELECT page_id, page_url, 'http://www.tripadvisor.com/ExpandedUserReviews-g' || page_id || '-d7?target=' || ids[1]
           || '&context=1&reviews=' || array_to_string(ids, ',') || '&servlet=g' || page_id || '-d7Hotel_Review&expand=1' AS url FROM p""",
+    "site_posts": f"""WITH p AS (SELECT page_id, {SITE_TEXT} AS text, {SITE_CITY} AS city FROM pages)
+        SELECT 'TRIPADVISOR' AS resource, city, text, 'Town ' || page_id AS geo, '2014-04-02 00:00:00' AS date FROM p WHERE {IS_REVIEW}
+        UNION ALL SELECT 'TRIPADVISOR', city, text, 'Place ' || page_id, '2016-01-05 19:05:00' FROM p WHERE {IS_THREAD}
+        UNION ALL SELECT 'SKYSCRAPER', 'chicago', text, 'Place ' || page_id, '2015-03-07 09:30:00' FROM p
+          WHERE {IS_FORUM} AND page_id % 2 = 0""",
+    "site_requests": f"""WITH p AS (SELECT page_id, page_id % 3 AS g, page_id // {PER_LIST} AS o, {SITE_CITY} AS city FROM pages),
+        town AS (SELECT * FROM (VALUES (0, 'chicago'), (1, 'new york city'), (2, 'boston')) v(g, city)),
+        lists AS (SELECT DISTINCT g, o, city FROM p)
+        SELECT {SITE} || '/Search?q=' || replace(city, ' ', '+') AS url, city, -1 AS rule, 0 AS depth FROM town
+        UNION ALL SELECT {SITE} || '/Tourism-g' || g || '.html', city, 2, 1 FROM town
+        UNION ALL SELECT {SITE} || kind || g || '.html', city, 0, 2 FROM town CROSS JOIN (SELECT unnest(['/Hotels-g', '/Forum-g']) AS kind)
+        UNION ALL SELECT {SITE} || '/Hotels-g' || g || '-o' || o || '.html', city, 3, 3 FROM lists
+        UNION ALL SELECT {SITE} || '/Forum-g' || g || '-o' || o || '.html', city, 6, 3 FROM lists
+        UNION ALL SELECT {SITE} || '/Hotel_Review-g' || page_id || '-d7-Reviews.html', city, 4, 4 FROM p WHERE {IS_REVIEW}
+        UNION ALL SELECT {SITE} || '/ShowTopic-g' || page_id || '.html', city, 5, 4 FROM p WHERE {IS_THREAD}
+        UNION ALL SELECT {SITE} || '/ExpandedUserReviews-g' || page_id || '-d7?target=' || page_id || '1&context=1&reviews=' || page_id
+          || '1,' || page_id || '2&servlet=g' || page_id || '-d7Hotel_Review&expand=1', city, -2, 5 FROM p WHERE {IS_REVIEW}""",
     "click_targets": """SELECT p_partkey, 'open(''http://www.tripadvisor.com/Tourism-g' || p_partkey || '.html' AS link FROM part""",
     "forum_posts": f"""WITH {LINES} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(position AS INTEGER) AS position,
           CASE doc_id % 3 WHEN 0 THEN 'chicago' ELSE 'new york' END AS city,

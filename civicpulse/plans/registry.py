@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..params import Parameters
-from ..operators import bayes, geo, links, match, pages, stats
+from ..params import FORUM_URL, Parameters
+from ..operators import bayes, geo, links, match, pages, sites, stats
 from ..session import run_dir
 from ..sources import readers, writers
 from ..streaming import ingest
 from ..streaming.cells import CellStore
 from . import posts as flow
+from . import storedsites
 from .inputs import (
     ASKED_CITIES, CITIES, SOURCE_CITIES, DOMAINS, HASHTAGS, LANGUAGES, LOCATION, PHRASE_CITIES, SITE_SECTION, TOPIC_CITIES,
     TRACK_CITIES, TRACK_TEXT, Tables, escaped,
@@ -392,6 +393,32 @@ def site_links(t):
     return links.requests(listed, links.REVIEW_RULES).select("url", "city", "rule", "link", "link_text")
 
 
+def site_items(t: Tables) -> dict[str, DataFrame]:
+    """Both stored sites from their start urls to items, by source."""
+    found, _ = sites.crawled(storedsites.start_urls(t), storedsites.review_site(t), sites.REVIEW_SITE)
+    talk, _ = sites.crawled(
+        t.spark.createDataFrame([(f"{FORUM_URL}/", None)], "url string, city string"), storedsites.forum_site(t), sites.FORUM_SITE)
+    columns = ("city", "text", "geo", "date")
+    reviews = pages.dated(pages.review_posts(found.where("layout = 'review'"))).select(*columns)
+    threads = pages.thread_posts(found.where("layout = 'thread'")).select(*columns)
+    return {"TRIPADVISOR": reviews.unionByName(threads),
+            "SKYSCRAPER": pages.forum_posts(talk, as_of=F.lit(AS_OF).cast("timestamp")).select(*columns)}
+
+
+@query
+def site_posts(t):
+    """Posts of two sites, from search pages and an index through their rules to the fixpoint."""
+    parts = [rows.select(F.lit(resource).alias("resource"), "city", "text", "geo", stamp("date").alias("date"))
+             for resource, rows in site_items(t).items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def site_requests(t):
+    """Every url that the review site's rules request, with city, rule and round."""
+    return sites.crawled(storedsites.start_urls(t), storedsites.review_site(t), sites.REVIEW_SITE)[1]
+
+
 # ---- dates, events, streams -------------------------------------------------------
 
 @query
