@@ -128,11 +128,15 @@ def link_rows(rules: Sequence[Rule]) -> Callable[[str, str | None, Element], Ite
     return rows_of
 
 
+def with_markup(pages: DataFrame) -> DataFrame:
+    """Pages that can hold elements; others, null ones too, give neither links nor posts."""
+    return pages.where(F.contains("html", F.lit("<")))
+
+
 def page_links(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``url, city, rule, link, link_text`` of all rules; a page without HTML gives none."""
     rows = link_rows(rules)
-    marked = pages.where(F.contains("html", F.lit("<")))
-    return apply_hooks(map_pages(marked, lambda url, city, html: rows(url, city, parse(html)), LINK), rules)
+    return apply_hooks(map_pages(with_markup(pages), lambda url, city, html: rows(url, city, parse(html)), LINK), rules)
 
 
 def apply_hooks(links: DataFrame, rules: Sequence[Rule]) -> DataFrame:

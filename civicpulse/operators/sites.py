@@ -20,7 +20,7 @@ from ..functions.markup import parse
 from ..session import run_dir
 from ..sources.buckets import Buckets
 from ..schemas import LINK, RAW_ITEM
-from .links import FORUM_RULES, REVIEW_RULES, Rule, apply_hooks, first_rule, in_domains, link_rows
+from .links import FORUM_RULES, REVIEW_RULES, Rule, apply_hooks, first_rule, in_domains, link_rows, with_markup
 from .pages import LAYOUTS, MARKS, detail_of, map_pages
 
 #: Rules of start urls and of expanded reviews, which no link rule finds.
@@ -67,7 +67,7 @@ def read_once(fetched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 _, position, _, *rest = item
                 yield (url, city, None, None, None, position, *rest, layout)
 
-    packed = fetched.where(F.contains("html", F.lit("<"))).withColumn("city", F.struct("city", "layout", "detail"))
+    packed = with_markup(fetched).withColumn("city", F.struct("city", "layout", "detail"))
     return map_pages(packed, rows_of, FOUND)
 
 

@@ -375,7 +375,24 @@ ORACLES: dict[str, str] = {
         SELECT resource, city, sentiment, level, geo, n FROM dense""",
 }
 ORACLES["nb_classify_shuffled"] = ORACLES["nb_classify"]
-ORACLES["source_report"] = f"""WITH {TRAINING},
+WHITE = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> '')"
+ORACLES["whitespace_classify"] = f"""WITH {TRAINING.replace(CLEAN, WHITE)}, {scored('tok', 'doc_id')}
+    SELECT doc_id, sentiment AS label FROM labelled"""
+ORACLES |= {
+    "corpus_csv": f"SELECT text, {LABEL} AS label FROM documents JOIN labels USING (doc_id)",
+    "geonames_scan": """SELECT p_partkey AS geoname_id, p_name AS name,
+        array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS asciiname,
+        CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS BIGINT) END AS population, substr(p_brand, 1, 2) AS country_code FROM part""",
+    "country_continents": """SELECT 'N' || n_nationkey AS country_code, CASE r_name WHEN 'AFRICA' THEN 'Africa' WHEN 'AMERICA' THEN 'North America'
+        WHEN 'ASIA' THEN 'Asia' WHEN 'EUROPE' THEN 'Europe' END AS continent FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "stored_pages": "SELECT url, length(html) AS n_chars FROM pages WHERE page_id % 3 > 0 AND html LIKE '%<%'",
+    "feature_maps": f"""WITH {TOK}, f AS (SELECT doc_id, len(list_distinct(list_concat(words, {PAIRS}))) AS n FROM tok)
+        SELECT doc_id, n AS n_features, n AS n_true FROM f""",
+    "hooked_posts": f"""WITH {MENTIONS} SELECT doc_id, city, NULL AS geo_city, NULL AS sentiment, count(*) AS mentions
+        FROM mention JOIN documents USING (doc_id) WHERE length(documents.text) >= 200 GROUP BY doc_id, city""",
+    "undated_reviews": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS city, 'long ago' AS date_text, NULL AS date FROM documents WHERE doc_id % 3 = 2",
+}
+ORACLES["source_report"] = f"""WITH {TRAINING.replace("WHERE " + LABEL, "WHERE doc_id % 2 = 1 AND " + LABEL)},
     item AS (
       SELECT 'r' || doc_id AS id, 'TRIPADVISOR' AS resource, city, text, geo FROM ({ORACLES['review_posts']})
       UNION ALL SELECT 't' || url, 'TRIPADVISOR', city, text, geo FROM ({ORACLES['thread_posts']})

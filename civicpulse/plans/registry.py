@@ -609,6 +609,83 @@ def stream_dedupe(t):
     return t.spark.read.parquet(f"{folder}/users")
 
 
+# ---- sources of files -------------------------------------------------------------
+
+@query
+def corpus_csv(t):
+    """The labelled corpus through a quoted CSV: commas, quotes and line breaks in texts."""
+    folder = run_dir(t.spark, "corpus")
+    writers.write_corpus(t.corpus(), folder)
+    return readers.read_corpus(t.spark, folder)
+
+
+@query
+def geonames_scan(t):
+    """Parts as lines of the published dump of places, a few without a readable population."""
+    people = F.when(F.col("p_partkey") % 9 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
+    given = {"geonameid": F.col("p_partkey").cast("string"), "name": F.col("p_name"), "asciiname": F.initcap("p_name"),
+             "country_code": F.substring("p_brand", 1, 2), "population": people}
+    cells = [given.get(c, F.lit("")) for c in readers.GEONAMES_COLUMNS]
+    folder = run_dir(t.spark, "geonames")
+    t.part.select(F.concat_ws("\t", *cells).alias("value")).write.text(folder)
+    return readers.read_geonames(t.spark, folder)
+
+
+@query
+def country_continents(t):
+    """Nations as lines of the published country list, with its comments."""
+    code = F.when(F.col("r_name") == "AMERICA", "NA").when(F.col("r_name") == "MIDDLE EAST", "??").otherwise(
+        F.substring("r_name", 1, 2))
+    given = {"iso": F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), "country": F.col("n_name"), "continent": code}
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat_ws("\t", *[given.get(c, F.lit("")) for c in readers.COUNTRY_COLUMNS]).alias("value"))
+    folder = run_dir(t.spark, "countries")
+    t.region.select(F.concat(F.lit("#"), "r_name").alias("value")).unionByName(rows).write.text(folder)
+    return readers.read_country_continents(t.spark, folder)
+
+
+@query
+def stored_pages(t):
+    """Pages stored and read back; of three one has no markup and one of them no text at all."""
+    html = F.when(F.col("page_id") % 3 > 0, F.col("html")).when(F.col("page_id") % 2 == 0, F.lit("no markup"))
+    folder = run_dir(t.spark, "pages")
+    t.pages.select("url", html.alias("html"), F.lit(None).cast("string").alias("city")).write.parquet(folder)
+    return links.with_markup(readers.read_pages(t.spark, folder)).select("url", F.length("html").alias("n_chars"))
+
+
+@query
+def feature_maps(t):
+    """The feature set of each document as a map."""
+    features = text.feature_map(text.tokenize(F.col("text")))
+    found = t.documents.select("doc_id", features.alias("features"))
+    return found.select("doc_id", F.size("features").alias("n_features"), F.size(
+        F.map_filter("features", lambda _, there: there)).alias("n_true"))
+
+
+@query
+def whitespace_classify(t):
+    """Model and labels over tokens between white space."""
+    split = text.TOKENIZERS["whitespace"]
+    model = bayes.train(t.corpus(), tokens=split)
+    return bayes.score(t.documents.select("doc_id", "text"), model, "doc_id", tokens=split).select("doc_id", "label")
+
+
+@query
+def hooked_posts(t):
+    """Posts of items that a user function has seen before they are processed."""
+    hook = lambda items: items.where(F.length("text") >= 200).withColumn("geo", F.lit(None).cast("string"))
+    found = flow.to_posts(document_items(t), "TWITTER", t.gazetteer(), t.continents(), key="doc_id", hook=hook)
+    return found.groupBy("doc_id", "city", F.col("geo.city").alias("geo_city"), "sentiment").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query
+def undated_reviews(t):
+    """Quarantine of a review site: reviews whose date is none."""
+    folder = run_dir(t.spark, "quarantine")
+    writers.append_quarantine(flow.undated_reviews(review_pages(t)), folder)
+    return t.spark.read.parquet(folder).select(F.col("url").alias("doc_id"), "city", "date_text", "date")
+
+
 # ---- all together -----------------------------------------------------------------
 
 def document_items(t: Tables) -> DataFrame:
@@ -640,17 +717,19 @@ def post_report(t):
 
 @query
 def source_report(t):
-    """Tweets, review pages and forum pages to one store and one report, each with its source's model."""
+    """Tweets, review pages and forum pages to one store and one report, each with its source's
+    model; the models differ.  Reviews without a date go to quarantine."""
     folder = run_dir(t.spark, "sources")
-    model = bayes.train(t.corpus())
-    for name in sorted(set(PARAMS.models.values())):
-        writers.save_model(model, f"{folder}/models", name)
+    corpora = {"twitter": t.corpus(), "reviews": t.corpus().where("doc_id % 2 = 1")}
+    for name, corpus in corpora.items():
+        writers.save_model(bayes.train(corpus), f"{folder}/models", name)
     models = readers.load_models(t.spark, f"{folder}/models", PARAMS.models)
     tweets = readers.good_tweets(readers.parse_tweets(tweet_lines(t)))
     items = {
         "TWITTER": flow.tweet_items(tweets, PARAMS),
         "TRIPADVISOR": flow.review_site_items(review_pages(t), thread_pages(t)),
         "SKYSCRAPER": flow.forum_site_items(forum_pages(t), PARAMS, F.lit(AS_OF).cast("timestamp"))}
+    writers.append_quarantine(flow.undated_reviews(review_pages(t)), f"{folder}/bad")
     for resource, rows in items.items():
         found = flow.to_posts(rows, resource, t.gazetteer(), t.continents(), models[resource])
         writers.append_posts(found, f"{folder}/posts")

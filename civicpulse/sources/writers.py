@@ -17,6 +17,18 @@ def append_posts(posts: DataFrame, path: str) -> None:
     posts.write.mode("append").partitionBy("resource").parquet(path)
 
 
+def append_quarantine(items: DataFrame, path: str) -> None:
+    """Items that could not be made posts, as found."""
+    items.write.mode("append").parquet(path)
+
+
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """Label and text as a quoted CSV, in the columns that ``read_corpus`` takes by default."""
+    blank = F.lit("")
+    corpus.select(blank.alias("c0"), "label", blank.alias("c2"), blank.alias("c3"), "text").write.mode("overwrite").options(
+        quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def write_batch_posts(posts: DataFrame, path: str, batch_id: int) -> None:
     """Idempotent append of one micro-batch: a replay overwrites its own partitions only."""
     (posts.withColumn("batch_id", F.lit(batch_id))
