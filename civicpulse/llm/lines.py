@@ -81,7 +81,8 @@ def windows(candidates: DataFrame, rules: list[tuple[int, int]]) -> DataFrame:
 
 
 def later_places(docs: DataFrame, rules: list[tuple[int, int]], store: Store) -> DataFrame:
-    """``k1, k2, places``: windows (rule, place) of each text that also start earlier.
+    """``k1, k2, places``: windows of each text that also start earlier, each as one number:
+    the place times the number of rules, and the rule.
 
     The fingerprints' positions are joined; around each the match is extended to both sides
     by the hashes of the windows that hold it.
@@ -93,7 +94,8 @@ def later_places(docs: DataFrame, rules: list[tuple[int, int]], store: Store) ->
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "place")
     first = store.put(found.groupBy("w1", "w2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = even_join(found, first, ["w1", "w2"], hot_keys(first, ["w1", "w2"], "n"))
-    out = store.put(met.where(order != F.col("first")).groupBy("k1", "k2").agg(F.collect_set(F.struct("rule", "place")).alias("places")))
+    out = store.put(met.where(order != F.col("first")).groupBy("k1", "k2").agg(
+        F.collect_set(F.col("place") * len(rules) + F.col("rule")).alias("places")))
     store.drop(rows, found, first)
     return out
 
@@ -129,9 +131,9 @@ def deduplicated(docs: DataFrame, run: int = 3, words: int | None = None, counts
             if found is not None and len(found):
                 raw = value.encode().split(b"\n")
                 for number, (size, least) in enumerate(rules):
-                    here = [x["place"] for x in found if x["rule"] == number]
-                    at = spoken(raw, least) if here else []
-                    gone.update(at[i] for start in here for i in range(start, start + size))
+                    here = found[found % len(rules) == number] // len(rules)
+                    at = spoken(raw, least) if len(here) else []
+                    gone.update(at[i] for start in here.tolist() for i in range(start, start + size))
             out.append(("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else value, len(lines), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
