@@ -1,7 +1,9 @@
 """Which posts are kept, and which cities they are about.
 
 Cities, keywords and languages are parameters, so they become literals of the plan: the
-fan-out happens inside each row and needs neither a join nor a shuffle.
+fan-out happens inside each row and needs neither a join nor a shuffle.  Lists too long for a
+plan are tables: phrases are found by their rarest term, names by equality of word runs or
+prefixes of the lengths that names have.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, strip_hash_lower, whitespace_tokens, with_computed
+from ..session import shared_dir
+from .skew import broadcast_if_small, hot_keys, salted_join
 
 
 def track_phrases(spark: SparkSession, hashtags: Sequence[str], cities: Sequence[str]) -> DataFrame:
@@ -27,6 +31,41 @@ def phrase_list(hashtags: Sequence[str], cities: Sequence[str]) -> list[str]:
     return [f"#{h} {c}" for h in hashtags for c in cities]
 
 
+def terms_of(text: Column) -> Column:
+    """What the terms of a phrase are compared with: words with ``#`` or ``@``, and without."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([#@]?[\p{L}\p{N}_]+)"), F.lit(1))
+    return bind(words, lambda w: F.array_distinct(F.concat(w, F.transform(w, lambda x: F.ltrim(x, F.lit("#@"))))))
+
+
+def tracked_phrases(df: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, phrase``: the phrases of a table (``phrase``) all of whose terms a text holds.
+
+    Of the terms of a text only those that are in some phrase move.  Each phrase is filed
+    under its term that fewest texts hold, so a text meets a phrase only if it has that one;
+    then all terms are compared.  A phrase without terms is in no text; frequent terms are
+    salted.  ``key`` identifies a text.
+    """
+    terms = F.array_distinct(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda t: t != ""))
+    wanted = phrases.select("phrase").distinct().withColumn("terms", terms).where(F.size("terms") > 0)
+    universe = wanted.select(F.explode("terms").alias("term")).distinct()
+    held = df.select(key, F.explode(terms_of(F.col(text))).alias("term")).join(broadcast_if_small(universe), "term", "left_semi")
+    shared_dir(df.sparkSession)
+    held = held.checkpoint()
+    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.select("phrase", "terms", F.explode("terms").alias("term")).join(counts, "term", "left").groupBy(
+        "phrase", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest"))
+    filed = rarest.where("rarest.n > 0").select(F.col("rarest.term").alias("term"), "phrase", "terms")
+    present = held.groupBy(key).agg(F.collect_list("term").alias("present"))
+    each = present.withColumn("term", F.explode("present"))
+    met = salted_join(each, filed, "term", hot_keys(counts, "term"))
+    return met.where(F.size(F.array_except("terms", "present")) == 0).select(key, "phrase")
+
+
+def track_filter_by(df: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Rows that hold all terms of any phrase of a table."""
+    return df.join(tracked_phrases(df, phrases, key, text).select(key).distinct(), key, "left_semi")
+
+
 def tracked(text: Column, phrases: Sequence[str]) -> Column:
     """True if all terms of any phrase occur in the text, in any order and case.
 
@@ -95,6 +134,39 @@ def city_mentions(
     return hits.where(F.col("city").isNotNull())
 
 
+def lengths_of(names: DataFrame, length: Column) -> Column:
+    """The lengths that names have: no more than the longest name is long."""
+    found = names.select(length.alias("n")).distinct().collect()
+    return F.array(*[F.lit(n) for n in sorted(r["n"] for r in found)]).cast("array<int>")
+
+
+def city_mentions_by(df: DataFrame, cities: DataFrame, text: str = "text") -> DataFrame:
+    """One output row per occurrence of a name of the table ``cities`` (``city``).
+
+    The runs of words of a text, of the numbers of words that names have, are looked up by
+    equality.
+    """
+    names = cities.select(F.lower("city").alias("city")).where("trim(city) <> ''").distinct()
+    widths = lengths_of(names, F.size(F.split("city", " ")))
+
+    def runs(tokens):
+        def of(width):
+            starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1))
+            return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, width), " ")), F.array().cast("array<string>"))
+        return F.flatten(F.transform(widths, of))
+
+    found = df.withColumn("city", F.explode_outer(bind(whitespace_tokens(strip_hash_lower(F.col(text))), runs)))
+    return found.join(broadcast_if_small(names), "city", "left_semi")
+
+
+def topic_cities_by(df: DataFrame, cities: DataFrame, topic: str = "topic") -> DataFrame:
+    """One output row per city of the table whose lower-cased name starts the topic."""
+    names = cities.where("city IS NOT NULL").select("city", F.lower("city").alias("prefix")).distinct()
+    lengths = F.filter(lengths_of(names, F.length("prefix")), lambda n: n <= F.length(topic))
+    cut = df.withColumn("prefix", F.explode_outer(F.transform(lengths, lambda n: F.substr(F.col(topic), F.lit(1), n))))
+    return cut.join(broadcast_if_small(names), "prefix").drop("prefix")
+
+
 def topic_cities(df: DataFrame, cities: Sequence[str], topic: str = "topic") -> DataFrame:
     """One output row per city whose lower-cased name starts the topic."""
     names = F.array(*[F.lit(c) for c in cities])

@@ -378,7 +378,21 @@ ORACLES["nb_classify_shuffled"] = ORACLES["nb_classify"]
 WHITE = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> '')"
 ORACLES["whitespace_classify"] = f"""WITH {TRAINING.replace(CLEAN, WHITE)}, {scored('tok', 'doc_id')}
     SELECT doc_id, sentiment AS label FROM labelled"""
+NAMED = "FROM documents LEFT JOIN part ON p_partkey = doc_id"
 ORACLES |= {
+    "phrase_table": f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(concat_ws(' ', text, p_name)), '([#@]?[\\p{{L}}\\p{{N}}_]+)', 1) AS words {NAMED}),
+        f AS (SELECT doc_id, list_distinct(list_concat(words, list_transform(words, lambda x: ltrim(x, '#@')))) AS forms FROM w),
+        phrases AS (SELECT regexp_extract(text, '^([a-zA-Z]+ [a-zA-Z]+)', 1) AS phrase FROM documents UNION SELECT p_name FROM part)
+        SELECT doc_id, phrase FROM f JOIN phrases ON phrase <> '' AND list_has_all(forms, string_split(lower(phrase), ' '))""",
+    "city_table": f"""WITH t AS (SELECT doc_id, concat_ws(' ', text, upper(p_name)) AS text {NAMED}),
+        w AS (SELECT doc_id, {WORDS} AS words FROM t),
+        names AS (SELECT lower(p_name) AS city FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part),
+        runs AS (SELECT doc_id, unnest(words) AS city FROM w
+          UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w)
+        SELECT doc_id, city FROM runs SEMI JOIN names USING (city)""",
+    "topic_table": """WITH city AS (SELECT list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS city FROM part
+          UNION SELECT substr(p_name, 1, 4) FROM part UNION SELECT substr(n_name, 1, 2) FROM nation)
+        SELECT p_partkey, city FROM part JOIN city ON starts_with(lower(p_name), lower(city))""",
     "corpus_csv": f"SELECT text, {LABEL} AS label FROM documents JOIN labels USING (doc_id)",
     "geonames_scan": """SELECT p_partkey AS geoname_id, p_name AS name,
         array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS asciiname,

@@ -53,6 +53,36 @@ def track_filter(t):
     return match.language_filter(kept, LANGUAGES).select("doc_id", "lang")
 
 
+@query
+def phrase_table(t):
+    """Texts by a table of phrases: the first two words of every document, and all part names."""
+    named = t.documents.join(
+        t.part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left").select(
+        "doc_id", F.concat_ws(" ", "text", "p_name").alias("text"))
+    first = F.regexp_extract("text", r"^([a-zA-Z]+ [a-zA-Z]+)", 1)
+    phrases = t.documents.select(first.alias("phrase")).unionByName(t.part.select(F.col("p_name").alias("phrase")))
+    return match.tracked_phrases(named, phrases, "doc_id")
+
+
+@query
+def city_table(t):
+    """Occurrences in texts of the names of a table: part names, and their first words."""
+    named = t.documents.join(
+        t.part.select(F.col("p_partkey").alias("doc_id"), "p_name"), "doc_id", "left").select(
+        "doc_id", F.concat_ws(" ", "text", F.upper("p_name")).alias("text"))
+    cities = t.part.select(F.explode(F.array("p_name", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("city"))
+    return match.city_mentions_by(named, cities).select("doc_id", "city")
+
+
+@query
+def topic_table(t):
+    """Part names as topics of cities of a table: nation names cut short, and part names."""
+    cities = t.part.select(F.explode(F.array(F.initcap("p_name"), F.substring("p_name", 1, 4))).alias("city"))
+    cities = cities.unionByName(t.nation.select(F.substring("n_name", 1, 2).alias("city")))
+    topics = t.part.select("p_partkey", F.lower("p_name").alias("topic"))
+    return match.topic_cities_by(topics, cities).select("p_partkey", "city")
+
+
 @query
 def topic_prefix(t):
     topics = t.pages.select(

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from civicpulse.operators import match
 
 
@@ -43,3 +45,26 @@ def test_topic_fans_out_over_prefixes(spark):
 def test_mentions_need_no_join_or_shuffle(spark):
     plan = match.city_mentions(texts(spark, "x"), ["chicago"])._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_tables_equal_lists(spark):
+    texts = ["#Jobs in new york City", "rome ROME #rome nice-rome", "of the and", "jobs york new", None, "", "the of", "new york new york"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    phrases = ["#jobs york", "the of", "rome", "of of THE", "nowhere of", "", "@rome", "new jobs"]
+    table = spark.createDataFrame([(p,) for p in [*phrases, None]], "phrase string")
+    got = {(r["id"], r["phrase"]) for r in match.tracked_phrases(df, table, "id").collect()}
+    want = {(r["id"], p) for p in phrases if p for r in df.where(match.tracked(F.col("text"), [p])).collect()}
+    assert got == want and len(want) > 6
+    some = [p for p in phrases if p]
+    assert sorted(r["id"] for r in match.track_filter_by(df, table, "id").collect()) == sorted(
+        r["id"] for r in match.track_filter(df, some).collect())
+    cities = ["Rome", "new york", "New York City", "rome", "the", ""]
+    names = spark.createDataFrame([(c,) for c in cities], "city string")
+    rows = lambda d: sorted((r["id"], r["city"]) for r in d.collect())
+    assert rows(match.city_mentions_by(df, names)) == rows(match.city_mentions(df, cities[:-1], phrase_match=True))
+    topics = df.withColumn("topic", F.lower("text"))
+    starts = ["Rome", "ro", "NEW YORK", "of", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"]
+    assert rows(match.topic_cities_by(topics, spark.createDataFrame([(c,) for c in starts], "city string"))) == rows(
+        match.topic_cities(topics, starts))
+    assert match.city_mentions_by(df, names.limit(0)).count() == 0
+    assert match.tracked_phrases(df, table.limit(0), "id").count() == 0
