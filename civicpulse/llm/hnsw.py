@@ -19,10 +19,12 @@ from .components import components
 
 #: Vectors of a shard on average; links of a node before and after pruning; first beam.
 PER_SHARD, WIDE, DEGREE, BEAM = 6000, 48, 24, 48
-#: Vectors that are searched in step, and those that a shard is audited with.
+#: Vectors that are searched in step, and those that a shard is audited with at a time.
 BLOCK, AUDIT = 256, 512
 #: Share of the audited links that the graph must find; else all beams are widened.
 RECALL = 0.999
+#: True links that an audit must have seen before its recall counts.
+EVIDENCE = 50
 
 
 def top(sims: np.ndarray, size: int) -> np.ndarray:
@@ -183,10 +185,24 @@ def matches(graph: Graph, x: np.ndarray, q: np.ndarray, least: float) -> np.ndar
     """Which vectors of ``x`` are linked with which of ``q``: verified in double precision.
 
     The graph is audited with some rows of ``q`` against all of ``x``; beams are widened
-    until the audit passes or a beam holds the whole shard, which finds everything.
+    until the audit passes or a beam holds the whole shard, which finds everything.  Rows are
+    added to the audit until it has seen ``EVIDENCE`` links or all rows, so it never passes for
+    want of links; what an audit has computed is found.
     """
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = q[audit] @ x.T >= least
+    order = np.argsort(np.arange(len(q)) * 0.6180339887498949 % 1, kind="stable")  # evenly spread at any length
+    seen, true = 0, []
+    for start in range(0, len(q), AUDIT):
+        part = q[order[start:start + AUDIT]] @ x.T >= least
+        true.append(part)
+        seen += int(part.sum())
+        if seen >= EVIDENCE:
+            break
+    true = np.concatenate([np.zeros((0, len(x)), bool), *true])
+    audit = order[:len(true)]
+    if len(audit) == len(q):
+        hits = np.zeros((len(q), len(x)), bool)
+        hits[audit] = true
+        return hits
     hits, beam = np.zeros((len(q), len(x)), bool), BEAM
     low = q.astype(np.float32)
     while True:
@@ -197,6 +213,7 @@ def matches(graph: Graph, x: np.ndarray, q: np.ndarray, least: float) -> np.ndar
         for row, ids in graph.within(low, least - 1e-4, beam):
             hits[row, ids] = x[ids] @ q[row] >= least
         if (hits[audit] & true).sum() >= RECALL * true.sum():
+            hits[audit] |= true
             return hits
         beam *= 4
 
@@ -224,54 +241,61 @@ def shard_graphs(vectors: DataFrame) -> DataFrame:
         x = np.array(group["embedding"].to_pylist(), np.float64)
         graph = Graph(unit(x), int(group["shard"][0].as_py()))
         layers = np.stack(graph.layers)
-        row = {"label": group["label"][0], "dim": group["dim"][0], "shard": group["shard"][0],
+        row = {"label": group["label"][0], "dim": group["dim"][0], "shard": group["shard"][0], "shards": group["shards"][0],
                "reps": group["rep"].to_pylist(), "weights": group["n"].to_pylist(), "vectors": x.tobytes(),
                "layers": layers.tobytes(), "depth": len(layers), "entry": graph.entry}
         return pa.Table.from_pylist([{k: v.as_py() if isinstance(v, pa.Scalar) else v for k, v in row.items()}], schema=kinds)
 
     kinds = pa.schema([
-        ("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int64()), ("reps", pa.list_(pa.int64())),
+        ("label", pa.string()), ("dim", pa.int32()), ("shard", pa.int64()), ("shards", pa.int64()), ("reps", pa.list_(pa.int64())),
         ("weights", pa.list_(pa.int64())), ("vectors", pa.binary()), ("layers", pa.binary()), ("depth", pa.int32()), ("entry", pa.int32())])
-    schema = ("label string, dim int, shard bigint, reps array<bigint>, weights array<bigint>, vectors binary, "
+    schema = ("label string, dim int, shard bigint, shards bigint, reps array<bigint>, weights array<bigint>, vectors binary, "
               "layers binary, depth int, entry int")
     return vectors.groupBy("label", "dim", "shard").applyInArrow(build, schema)
 
 
-def linked(pairs: DataFrame, least: float) -> DataFrame:
-    """Search each pair of shards both ways: rows (rep, links) and forest edges (rep, other)."""
+def linked(shards: DataFrame, least: float) -> DataFrame:
+    """Search each pair of shards of a label both ways: rows (rep, links) and forest edges
+    (rep, other).
+
+    Each side of a pair is sent to it under the numbers of both shards, so no task holds the
+    pairs of a label, only one pair at a time.
+    """
     def load(row: dict) -> tuple[np.ndarray, Graph]:
         x = unit(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"]))
         layers = np.frombuffer(row["layers"], np.int32).reshape(row["depth"], len(x), WIDE)
         return x, Graph(x, 0, list(layers), row["entry"])
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place in range(batch.num_rows):
-                a, b = (c[place].as_py() for c in batch.columns)
-                (x, graph_x), (y, graph_y) = load(a), load(b)
-                hits = matches(graph_y, y, x, least)
-                counts: list[tuple[int, int, int | None]] = []
-                if a["shard"] == b["shard"]:
-                    np.fill_diagonal(hits, False)
-                    hits |= hits.T
-                    edges = [(a["reps"][i], a["reps"][j]) for i, j in spanning(hits)]
-                    sums = [(a, hits @ np.array(a["weights"]))]
-                else:
-                    hits |= matches(graph_x, x, y, least).T
-                    n = len(x)
-                    rows, columns = np.nonzero(hits.any(axis=1))[0], np.nonzero(hits.any(axis=0))[0]
-                    whole = np.zeros((len(rows) + len(columns),) * 2, bool)
-                    whole[:len(rows), len(rows):] = hits[np.ix_(rows, columns)]
-                    whole |= whole.T
-                    names = [a["reps"][i] for i in rows] + [b["reps"][i] for i in columns]
-                    edges = [(names[i], names[j]) for i, j in spanning(whole)]
-                    sums = [(a, hits @ np.array(b["weights"])), (b, hits.T @ np.array(a["weights"]))]
-                counts = [(rep, int(c), None) for side, found in sums for rep, c in zip(side["reps"], found) if c]
-                counts += [(i, 0, j) for i, j in edges]
-                columns_out = list(zip(*counts)) if counts else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns_out], names=["rep", "links", "other"])
-
-    return pairs.mapInArrow(work, "rep bigint, links bigint, other bigint")
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "links", "other")})
+        a, b = left.to_pylist()[0], right.to_pylist()[0]
+        (x, graph_x), (y, graph_y) = load(a), load(b)
+        hits = matches(graph_y, y, x, least)
+        if a["shard"] == b["shard"]:
+            np.fill_diagonal(hits, False)
+            hits |= hits.T
+            edges = [(a["reps"][i], a["reps"][j]) for i, j in spanning(hits)]
+            sums = [(a, hits @ np.array(a["weights"]))]
+        else:
+            hits |= matches(graph_x, x, y, least).T
+            n = len(x)
+            rows, columns = np.nonzero(hits.any(axis=1))[0], np.nonzero(hits.any(axis=0))[0]
+            whole = np.zeros((len(rows) + len(columns),) * 2, bool)
+            whole[:len(rows), len(rows):] = hits[np.ix_(rows, columns)]
+            whole |= whole.T
+            names = [a["reps"][i] for i in rows] + [b["reps"][i] for i in columns]
+            edges = [(names[i], names[j]) for i, j in spanning(whole)]
+            sums = [(a, hits @ np.array(b["weights"])), (b, hits.T @ np.array(a["weights"]))]
+        counts = [(rep, int(c), None) for side, found in sums for rep, c in zip(side["reps"], found) if c]
+        counts += [(i, 0, j) for i, j in edges]
+        columns_out = list(zip(*counts)) if counts else [(), (), ()]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("rep", "links", "other"), columns_out)})
+
+    keys = ("label", "dim", "first", "second")
+    left = shards.withColumn("first", F.col("shard")).withColumn("second", F.explode(F.sequence("shard", F.col("shards") - 1)))
+    right = shards.withColumn("second", F.col("shard")).withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), "shard")))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, "rep bigint, links bigint, other bigint")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -300,11 +324,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
         F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("embedding")))
     sizes = distinct.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / PER_SHARD).alias("shards"), F.count(F.lit(1)).alias("n"))
     placed = even_join(distinct.drop("h2"), sizes.drop("n"), ["label", "dim"], hot_keys(sizes, ["label", "dim"], "n"))
-    shards = store.put(shard_graphs(placed.withColumn("shard", F.pmod("h1", "shards")).drop("shards")))
-    sides = [shards.select("label", "dim", "shard", F.struct(*shards.columns).alias(s)) for s in ("a", "b")]
-    pairs = sides[0].join(sides[1].withColumnRenamed("shard", "other"), ["label", "dim"]).where("shard <= other")
-    count = shards.groupBy("label", "dim").count().agg(F.sum(F.expr("count * (count + 1) div 2"))).first()[0] or 1
-    found = store.put(linked(pairs.select("a", "b").repartition(min(int(count), 20_000)), least))
+    # Each shard knows how many there are of its label.
+    shards = store.put(shard_graphs(placed.withColumn("shard", F.pmod("h1", "shards"))))
+    found = store.put(linked(shards, least))
     links = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), store)
     named = distinct.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select(
