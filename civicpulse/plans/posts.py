@@ -80,8 +80,7 @@ def to_posts(
         items = store_items(items, run_dir(items.sparkSession, "items"))
         if key is None:
             row_key = "row_key"
-            items = items.withColumn(
-                row_key, F.concat_ws(":", "_metadata.file_name", "_metadata.row_index"))
+            items = items.withColumn(row_key, place_in_files())
     labelled = bayes.classify(items, model, row_key, tokens=tokens)
     # Only the location column of the items is read to count the locations.
     labelled = geo.enrich_locations(labelled, gazetteer, continents, source=items, index=index)
@@ -93,6 +92,13 @@ def to_posts(
         "geo", "sentiment")
 
 
+def place_in_files() -> Column:
+    """The place of a row in the files that one write made, as one number: the task that wrote
+    it, which of the task's files, and the row in it."""
+    part = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("bigint")
+    return F.shiftleft(part(r"^part-(\d+)"), 44) + F.shiftleft(part(r"-c(\d+)"), 32) + F.col("_metadata.row_index")
+
+
 def store_items(items: DataFrame, path: str) -> DataFrame:
     """Write items and read them back: extraction then runs once."""
     items.write.mode("overwrite").parquet(path)
