@@ -14,12 +14,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import adjacent_pairs, features_of, tokenize
-from .skew import hot_keys, salted_join
+from ..session import shared_dir
+from .skew import broadcast_if_small, hot_keys, salted_join
 
 NANO = 1_000_000_000
 # A model up to this size is broadcast; a larger one is joined by shuffle.
@@ -160,9 +161,90 @@ def score(
     return sums.select(key, *scores, best["label"].alias("label"))
 
 
+# ---- any number of labels ---------------------------------------------------------
+
+@dataclass(frozen=True)
+class SparseModel:
+    """The same model by the pairs that occur, for any number of labels.
+
+    ``labels`` has ``label, n, prior, absent``: ``absent`` is the weight of a known feature
+    that never came with the label.  ``pairs`` has ``feature, label, n, gain``: by how much a
+    pair that occurs weighs more than that.  A row with a null label stands for the feature
+    itself.  Neither labels nor features pass through the driver or the plan.
+    """
+
+    labels: DataFrame
+    pairs: DataFrame
+
+
+def train_sparse(
+    df: DataFrame, label: str = "label", text: str = "text", tokens: Callable[[Column], Column] = tokenize,
+) -> SparseModel:
+    """Count the pairs that occur; frequent labels are salted where there are too many to broadcast."""
+    shared_dir(df.sparkSession)
+    kept = relevant(df, label)
+    counts = kept.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    documents = counts.agg(F.sum("n")).scalar()
+    kinds = counts.agg(F.count(F.lit(1))).scalar()
+    labels = counts.select(
+        "label", "n", nano((F.col("n") + 0.5) / (documents + 0.5 * kinds)).alias("prior"),
+        nano(F.lit(0.5) / (F.col("n") + 1.0)).alias("absent"))
+    found = explode_features(kept, text, tokens, label).where(F.col("feature").isNotNull())
+    pairs = found.groupBy("feature", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    features = pairs.groupBy("feature").agg(F.sum("n").alias("n"))
+    # A feature of every document has one bin; it came with every label.
+    everywhere = features.where(F.col("n") == documents).select("feature").withColumn("bins", F.lit(1))
+    binned = pairs.join(broadcast_if_small(everywhere), "feature", "left").withColumn("bins", F.coalesce("bins", F.lit(2)))
+    weighed = with_label(binned, labels.withColumnRenamed("n", "docs"), pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    gain = nano((F.col("n") + 0.5) / (F.col("docs") + 0.5 * F.col("bins"))) - F.col("absent")
+    known = features.select("feature", F.lit(None).cast("string").alias("label"), "n", F.lit(0).cast("bigint").alias("gain"))
+    return SparseModel(labels, weighed.select("feature", "label", "n", gain.alias("gain")).unionByName(known))
+
+
+def with_label(rows: DataFrame, labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their label."""
+    small = broadcast_if_small(labels)
+    return rows.join(small, "label") if small is not labels else salted_join(rows, labels, "label", hot_keys(counts, "label"))
+
+
+def score_sparse(
+    df: DataFrame, model: SparseModel, key: str, text: str = "text", tokens: Callable[[Column], Column] = tokenize,
+) -> DataFrame:
+    """``key``, the winning ``label`` and its ``score``, as ``score`` has them.
+
+    A text starts with the default of every label, its prior and an absent weight for each
+    known feature; pairs that occur add their gain, which is positive.  So the winner is the
+    best of the labels with a gain, or the best default of all.  The best default is that of the
+    most frequent labels for texts of no known feature, of the rarest for two or more.
+    """
+    found = explode_features(df.where(F.col(text).isNotNull()), text, tokens, key)
+    counts = model.pairs.where(F.col("label").isNull())
+    hits = salted_join(found, model.pairs.select("feature", "label", "gain"), "feature", hot_keys(counts, "feature"), "left")
+    sums = hits.groupBy(key, "label").agg(F.sum("gain").alias("gain"), F.count("gain").alias("known"))
+    # Of a key there is one row for each label that it has a pair with.
+    known = F.max(F.when(F.col("label").isNull(), F.col("known"))).over(Window.partitionBy(key))
+    sums = sums.withColumn("known", F.coalesce(known, F.lit(0)))
+    here = with_label(sums.where(F.col("label").isNotNull()), model.labels.drop("n"),
+                      model.labels.select("label", "n"))
+    best = here.select(key, F.struct((F.col("prior") + F.col("known") * F.col("absent") + F.col("gain")).alias("score"), "label").alias("best"))
+    defaults = model.labels.agg(
+        F.max(F.struct("prior", "label")).alias("none"),
+        F.max(F.struct((F.col("prior") + F.col("absent")).alias("score"), "label")).alias("one"),
+        F.max(F.struct((-F.col("n")).alias("n"), "label", "prior", "absent")).alias("more"))
+    default = lambda name, part: defaults.select(F.col(f"{name}.{part}")).scalar()
+    keys = sums.select(key, "known").distinct()
+    usual = keys.select(key, F.struct(
+        F.when(F.col("known") == 0, default("none", "prior")).when(F.col("known") == 1, default("one", "score"))
+        .otherwise(default("more", "prior") + F.col("known") * default("more", "absent")).alias("score"),
+        F.when(F.col("known") == 0, default("none", "label")).when(F.col("known") == 1, default("one", "label"))
+        .otherwise(default("more", "label")).alias("label")).alias("best"))
+    won = best.unionByName(usual).groupBy(key).agg(F.max("best").alias("best"))
+    return won.select(key, F.col("best.label").alias("label"), (F.col("best.score") / NANO).alias("score"))
+
+
 def classify(
     df: DataFrame,
-    model: Model | None,
+    model: Model | SparseModel | None,
     key: str | None = None,
     text: str = "text",
     tokens: Callable[[Column], Column] = tokenize,
@@ -173,10 +255,11 @@ def classify(
     themselves are the key: copies are scored once, and frequent copies are salted in
     the join back.
     """
+    scored = score_sparse if isinstance(model, SparseModel) else score
     if model is None:
         return df.withColumn("sentiment", F.lit(None).cast("string"))
     if key is not None:
-        labels = score(df, model, key, text, tokens)
+        labels = scored(df, model, key, text, tokens)
         return df.join(labels.select(key, F.col("label").alias("sentiment")), key, "left")
     keyed = df.withColumn("text_key", F.unhex(F.sha2(text, 256)))
     # The second filter is always true.  It keeps text and count in both uses of the
@@ -185,7 +268,7 @@ def classify(
         keyed.where(F.col("text_key").isNotNull())
         .groupBy("text_key").agg(F.any_value(text).alias(text), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 0) & (F.length(text) >= 0)))
-    labels = score(distinct, model, "text_key", text, tokens)
+    labels = scored(distinct, model, "text_key", text, tokens)
     hot = hot_keys(distinct, "text_key")
     return salted_join(
         keyed, labels.select("text_key", F.col("label").alias("sentiment")),

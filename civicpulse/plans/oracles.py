@@ -376,6 +376,9 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["nb_classify_shuffled"] = ORACLES["nb_classify"]
 WHITE = "list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: w <> '')"
+MANY = "lang || CAST(doc_id % 9 AS VARCHAR)"
+ORACLES["nb_many_labels"] = f"""WITH {TRAINING.replace(TOK, TOK.replace('SELECT doc_id', 'SELECT doc_id, lang')).replace(LABEL, MANY)},
+    {scored('tok', 'doc_id')} SELECT doc_id, arg_max(label, (score, label)) AS label, max(score) AS score FROM scores GROUP BY doc_id"""
 ORACLES["whitespace_classify"] = f"""WITH {TRAINING.replace(CLEAN, WHITE)}, {scored('tok', 'doc_id')}
     SELECT doc_id, sentiment AS label FROM labelled"""
 NAMED = "FROM documents LEFT JOIN part ON p_partkey = doc_id"

@@ -161,6 +161,19 @@ def nb_classify_shuffled(t):
     return bayes.score(t.documents.select("doc_id", "text"), model, "doc_id")
 
 
+def many_labels(t: Tables) -> DataFrame:
+    """The labelled documents with their language and last digits as label."""
+    marks = F.concat("lang", (F.col("doc_id") % 9).cast("string"))
+    return t.documents.join(t.labels.select("doc_id"), "doc_id").select("doc_id", "text", marks.alias("label"))
+
+
+@query
+def nb_many_labels(t):
+    """Labels of documents among many: only pairs that occur are stored and added up."""
+    model = bayes.train_sparse(many_labels(t))
+    return bayes.score_sparse(t.documents.select("doc_id", "text"), model, "doc_id")
+
+
 @query
 def text_sentiment(t):
     """Labels without a row id: copies of a text are scored once."""

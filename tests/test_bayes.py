@@ -159,3 +159,50 @@ def test_a_stopped_save_leaves_the_version_before(spark, tmp_path):
     assert dict(readers.load_model(spark, str(tmp_path), "m").labels) == {"positive": 1, "negative": 1}
     writers.save_model(later, str(tmp_path), "m")
     assert dict(readers.load_model(spark, str(tmp_path), "m").labels) == {"positive": 1}
+
+
+def plain_bayes(rows, texts):
+    """Labels and nano scores by the definition, over all labels."""
+    from math import log
+    from collections import Counter
+    docs, pairs, df = Counter(l for _, l in rows), Counter(), Counter()
+    feats = lambda t: set(t.split()) | {(a, b) for a, b in zip(t.split(), t.split()[1:])}
+    for text, label in rows:
+        for f in feats(text):
+            pairs[f, label] += 1
+            df[f] += 1
+    nano = lambda p: round(log(p) * 10**9)
+    out = []
+    for text in texts:
+        known = [f for f in feats(text) if f in df]
+        score = {l: nano((n + .5) / (len(rows) + .5 * len(docs))) + sum(
+            nano((pairs[f, l] + .5) / (n + .5 * (1 if df[f] == len(rows) else 2))) for f in known) for l, n in docs.items()}
+        out.append(max((s, l) for l, s in score.items()))
+    return out
+
+
+def test_sparse_model_equals_the_definition(spark):
+    import random
+    draw = random.Random(8)
+    words = [f"wo{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    text = lambda n: " ".join(["every", *(draw.choice(words) for _ in range(n))])
+    rows = [(text(draw.randrange(6)), f"l{int(draw.random() ** 2 * 30)}") for _ in range(150)]
+    texts = [text(draw.randrange(8)) for _ in range(60)] + ["", "unheard of", "every", words[0], words[1] + " xyzzy"]
+    model = bayes.train_sparse(spark.createDataFrame(rows, "text string, label string"))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r["id"]: (round(r["score"] * 10**9), r["label"]) for r in bayes.score_sparse(df, model, "id").collect()}
+    assert [got[i] for i in range(len(texts))] == plain_bayes(rows, texts)
+    dense = bayes.train(spark.createDataFrame(rows, "text string, label string"))
+    assert {r["id"]: r["label"] for r in bayes.score(df, dense, "id").collect()} == {i: l for i, (_, l) in got.items()}
+    by_text = bayes.classify(df.withColumn("other", F.lit(1)), model)
+    assert {r["id"]: r["sentiment"] for r in by_text.collect()} == {i: l for i, (_, l) in got.items()}
+
+
+def test_five_thousand_labels(spark):
+    rows = spark.range(20_000).selectExpr("'word' || char(97 + id % 25) || ' tail' || char(97 + id % 26) AS text", "'l' || id % 5000 AS label")
+    model = bayes.train_sparse(rows)
+    plan = model.pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert model.labels.count() == 5000 and "l4711" not in plan
+    found = bayes.score_sparse(spark.createDataFrame([(1, "wordb tailc"), (2, "nothing")], "id int, text string"), model, "id").collect()
+    want = plain_bayes([tuple(r) for r in rows.collect()], ["wordb tailc", "nothing"])
+    assert {r["id"]: (round(r["score"] * 10**9), r["label"]) for r in found} == dict(enumerate(want, 1))
