@@ -63,6 +63,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return spread_small(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
+    def stream(self, name: str) -> DataFrame:
+        """A table's rows as they come: one file, or a folder of files."""
+        # A pattern, because the stream's reader takes a plain path for a folder.
+        path = f"{self.folder}/{name}.parque[t]"
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(path)
+
     def corpus(self) -> DataFrame:
         """``doc_id, text, label`` of the labelled documents."""
         marks = self.labels.select("doc_id", F.expr(LABEL).alias("label"))

@@ -523,8 +523,7 @@ def bad_tweet_rows(t):
 @query
 def stream_posts(t):
     """Conversation turns replayed as a stream into stored posts, then read back."""
-    source = t.spark.readStream.schema(t.conversations.schema).option(
-        "pathGlobFilter", "conversations.parquet").parquet(t.folder)
+    source = t.stream("conversations")
 
     def to_rows(batch):
         return match.city_mentions(batch, CITIES).select(
@@ -533,7 +532,8 @@ def stream_posts(t):
     folder = run_dir(t.spark, "stream")
     ingest.start_ingest(source, to_rows, f"{folder}/posts", f"{folder}/state", available_now=True
                         ).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/posts").select("conv_id", "turn", "role", "city")
+    stored = t.spark.read.schema("city string, conv_id bigint, turn bigint, role string").parquet(f"{folder}/posts")
+    return stored.select("conv_id", "turn", "role", "city")
 
 
 def tweet_lines(t: Tables) -> DataFrame:

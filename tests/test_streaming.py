@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicpulse.operators import bayes
 from civicpulse.params import Parameters
 from civicpulse.plans import posts as flow
+from civicpulse.plans.registry import QUERIES
 from civicpulse.schemas import COUNTRY_CONTINENT, GAZETTEER
 from civicpulse.sources import readers
 from civicpulse.streaming import ingest
@@ -95,3 +97,25 @@ def test_a_failing_batch_stops_the_query(spark, tmp_path):
     except Exception as error:
         assert "no rows" in str(error)
     assert query.exception() is not None
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_posts_of_a_table_in_one_file_or_several(spark, tmp_path, files):
+    said = ["the der", "que", "nothing", "the"]
+    turns = spark.createDataFrame(
+        [(i, t, "user", text) for i in range(4) for t, text in enumerate(said)], "conv_id bigint, turn bigint, role string, text string")
+    table = tmp_path / "tables" / "conversations.parquet"
+    turns.repartition(max(files, 1)).write.parquet(str(tmp_path / "written"))
+    if files:
+        turns.repartition(files).write.parquet(str(table))
+    else:
+        table.parent.mkdir()
+        table.write_bytes(next((tmp_path / "written").glob("part-*")).read_bytes())
+    found = [tuple(r) for r in QUERIES["stream_posts"](spark, str(table.parent)).collect()]
+    assert sorted(found) == sorted((i, t, "user", w) for i in range(4) for t, text in enumerate(said) for w in text.split() if w != "nothing")
+
+
+def test_stream_posts_without_a_city(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "user", "none")], "conv_id bigint, turn bigint, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    assert QUERIES["stream_posts"](spark, str(tmp_path)).count() == 0
