@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..params import RESOURCES
 from ..session import shared_dir
+from .skew import hot_keys, salted_join
 
 SENTIMENTS = ("positive", "negative")
 ALL = "all"
@@ -93,6 +94,22 @@ def dense_stats(cells: DataFrame, cities: str | Sequence[str]) -> DataFrame:
             .groupBy(*STAT_KEYS).agg(F.sum("n").alias("n")))
 
 
+def dense_stats_of_all(cells: DataFrame) -> DataFrame:
+    """Stats of every city of each source, with a zero for each geo value of that source that
+    has no posts on the city.
+
+    The grid is dealt out by city, a source's cities to many tasks.
+    """
+    totals = cells.select("resource", F.lit("total").alias("level"), F.lit(None).cast("string").alias("geo")).distinct()
+    values = geo_values(cells).unionByName(totals)
+    hot = hot_keys(cells.groupBy("resource").agg(F.sum("n").alias("n")), "resource")
+    names = F.array(*[F.lit(s) for s in (*SENTIMENTS, ALL)])
+    zeros = salted_join(all_cities(cells), values, "resource", hot).withColumn(
+        "sentiment", F.explode(names)).withColumn("n", F.lit(0).cast("bigint"))
+    return (zeros.select(*STAT_KEYS, "n").unionByName(sparse_stats(cells))
+            .groupBy(*STAT_KEYS).agg(F.sum("n").alias("n")))
+
+
 def post_totals(cells: DataFrame) -> DataFrame:
     """One row per source and city: all posts and those of each sentiment."""
     return cells.groupBy("resource", "city").agg(

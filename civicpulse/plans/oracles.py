@@ -139,6 +139,18 @@ dense AS (
 
 STATS_JSON = "'{' || " + " || ',' || ".join(
     f"""'"{s}":' || coalesce(sum(n) FILTER (sentiment = '{s}'), 0)""" for s in ("positive", "negative", "all")) + " || '}'"
+# All cities of a source with all its geo values, zeros included.
+DENSE = STATS + """,
+grid AS (
+  SELECT g.resource, c.city, s.sentiment, g.level, g.geo
+  FROM (SELECT DISTINCT resource, level, geo FROM leveled) g
+  JOIN (SELECT DISTINCT resource, city FROM posts) c ON c.resource = g.resource
+  CROSS JOIN (SELECT unnest(['positive', 'negative', 'all']) AS sentiment) s),
+dense AS (
+  SELECT g.*, coalesce(n, 0) AS n FROM grid g LEFT JOIN counted k
+  ON k.resource = g.resource AND k.city IS NOT DISTINCT FROM g.city AND k.sentiment = g.sentiment AND k.level = g.level
+  AND k.geo IS NOT DISTINCT FROM g.geo)"""
+
 STATS_DOCUMENTS = f"""document AS (
   SELECT resource, city, level, CASE WHEN level <> 'total' THEN coalesce(geo, 'null') END AS geo, {STATS_JSON} AS stats
   FROM counted GROUP BY 1, 2, 3, 4)"""
@@ -241,7 +253,7 @@ ORACLES: dict[str, str] = {
     "subject_cities": f"WITH {POSTS} SELECT DISTINCT resource, city FROM posts WHERE resource = 'TWITTER'",
     "post_count": f"""WITH {POSTS} SELECT count(*) AS n FROM posts
         WHERE city = 'src3' AND sentiment = 'positive' AND geo_country IS NULL""",
-    "stats_json": f"WITH {POSTS}, {STATS}, {STATS_DOCUMENTS} SELECT * FROM document",
+    "stats_json": f"WITH {POSTS}, {DENSE}, {STATS_DOCUMENTS.replace('FROM counted', 'FROM dense')} SELECT * FROM document",
     "stats_nested": f"""WITH {POSTS}, {STATS}, {STATS_DOCUMENTS},
         flat AS (SELECT resource, city, CASE WHEN level = 'total' THEN '' ELSE level END AS level, coalesce(geo, '') AS geo, stats
           FROM document WHERE resource IS NOT NULL AND city IS NOT NULL),

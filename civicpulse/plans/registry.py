@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text, urls
 from ..params import FORUM_URL, Parameters
 from ..operators import bayes, geo, links, match, pages, sites, stats
-from ..session import run_dir
+from ..session import run_dir, shared_dir
 from ..sources import readers, writers
 from ..streaming import ingest
 from ..streaming.cells import CellStore
@@ -250,13 +250,14 @@ def post_count(t):
 
 @query
 def stats_json(t):
-    """Every source and city, cell by cell."""
-    return stats.stats_documents(stats.sparse_stats(stats.cells(t.posts())))
+    """Every source and city, cell by cell, zeros included."""
+    shared_dir(t.spark)
+    return stats.stats_documents(stats.dense_stats_of_all(stats.cells(t.posts()).checkpoint()))
 
 
 @query
 def stats_nested(t):
-    """The same as one nested document, in fragments."""
+    """The cells that occur as one nested document, in fragments."""
     return stats.stats_fragments(stats.stats_documents(stats.sparse_stats(stats.cells(t.posts()))))
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from civicpulse.operators import stats
+from civicpulse.plans.registry import QUERIES
 from civicpulse.schemas import POST
 
 ROWS = [
@@ -112,3 +113,20 @@ def test_many_geo_values_keep_the_shape(spark):
     assert made.columns == ["resource", "city", "level", "geo", "stats"]
     assert made.count() == 3000 + 3 and made.select("resource", "city", "level", "geo").distinct().count() == 3003
     assert made.where("level = 'by_country'").first().stats == '{"positive":3000,"negative":0,"all":3000}'
+
+
+def test_json_of_all_cities_has_the_zeros_of_their_source(spark, tmp_path):
+    docs = [(0, "a", "rome"), (3, "b", "paris"), (1, "c", "oslo"), (30, "d", None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "X", 0), (1, "Y", 0), (3, "Z", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(
+        str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    found = QUERIES["stats_json"](spark, str(tmp_path)).collect()
+    cells = {(r.resource, r.city, r.level, r.geo): json.loads(r.stats) for r in found}
+    nothing = {"positive": 0, "negative": 0, "all": 0}
+    assert len(cells) == len(found) == 3 * (3 + 2 + 1 + 1) + 4
+    assert cells["TWITTER", "rome", "by_country", "X"] == {"positive": 1, "negative": 0, "all": 1}
+    assert cells["TWITTER", "rome", "by_country", "Z"] == nothing == cells["TWITTER", "paris", "by_city", "Town 30"]
+    assert cells["TWITTER", None, "total", None]["all"] == 1
+    assert ("TRIPADVISOR", "rome", "total", None) not in cells
