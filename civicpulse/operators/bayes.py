@@ -12,20 +12,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import log
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import adjacent_pairs, features_of, tokenize
-from ..session import shared_dir
+from ..session import run_dir, shared_dir
 from .skew import broadcast_if_small, hot_keys, salted_join
 
 NANO = 1_000_000_000
 # A model up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Text whose features are looked up together, and the labels in one list of a feature.
+BLOCK_BYTES, LIST_LABELS = 4 * 1024 * 1024, 1000
 
 
 @dataclass(frozen=True)
@@ -191,6 +193,10 @@ def train_sparse(
         nano(F.lit(0.5) / (F.col("n") + 1.0)).alias("absent"))
     found = explode_features(kept, text, tokens, label).where(F.col("feature").isNotNull())
     pairs = found.groupBy("feature", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    # Written once: features, labels and gains are made from the counted pairs.
+    folder = run_dir(df.sparkSession, "pairs")
+    pairs.write.parquet(folder)
+    pairs = df.sparkSession.read.schema(pairs.schema).parquet(folder)
     features = pairs.groupBy("feature").agg(F.sum("n").alias("n"))
     # A feature of every document has one bin; it came with every label.
     everywhere = features.where(F.col("n") == documents).select("feature").withColumn("bins", F.lit(1))
@@ -201,10 +207,12 @@ def train_sparse(
     return SparseModel(labels, weighed.select("feature", "label", "n", gain.alias("gain")).unionByName(known))
 
 
-def with_label(rows: DataFrame, labels: DataFrame, counts: DataFrame) -> DataFrame:
+def with_label(rows: DataFrame, labels: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of their label."""
     small = broadcast_if_small(labels)
-    return rows.join(small, "label") if small is not labels else salted_join(rows, labels, "label", hot_keys(counts, "label"))
+    if small is not labels:
+        return rows.join(small, "label", how)
+    return salted_join(rows, labels, "label", hot_keys(counts, "label"), how)
 
 
 def score_sparse(
@@ -216,29 +224,46 @@ def score_sparse(
     known feature; pairs that occur add their gain, which is positive.  So the winner is the
     best of the labels with a gain, or the best default of all.  The best default is that of the
     most frequent labels for texts of no known feature, of the rarest for two or more.
+
+    Texts are dealt to blocks of a few megabytes.  A feature is looked up once for each block,
+    and what its labels gain comes back to the block, where the sums are made: neither the
+    features of single texts nor their labels are shuffled.
     """
-    found = explode_features(df.where(F.col(text).isNotNull()), text, tokens, key)
-    counts = model.pairs.where(F.col("label").isNull())
-    hits = salted_join(found, model.pairs.select("feature", "label", "gain"), "feature", hot_keys(counts, "feature"), "left")
-    sums = hits.groupBy(key, "label").agg(F.sum("gain").alias("gain"), F.count("gain").alias("known"))
-    # Of a key there is one row for each label that it has a pair with.
-    known = F.max(F.when(F.col("label").isNull(), F.col("known"))).over(Window.partitionBy(key))
+    asked = df.where(F.col(text).isNotNull()).select(key, text)
+    size = asked.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / BLOCK_BYTES))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "block")
+    found = explode_features(dealt, text, tokens, "block", key)
+    wanted = found.where(F.col("feature").isNotNull()).select("block", "feature").distinct()
+    # The labels of a feature travel as lists of about LIST_LABELS at most.
+    lists = F.lit(ceil((model.labels.count() + 1) / LIST_LABELS))
+    cells = model.pairs.groupBy("feature", F.pmod(F.xxhash64("label"), lists).alias("list")).agg(
+        F.collect_list(F.struct("label", "gain")).alias("cells"))
+    # Two plain lists are less than half as large as one of structs.
+    packed = cells.select("feature", F.col("cells.label").alias("label"), F.col("cells.gain").alias("gain"))
+    weights = wanted.join(packed, "feature").repartition(blocks, "block")
+    hits = found.join(weights, ["block", "feature"], "left").select(
+        "block", key, F.explode_outer(F.arrays_zip("label", "gain")).alias("cell"))
+    sums = hits.groupBy("block", key, F.col("cell.label").alias("label")).agg(
+        F.sum("cell.gain").alias("gain"), F.count("cell.gain").alias("known"))
+    # Of a key there is one row for each label that it has a pair with, and one for the known features.
+    known = F.max(F.when(F.col("label").isNull(), F.col("known"))).over(Window.partitionBy("block", key))
     sums = sums.withColumn("known", F.coalesce(known, F.lit(0)))
-    here = with_label(sums.where(F.col("label").isNotNull()), model.labels.drop("n"),
-                      model.labels.select("label", "n"))
-    best = here.select(key, F.struct((F.col("prior") + F.col("known") * F.col("absent") + F.col("gain")).alias("score"), "label").alias("best"))
+    here = with_label(sums, model.labels.drop("n"), model.labels.select("label", "n"), "left")
+    gained = F.struct((F.col("prior") + F.col("known") * F.col("absent") + F.col("gain")).alias("score"), "label")
+    best = here.groupBy("block", key).agg(
+        F.max("known").alias("known"), F.max(F.when(F.col("label").isNotNull(), gained)).alias("best"))
     defaults = model.labels.agg(
         F.max(F.struct("prior", "label")).alias("none"),
         F.max(F.struct((F.col("prior") + F.col("absent")).alias("score"), "label")).alias("one"),
         F.max(F.struct((-F.col("n")).alias("n"), "label", "prior", "absent")).alias("more"))
     default = lambda name, part: defaults.select(F.col(f"{name}.{part}")).scalar()
-    keys = sums.select(key, "known").distinct()
-    usual = keys.select(key, F.struct(
+    usual = F.struct(
         F.when(F.col("known") == 0, default("none", "prior")).when(F.col("known") == 1, default("one", "score"))
         .otherwise(default("more", "prior") + F.col("known") * default("more", "absent")).alias("score"),
         F.when(F.col("known") == 0, default("none", "label")).when(F.col("known") == 1, default("one", "label"))
-        .otherwise(default("more", "label")).alias("label")).alias("best"))
-    won = best.unionByName(usual).groupBy(key).agg(F.max("best").alias("best"))
+        .otherwise(default("more", "label")).alias("label"))
+    won = best.select(key, F.greatest("best", usual).alias("best"))
     return won.select(key, F.col("best.label").alias("label"), (F.col("best.score") / NANO).alias("score"))
 
 

@@ -206,3 +206,13 @@ def test_five_thousand_labels(spark):
     found = bayes.score_sparse(spark.createDataFrame([(1, "wordb tailc"), (2, "nothing")], "id int, text string"), model, "id").collect()
     want = plain_bayes([tuple(r) for r in rows.collect()], ["wordb tailc", "nothing"])
     assert {r["id"]: (round(r["score"] * 10**9), r["label"]) for r in found} == dict(enumerate(want, 1))
+
+
+def test_sparse_scores_shuffle_no_label_of_a_text(spark):
+    rows = [("one two", "a"), ("one three", "b"), ("two three", "c")]
+    model = bayes.train_sparse(spark.createDataFrame(rows, "text string, label string"))
+    texts = spark.createDataFrame([(1, "one two"), (1, "three"), (None, "two"), (None, "two"), (2, None)], "id int, text string")
+    scored = bayes.score_sparse(texts, model, "id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(feature" in plan
+    assert sorted(r["id"] or 0 for r in scored.collect()) == [0, 1]
