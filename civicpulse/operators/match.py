@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, strip_hash_lower, whitespace_tokens, with_computed
-from ..session import shared_dir
+from ..session import run_dir
 from .skew import broadcast_if_small, hot_keys, salted_join
 
 
@@ -49,16 +49,21 @@ def tracked_phrases(df: DataFrame, phrases: DataFrame, key: str, text: str = "te
     wanted = phrases.select("phrase").distinct().withColumn("terms", terms).where(F.size("terms") > 0)
     universe = wanted.select(F.explode("terms").alias("term")).distinct()
     held = df.select(key, F.explode(terms_of(F.col(text))).alias("term")).join(broadcast_if_small(universe), "term", "left_semi")
-    shared_dir(df.sparkSession)
-    held = held.checkpoint()
+    # Written as columns, which are far smaller than rows; a lost executor repeats none of it.
+    folder = run_dir(df.sparkSession, "terms")
+    held.write.parquet(folder)
+    held = df.sparkSession.read.schema(held.schema).parquet(folder)
     counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = wanted.select("phrase", "terms", F.explode("terms").alias("term")).join(counts, "term", "left").groupBy(
         "phrase", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest"))
     filed = rarest.where("rarest.n > 0").select(F.col("rarest.term").alias("term"), "phrase", "terms")
-    present = held.groupBy(key).agg(F.collect_list("term").alias("present"))
-    each = present.withColumn("term", F.explode("present"))
-    met = salted_join(each, filed, "term", hot_keys(counts, "term"))
-    return met.where(F.size(F.array_except("terms", "present")) == 0).select(key, "phrase")
+    met = salted_join(held, filed, "term", hot_keys(counts, "term"))
+    # A phrase of one term is found by now.
+    alone = met.where(F.size("terms") == 1).select(key, "phrase")
+    # The terms of a text move once, whatever it has met.
+    present = held.groupBy(F.col(key).alias("held_key")).agg(F.collect_set("term").alias("present"))
+    others = met.where(F.size("terms") > 1).join(present, F.col(key).eqNullSafe(F.col("held_key")))
+    return alone.unionByName(others.where(F.size(F.array_except("terms", "present")) == 0).select(key, "phrase"))
 
 
 def track_filter_by(df: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -68,3 +68,12 @@ def test_tables_equal_lists(spark):
         match.topic_cities(topics, starts))
     assert match.city_mentions_by(df, names.limit(0)).count() == 0
     assert match.tracked_phrases(df, table.limit(0), "id").count() == 0
+
+
+def test_the_terms_of_a_text_move_once(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b"), (2, "c d"), (None, "d e"), (None, "a")], "id int, text string")
+    table = spark.createDataFrame([("a b",), ("c a",), ("e a",), ("d",)], "phrase string")
+    found = match.tracked_phrases(df, table, "id")
+    assert "explode(present" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(((r["id"] or 0), r["phrase"]) for r in found.collect()) == [
+        (0, "d"), (0, "e a"), (1, "a b"), (1, "c a"), (2, "a b"), (2, "c a"), (2, "d")]
