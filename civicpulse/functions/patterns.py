@@ -39,17 +39,26 @@ STOPWORDS = tuple(
 )
 
 
-def token_pattern(ellipsis: str = ELLIPSIS) -> str:
-    """All token alternatives as one pattern; group 1 is the token."""
+def alternatives(ellipsis: str) -> str:
+    """All token alternatives, in order of precedence."""
     parts = (
         f"(?:{PHONE})", f"(?:{EMOTICON})", f"(?:{WEB_ADDRESS})", MARKUP_TAG, USER_NAME,
         HASHTAG, JOINED_WORD, NUMBER, WORD, ellipsis, ANY_SYMBOL,
     )
-    return f"(?i)({'|'.join(parts)})"
+    return "|".join(parts)
+
+
+def token_pattern(ellipsis: str = ELLIPSIS) -> str:
+    """All token alternatives as one pattern; group 1 is the token."""
+    return f"(?i)({alternatives(ellipsis)})"
 
 
+# Most tokens are plain words: three letters or more before white space, one of a few marks or the
+# end.  No alternative ahead of JOINED_WORD matches there, and it matches the same letters.
+PLAIN_WORD = r"[a-z]{3,}+(?=[\s,!?\"]|\z)"
 # On the JVM the repeated group is possessive: the match is the same, but a run of
-# thousands of dots then loops instead of recursing.
-TOKEN = token_pattern(ELLIPSIS + "+")
+# thousands of dots then loops instead of recursing.  No token starts with white space; one
+# look passes it by instead of a try of each alternative.
+TOKEN = rf"(?i)((?=[^\s\p{{Z}}])(?:{PLAIN_WORD}|{alternatives(ELLIPSIS + '+')}))"
 STARTS_WITH_EMOTICON = f"(?i)^(?:{EMOTICON})"
 ADDRESS = f"(?i){WEB_ADDRESS}"

@@ -152,7 +152,10 @@ def adjacent_pairs(tokens: Column) -> Column:
 def features_of(tokens: Column) -> Column:
     """The set of single tokens and neighbour pairs."""
     def both(t):
-        plain = F.transform(t, escaped)
+        # Hardly a text holds one of the two characters; all its tokens are searched at once.
+        whole = F.array_join(t, "")
+        special = F.contains(whole, F.lit(PAIR_SEPARATOR)) | F.contains(whole, F.lit(ESCAPE))
+        plain = F.when(special, F.transform(t, escaped)).otherwise(t)
         n = F.greatest(F.size(t) - 1, F.lit(0))
         pairs = bind(plain, lambda p: F.zip_with(
             F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.concat(a, F.lit(PAIR_SEPARATOR), b)))

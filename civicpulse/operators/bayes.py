@@ -26,6 +26,10 @@ NANO = 1_000_000_000
 # A model up to this size is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Features of a model that one partition of a shuffle holds in memory.
+HASH_ROWS = 1_000_000
+# Texts that are fewer in all look the model through.
+FEW_BYTES = 2 * 1024 * 1024
 # Text whose features are looked up together, and the labels in one list of a feature.
 BLOCK_BYTES, LIST_LABELS = 4 * 1024 * 1024, 1000
 
@@ -133,6 +137,34 @@ def train(
     return Model(labels, counted.withColumn("weights", weights))
 
 
+def stored_features(model: Model) -> DataFrame:
+    """The features of a model; those of one that is not saved are written, so that they are counted once."""
+    if model.n_features is not None:
+        return model.features
+    folder = run_dir(model.features.sparkSession, "features")
+    model.features.write.parquet(folder)
+    return model.features.sparkSession.read.schema(model.features.schema).parquet(folder)
+
+
+def looked_up(
+    texts: DataFrame, features: DataFrame, weights: list[Column], key: str, text: str, tokens: Callable[[Column], Column],
+) -> DataFrame:
+    """``key`` and the weights ``w_<i>`` of each feature of its text, by shuffle.
+
+    A partition's part of the model is held as a hash table while that stays small, so the far more
+    rows of the texts need no sort.  The features of few texts, a small batch of a stream, are
+    broadcast to the model instead, which is not shuffled for them.
+    """
+    spark, found = texts.sparkSession, explode_features(texts, text, tokens, key)
+    if (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) <= FEW_BYTES:
+        asked = features.join(F.broadcast(found.select("feature").distinct()), "feature", "left_semi")
+        return found.join(asked.select("feature", *weights), "feature", "left")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hint = "shuffle_hash" if features.count() <= HASH_ROWS * partitions else "merge"
+    return salted_join(found, features.select("feature", *weights), "feature", hot_keys(features, "feature"), "left",
+                       spread_by=[key], hint=hint)
+
+
 def score(
     df: DataFrame,
     model: Model,
@@ -145,15 +177,14 @@ def score(
     ``key`` identifies a text.  Unknown features are ignored, a text without known
     features falls back to the prior, equal scores go to the greatest label.
     """
-    found = explode_features(df.where(F.col(text).isNotNull()), text, tokens, key)
-    weights = model.features.select("feature", "weights")
+    texts, places = df.where(F.col(text).isNotNull()), range(len(model.labels))
+    weights = [F.col("weights")[i].alias(f"w_{i}") for i in places]
     if model.is_small():
-        hits = found.join(F.broadcast(weights), "feature", "left")
+        found = explode_features(texts, text, tokens, key)
+        hits = found.join(F.broadcast(model.features.select("feature", *weights)), "feature", "left")
     else:
-        hot = hot_keys(model.features, "feature")
-        hits = salted_join(found, weights, "feature", hot, "left", spread_by=[key])
-    sums = hits.groupBy(key).agg(*[
-        F.sum(F.col("weights")[i]).alias(f"sum_{i}") for i in range(len(model.labels))])
+        hits = looked_up(texts, stored_features(model), weights, key, text, tokens)
+    sums = hits.groupBy(key).agg(*[F.sum(f"w_{i}").alias(f"sum_{i}") for i in places])
     scores = [
         ((F.coalesce(F.col(f"sum_{i}"), F.lit(0)) + w) / NANO).alias(f"score_{label}")
         for i, ((label, _), w) in enumerate(zip(model.labels, model.prior_nano()))]

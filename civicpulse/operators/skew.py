@@ -38,12 +38,14 @@ def salted_join(
     how: str = "inner",
     spread_by: Sequence[str] | None = None,
     salts: int = SALTS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Equi-join on ``key`` that splits hot and null keys of ``left``.
 
     A left row of a hot key gets one of ``salts`` salts, in turn within its task or from a
     hash of ``spread_by``; rows that are equal get different ones in turn.  The matching right rows are repeated once per salt.  Rows
-    with a null key match nothing and are only spread.  ``how`` is inner or left.
+    with a null key match nothing and are only spread.  ``how`` is inner or left; ``hint``
+    names a way of joining.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join repeats right rows: use inner or left")
@@ -61,4 +63,6 @@ def salted_join(
     salted_right = marked(right).withColumn(
         "salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0))))
     ).drop("hot_hash")
+    if hint:
+        salted_right = salted_right.hint(hint)
     return salted_left.join(salted_right, [key, "salt"], how).drop("salt")

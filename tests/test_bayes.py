@@ -216,3 +216,26 @@ def test_sparse_scores_shuffle_no_label_of_a_text(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" not in plan and "hashpartitioning(feature" in plan
     assert sorted(r["id"] or 0 for r in scored.collect()) == [0, 1]
+
+
+def test_lookup_by_shuffle_agrees_however_it_is_joined(spark, monkeypatch):
+    """Few texts are brought to the model, many are joined by hash or, with a large model, by sort."""
+    rows = [(i % 7, f"w{i % 5} w{i % 3} w{i % 11} w{i}") for i in range(60)] + [(None, "w1 w2"), (8, ""), (9, None)]
+    texts = spark.createDataFrame(rows, "k long, text string")
+    corpus = spark.createDataFrame([(f"w{i % 4} w{i % 6} w{i % 9} w1", "ab"[i % 2]) for i in range(30)], "text string, label string")
+    model = bayes.train(corpus)
+    want = sorted(map(tuple, bayes.score(texts, bayes.Model(model.labels, model.features, 1, 1), "k").collect()), key=repr)
+
+    def scored():
+        found = bayes.score(texts, model, "k")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, found.collect()), key=repr), plan
+
+    got, few = scored()
+    assert got == want and "ShuffledHashJoin" not in few
+    monkeypatch.setattr(bayes, "FEW_BYTES", 0)
+    got, many = scored()
+    assert got == want and "ShuffledHashJoin" in many and "SortMergeJoin" not in many
+    monkeypatch.setattr(bayes, "HASH_ROWS", 0)
+    got, large = scored()
+    assert got == want and "SortMergeJoin" in large

@@ -26,6 +26,17 @@ TOKEN_CASES = {
 }
 
 
+def test_plain_words_are_passed_by_first_without_change(spark):
+    """A quick way for plain words and white space, and the same tokens as by the alternatives alone."""
+    assert P.PLAIN_WORD in P.TOKEN and not P.token_pattern().count(P.PLAIN_WORD)
+    odd = ["", " ", "\u00a0", "\n", ",", "!", "?", '"', ".", "-", "'", "_", ":", ";", "=", "8", ")", "/", "o", "d", "é", "://", "\u2028", "'-"]
+    words = ["word", "dpd", "ppo", "http", "ab", "Caf", "xx8xx", "ſſſ", "KKK", "#tag", "555"]
+    rows = [a + x + b + y + c for a in ("", "dp", "8") for x in odd for b in words for y in odd for c in ("", "com", ")")]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    plain = F.regexp_extract_all("t", F.lit(P.token_pattern()), F.lit(1))
+    assert df.where(~text.raw_tokens(F.col("t")).eqNullSafe(plain)).count() == 0
+
+
 @pytest.mark.parametrize("source", TOKEN_CASES)
 def test_raw_tokens(spark, source):
     assert values(spark, [source], text.raw_tokens) == [TOKEN_CASES[source]]
