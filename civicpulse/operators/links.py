@@ -15,7 +15,7 @@ from ..functions import urls
 from ..functions.markup import has_class, parse, with_class
 from ..params import REVIEW_URL
 from ..schemas import LINK
-from ..session import run_dir
+from ..session import delete_path, run_dir
 from ..sources.buckets import Buckets
 from .pages import map_pages
 from .skew import SALTS, hot_keys
@@ -212,18 +212,28 @@ def link_buckets(edges: DataFrame, path: str) -> tuple[Buckets, DataFrame]:
     """Links between different urls, bucketed by their start; and the hashes of the starts that
     hold a large share of all links.
 
-    The links of such a page are dealt to ``SALTS`` buckets, so no task follows them alone.
+    The links of such a page are dealt to ``SALTS`` buckets, so no task follows them alone.  The
+    distinct links, and how many each page has, are written first, since both are read twice.
     """
-    links = edges.select("src", "dst").where("src <> dst").distinct()
-    degrees = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    spark = edges.sparkSession
+    links = stored(edges.select("src", "dst").where("src <> dst").distinct(), f"{path}-distinct")
+    degrees = stored(links.groupBy("src").agg(F.count(F.lit(1)).alias("n")), f"{path}-degrees")
     hot = hot_keys(degrees, "src").checkpoint()
     salt = F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0)
     salted = links.join(F.broadcast(hot), F.xxhash64("src") == F.col("hot_hash"), "left").withColumn("salt", salt)
-    held = Buckets(edges.sparkSession, path, ("src", "salt"))
+    held = Buckets(spark, path, ("src", "salt"))
     held.append(salted.select("src", "salt", "dst"))
+    for name in ("distinct", "degrees"):
+        delete_path(spark, f"{path}-{name}")
     return held, hot
 
 
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as a plain table under ``path``."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def next_reached(links: DataFrame, hot: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
     """``url, city, depth``: the urls that links lead to from those reached one round before,
     and that no round has reached yet.

@@ -164,3 +164,22 @@ def test_cities_reach_beyond_any_depth(spark):
     seeds = spark.createDataFrame([("p0", "rome"), ("p20", "bonn")], "url string, city string")
     got = {r["url"]: (r["city"], r["depth"]) for r in links.propagate_cities(seeds, chain).collect()}
     assert len(got) == 31 and got["p19"] == ("rome", 19) and got["p30"] == ("bonn", 10)
+
+
+def test_distinct_links_are_found_once(spark, tmp_path, monkeypatch):
+    """Links are made distinct in one pass: how many a page has and its buckets come from the stored ones."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "b"), (None, "a"), ("c", None)] + [("hub", f"p{i}") for i in range(200)]
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(rows, "src string, dst string").mapInArrow(noted, "src string, dst string")
+    held, hot = links.link_buckets(edges, str(tmp_path / "links"))
+    assert seen.value == len(rows)
+    assert sorted({(r.src, r.dst) for r in held.read().collect()})[:2] == [("a", "b"), ("a", "c")] and held.read().count() == 202
+    assert {p.name for p in tmp_path.iterdir()} == {"links", "checkpoints"}
+    held.close()
