@@ -1,15 +1,16 @@
-"""Near copies by the Jaccard similarity of word shingles: bands of minima, then whole sets.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and bands of minima, then whole sets.
 
-A set's minima under many orders agree with another's as often as the sets are similar.
+Texts whose SimHash fingerprints are equal or near are compared first.  Of sets of a similarity of
+0.8 hardly any are within its two bits, so bands of minima find the others.  A set's minima under many orders agree with another's as often as the sets are similar.
 Sets meet where a band of minima agrees: sets of a similarity of 0.8 are missed with a chance
 below one in a million, sets that share a passage alone hardly ever meet.  What meets is
 compared in whole, with the leaders of a band's group first, and only while members of a group
-are in different components.
+are in different components and their shingles that others share leave it possible.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,14 @@ from pyspark.sql import types as T
 
 from .common import Hashes, Store, even_join, hot_keys, mix, row_key, sequence_hashes, texts
 from .components import components
+from .simhash import fingerprint, near_edges
 
 #: Bands and the minima in each: 1 - (1 - 0.8 ** 5) ** 40 of the pairs at 0.8 meet.
 BANDS, ROWS = 40, 5
+#: Words in a shingle of the fingerprints, and the bits by which near ones differ at most.
+PRINT_WORDS, PRINT_BITS = 3, 2
+#: Cells of a set's parities, in longs of 64.
+PARITIES = 4
 #: Shingles whose minima are taken at a time.
 STEP = 4096
 #: By how much the leaders of a group grow in number from round to round.
@@ -57,36 +63,47 @@ def bands(x: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row its key, the hash of its set (``node``), the set's ``size`` and its bands."""
+    """Per row its key, the hash of its set (``node``), the set's ``size``, its bands and the text's fingerprint."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("k1", "k2", "node")],
-        T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+        T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("fp", T.LongType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         known, (masks, factors) = Hashes(22), orders()
         for batch in batches:
-            sets = [shingles(text, shingle, known) for text in texts(batch.column(3))]
+            words = texts(batch.column(3))
+            sets = [shingles(text, shingle, known) for text in words]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 5) for x in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()),
-                 pa.array([bands(x, masks, factors) for x in sets], pa.list_(pa.int64()))], names=schema.names)
+                 pa.array([bands(x, masks, factors) for x in sets], pa.list_(pa.int64())),
+                 pa.array([fingerprint(text, PRINT_WORDS) for text in words], pa.int64())], names=schema.names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), "text").mapInArrow(work, schema)
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """For each cell of hashes whether a set holds an odd number of them, as ``PARITIES`` longs."""
+    odd = np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``node, hashes`` of the rows ``wanted`` (node, k1, k2), one row for each node."""
+    """``node, hashes, parity`` of the rows ``wanted`` (node, k1, k2), one row for each node."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes(22)
         for batch in batches:
-            sets = [shingles(text, shingle, known).view(np.int64) for text in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+            sets = [shingles(text, shingle, known) for text in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                 pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes", "parity"])
 
     # Wanted rows grow with the documents, so this is a shuffle at every size.  Rows equal in
     # id and text answer to one wanted row; one of them is enough.
     rows = docs.select(*row_key(), "text").join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    return rows.select("node", "text").mapInArrow(work, "node bigint, hashes array<bigint>")
+    return rows.select("node", "text").mapInArrow(work, "node bigint, hashes array<bigint>, parity array<bigint>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
@@ -119,48 +136,109 @@ def fitting(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
+def close_prints(nodes: DataFrame, store: Store) -> DataFrame:
+    """Pairs ``a, b`` of nodes by SimHash: of equal fingerprints, each with the least node of its
+    fingerprint; of near ones, the pairs that join them."""
+    prints = store.put(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    several = prints.where("n > 1")
+    equal = even_join(nodes.select("node", "fp"), several, ["fp"], hot_keys(several, ["fp"], "n")).where("node <> rep")
+    pairs = equal.select("rep", "node").union(near_edges(prints, PRINT_BITS).select("a", "b"))
+    out = store.put(pairs.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct())
+    store.drop(prints)
+    return out
+
+
+def narrowed(open_: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
+    """The rows of ``open_`` (key, node, size) that some other can be similar enough to, with the
+    number ``shared`` of shingles that another open set has too, and their parities.
+
+    A shingle of one set alone is in no intersection.  A set in which too few are shared is
+    similar to none, so it needs no comparison.
+    """
+    nodes = open_.select("node").distinct()
+    each = sets.join(nodes.hint("merge"), "node").select("node", F.explode("hashes").alias("hash"))
+    alone = each.groupBy("hash").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    cell = F.col("hash").bitwiseAND(F.lit(64 * PARITIES - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), cell % 64)
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.array(*[
+        F.coalesce(F.bit_xor(F.when(F.floor(cell / 64) == i, bit)), F.lit(0).cast("bigint")) for i in range(PARITIES)]).alias("odd"))
+    known = store.put(sets.select("node", "parity", F.size("hashes").alias("size")).join(nodes.hint("merge"), "node").join(
+        own.hint("merge"), "node", "left").select(
+        "node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"),
+        F.when(F.col("odd").isNull(), F.col("parity")).otherwise(
+            F.array(*[F.col("parity")[i].bitwiseXOR(F.col("odd")[i]) for i in range(PARITIES)])).alias("parity"),
+        "size").where(F.col("shared") >= least * F.col("size") - 1e-6).drop("size"))
+    out = store.put(open_.select("key", "node", "size").join(known.hint("merge"), "node"))
+    store.drop(known)
+    return out
+
+
+def possible(a: Callable[[str], Column], b: Callable[[str], Column], least: float) -> Column:
+    """Whether sets can be similar enough by what they are known to differ in: the shingles of one
+    set alone, and of the shared ones at least their difference in number and one for each cell
+    of unequal parity."""
+    sizes, shared = a("size") + b("size"), a("shared") + b("shared")
+    cells = sum((F.bit_count(a("parity")[i].bitwiseXOR(b("parity")[i])) for i in range(PARITIES)), F.lit(0))
+    apart = sizes - shared + F.greatest(F.abs(a("shared") - b("shared")), cells)
+    return apart <= sizes * ((1 - least) / (1 + least)) + 1e-6
+
+
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float, store: Store) -> DataFrame:
     """``node, component`` of the nodes that some similar node is joined with.
 
-    First each node is compared with the least node it meets, which joins most of a large
-    group of near copies.  Then, group by group of one band, the members that are still in
-    different components are compared with leaders, the least of them, which are then done;
-    with one leader at first, with eight times as many in each round, until all members of
-    every group are joined or compared.  So no pair is left out, groups are never held whole,
-    and a group of near copies takes as many comparisons as it has members.
+    First each node is compared with those that SimHash finds and with the least node that its
+    bands meet, which joins most of a large group of near copies.  Then, group by group of one
+    band, the members that are still in different components are compared with leaders, the
+    least of them, which are then done; with one leader at first, with eight times as many in
+    each round, until all members of every group are joined or compared.  So no pair is left
+    out, groups are never held whole, and a group of near copies takes as many comparisons as it
+    has members.  Members that hold too many shingles of their own leave the groups before, and
+    of the pairs left only those are compared that can be similar by counts and parities: copies
+    of one text with different edits have most of it in common, yet are seldom similar enough.
     """
+    near = close_prints(nodes, store)
     each = nodes.select("node", "size", F.explode("bands").alias("key"))
     counts = store.put(each.groupBy("key").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = store.put(even_join(each, counts, ["key"], hot_keys(counts, ["key"], "n")).select("key", "node", "size", "lead"))
     store.drop(counts)
-    wanted = met.select("node").distinct().join(nodes.select("node", "least.k1", "least.k2").hint("merge"), "node")
+    meeting = met.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = meeting.join(nodes.select("node", "least.k1", "least.k2").hint("merge"), "node")
     sets = store.put(whole_sets(docs, wanted, shingle))
     first = met.where(F.col("node") != F.col("lead.node")).where(fitting(F.col("size"), F.col("lead.size"), least))
-    edges = similar(first.groupBy("node").agg(F.min("lead.node").alias("a")).select("a", F.col("node").alias("b")), sets, least, store)
+    first = first.groupBy("node").agg(F.min("lead.node").alias("a")).select("a", F.col("node").alias("b"))
+    edges = similar(near.unionByName(first).distinct(), sets, least, store)
     groups = store.put(components(edges, store))
-    active, leaders = met.select("key", "node", "size"), 1
+    active, leaders, narrow = met.select("key", "node", "size"), 1, False
     while True:
+        kept = [c for c in active.columns if c != "node"]
         placed = store.put(active.join(groups.hint("merge"), "node", "left").select(
-            "key", "node", "size", F.coalesce("component", "node").alias("component")))
+            "node", *kept, F.coalesce("component", "node").alias("component")))
         split = store.put(placed.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"))
         if not split.limit(1).count():
             break
         hot = hot_keys(split, ["key"], "n")
-        open_ = store.put(even_join(placed, split, ["key"], hot).select("key", "node", "size", "component"))
+        open_ = store.put(even_join(placed, split, ["key"], hot).select("node", *kept, "component"))
+        if not narrow:
+            active, narrow = narrowed(open_, sets, least, store), True
+            store.drop(placed, split, open_)
+            continue
         bucket = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        leads = store.put(open_.groupBy("key", bucket.alias("bucket")).agg(F.min(F.struct("node", "size", "component")).alias("lead")).groupBy(
+        leader = F.struct("node", "size", "component", "shared", "parity")
+        leads = store.put(open_.groupBy("key", bucket.alias("bucket")).agg(F.min_by(leader, "node").alias("lead")).groupBy(
             "key").agg(F.collect_list("lead").alias("leads")))
         facing = even_join(open_, leads, ["key"], hot)
-        pairs = facing.select("node", "size", "component", F.explode("leads").alias("lead")).where(
-            (F.col("component") != F.col("lead.component")) & fitting(F.col("size"), F.col("lead.size"), least))
-        more = similar(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), sets, least, store)
-        edges = store.put(edges.unionByName(more))
-        groups = store.put(components(edges, store))
-        active = store.put(facing.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("key", "node", "size"))
-        store.drop(placed, split, open_, leads)
+        pairs = facing.select("node", "size", "component", "shared", "parity", F.explode("leads").alias("lead")).where(
+            (F.col("component") != F.col("lead.component")) & fitting(F.col("size"), F.col("lead.size"), least)
+            & possible(F.col, lambda c: F.col("lead")[c], least))
+        pairs = store.put(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
+        if pairs.limit(1).count():
+            edges = store.put(edges.unionByName(similar(pairs, sets, least, store)))
+            groups = store.put(components(edges, store))
+        active = store.put(facing.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("node", *kept))
+        store.drop(placed, split, open_, leads, pairs)
         leaders *= LEADERS
-    store.drop(met, sets)
+    store.drop(near, met, sets)
     return groups
 
 
@@ -177,7 +255,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Da
     rows = store.put(described(docs.select("doc_id", "text"), shingle))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
     nodes = store.put(rows.groupBy("node").agg(
-        F.min(order).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+        F.min(order).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     repeated = store.put(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     store.drop(rows)
     groups = links(docs.select("doc_id", "text"), nodes, shingle, least, store)

@@ -28,7 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group stays: what SimHash and bands of minima find is compared by the
+    Jaccard similarity of five-word shingles, 0.8 or more."""
     return nearcopies.representatives(docs, shingle=5, least=0.8)
 
 

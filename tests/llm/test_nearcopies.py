@@ -100,3 +100,40 @@ def test_shared_lines_do_not_make_pairs_of_all(spark, monkeypatch):
     for n in (500, 4000):
         assert len(representatives(passages(4, n, 1, 1, 3))) == n
     assert compared[0] < 300 and compared[1] <= 50 and compared[2] <= 400
+
+
+def edited(seed, n, words, edits):
+    """Copies of one text, each with words of its own in some places."""
+    draw = random.Random(seed)
+    text = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(text)
+        for at in draw.sample(range(words), draw.randrange(*edits)):
+            copy[at] = f"e{i}x{at}" if draw.random() < .7 else f"z{draw.randrange(9)}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_copies_with_different_edits_are_not_compared_all_with_all(spark, monkeypatch):
+    compared = []
+    similar = nearcopies.similar
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "similar", counting)
+    rows = edited(3, 400, 150, (2, 8))
+    got = nearcopies.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(brute_copies(rows).values())
+    assert sum(compared) < 5 * len(rows)
+
+
+def test_texts_that_simhash_finds_are_compared(spark, monkeypatch):
+    # Without a band in common only the fingerprints bring copies together.
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h a b c d e f g h"), (3, "q r s t u v w x")]
+    monkeypatch.setattr(nearcopies, "bands", lambda x, *_: x[:0].view("int64"))
+    monkeypatch.setattr(nearcopies, "fingerprint", lambda text, words: 8 * (b"q" in text))
+    docs = spark.createDataFrame([*rows, (4, "a b c d e f g h i")], "doc_id long, text string")
+    assert {r["doc_id"] for r in nearcopies.representatives(docs).collect()} == {1, 2, 3}
