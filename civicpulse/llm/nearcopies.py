@@ -4,13 +4,13 @@ Texts whose SimHash fingerprints are equal or near are compared first.  Of sets
 0.8 hardly any are within its two bits, so bands of minima find the others.  A set's minima under many orders agree with another's as often as the sets are similar.
 Sets meet where a band of minima agrees: sets of a similarity of 0.8 are missed with a chance
 below one in a million, sets that share a passage alone hardly ever meet.  What meets is
-compared in whole, with the leaders of a band's group first, and only while members of a group
-are in different components and their shingles that others share leave it possible.
+compared in whole with one leader of a band's group.  What is still apart then meets where its
+differences from another leader do, which is seldom for sets that are not similar.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,8 @@ from .simhash import fingerprint, near_edges
 BANDS, ROWS = 40, 5
 #: Words in a shingle of the fingerprints, and the bits by which near ones differ at most.
 PRINT_WORDS, PRINT_BITS = 3, 2
-#: Cells of a set's parities, in longs of 64.
-PARITIES = 4
 #: Shingles whose minima are taken at a time.
 STEP = 4096
-#: By how much the leaders of a group grow in number from round to round.
-LEADERS = 8
 
 
 def shingles(text: bytes, size: int, known: Hashes) -> np.ndarray:
@@ -84,50 +80,67 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), "text").mapInArrow(work, schema)
 
 
-def parities(x: np.ndarray) -> np.ndarray:
-    """For each cell of hashes whether a set holds an odd number of them, as ``PARITIES`` longs."""
-    odd = np.bincount((x & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``node, hashes, parity`` of the rows ``wanted`` (node, k1, k2), one row for each node."""
+    """``node, hashes`` of the rows ``wanted`` (node, k1, k2), one row for each node."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes(22)
         for batch in batches:
             sets = [shingles(text, shingle, known) for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                 pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes", "parity"])
+                [batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     # Wanted rows grow with the documents, so this is a shuffle at every size.  Rows equal in
     # id and text answer to one wanted row; one of them is enough.
     rows = docs.select(*row_key(), "text").join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    return rows.select("node", "text").mapInArrow(work, "node bigint, hashes array<bigint>, parity array<bigint>")
+    return rows.select("node", "text").mapInArrow(work, "node bigint, hashes array<bigint>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
-    """The ``pairs`` (a, b) whose whole sets have a Jaccard similarity of ``least`` or more.
+def facing(pairs: DataFrame, sets: DataFrame, store: Store) -> DataFrame:
+    """``a, b, set_a, set_b`` of the stored ``pairs`` (a, b).
 
     The set of ``b`` travels once for each pair; the sets of frequent ``a`` are broadcast.
     """
+    counts = store.put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    members = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")).hint("merge"), "b")
+    leaders = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")).join(counts.select("a").hint("merge"), "a")
+    hot = counts.where(F.col("n") >= F.lit(max(100, (counts.agg(F.sum("n")).first()[0] or 0) // 1000))).select("a")
+    return even_join(members, leaders, ["a"], hot).select("a", "b", "set_a", "set_b")
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
+    """The ``pairs`` (a, b) whose whole sets have a Jaccard similarity of ``least`` or more."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.asarray(s.values) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            keep = [alike(np.asarray(x.values), np.asarray(y.values), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = store.put(pairs)
-    counts = store.put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-    members = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")).hint("merge"), "b")
-    leaders = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")).join(counts.select("a").hint("merge"), "a")
-    hot = counts.where(F.col("n") >= F.lit(max(100, (counts.agg(F.sum("n")).first()[0] or 0) // 1000))).select("a")
-    met = even_join(members, leaders, ["a"], hot)
-    out = store.put(met.select("a", "b", "set_a", "set_b").mapInArrow(work, "a bigint, b bigint"))
-    store.drop(pairs, counts)
+    out = store.put(facing(pairs, sets, store).mapInArrow(work, "a bigint, b bigint"))
+    store.drop(pairs)
+    return out
+
+
+def differences(pairs: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
+    """For each of the ``pairs`` (a, b) the ``size`` of b's set, whether the two are ``linked`` by
+    their similarity, and ``apart``: the shingles that one of them holds alone."""
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(y) for _, y in both], pa.int32()),
+                 pa.array([bool(alike(x, y, least)) for x, y in both], pa.bool_()),
+                 pa.array([np.setxor1d(x, y, assume_unique=True) for x, y in both], pa.list_(pa.int64()))],
+                names=["a", "b", "size", "linked", "apart"])
+
+    pairs = store.put(pairs)
+    out = store.put(facing(pairs, sets, store).mapInArrow(work, "a bigint, b bigint, size int, linked boolean, apart array<bigint>"))
+    store.drop(pairs)
     return out
 
 
@@ -149,8 +162,8 @@ def close_prints(nodes: DataFrame, store: Store) -> DataFrame:
 
 
 def narrowed(open_: DataFrame, sets: DataFrame, least: float, store: Store) -> DataFrame:
-    """The rows of ``open_`` (key, node, size) that some other can be similar enough to, with the
-    number ``shared`` of shingles that another open set has too, and their parities.
+    """The rows of ``open_`` (key, node, component) that some other can be similar enough to, with
+    the share ``own`` of their shingles that no other open set has.
 
     A shingle of one set alone is in no intersection.  A set in which too few are shared is
     similar to none, so it needs no comparison.
@@ -158,43 +171,65 @@ def narrowed(open_: DataFrame, sets: DataFrame, least: float, store: Store) -> D
     nodes = open_.select("node").distinct()
     each = sets.join(nodes.hint("merge"), "node").select("node", F.explode("hashes").alias("hash"))
     alone = each.groupBy("hash").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    cell = F.col("hash").bitwiseAND(F.lit(64 * PARITIES - 1)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), cell % 64)
-    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"), F.array(*[
-        F.coalesce(F.bit_xor(F.when(F.floor(cell / 64) == i, bit)), F.lit(0).cast("bigint")) for i in range(PARITIES)]).alias("odd"))
-    known = store.put(sets.select("node", "parity", F.size("hashes").alias("size")).join(nodes.hint("merge"), "node").join(
-        own.hint("merge"), "node", "left").select(
-        "node", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"),
-        F.when(F.col("odd").isNull(), F.col("parity")).otherwise(
-            F.array(*[F.col("parity")[i].bitwiseXOR(F.col("odd")[i]) for i in range(PARITIES)])).alias("parity"),
-        "size").where(F.col("shared") >= least * F.col("size") - 1e-6).drop("size"))
-    out = store.put(open_.select("key", "node", "size").join(known.hint("merge"), "node"))
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    known = store.put(sets.select("node", F.size("hashes").alias("size")).join(nodes.hint("merge"), "node").join(
+        own.hint("merge"), "node", "left").select("node", (F.coalesce("own", F.lit(0)) / F.col("size")).alias("own")).where(
+        F.col("own") <= 1 - least + 1e-6))
+    out = store.put(open_.join(known.hint("merge"), "node"))
     store.drop(known)
     return out
 
 
-def possible(a: Callable[[str], Column], b: Callable[[str], Column], least: float) -> Column:
-    """Whether sets can be similar enough by what they are known to differ in: the shingles of one
-    set alone, and of the shared ones at least their difference in number and one for each cell
-    of unequal parity."""
-    sizes, shared = a("size") + b("size"), a("shared") + b("shared")
-    cells = sum((F.bit_count(a("parity")[i].bitwiseXOR(b("parity")[i])) for i in range(PARITIES)), F.lit(0))
-    apart = sizes - shared + F.greatest(F.abs(a("shared") - b("shared")), cells)
-    return apart <= sizes * ((1 - least) / (1 + least)) + 1e-6
+def crossing(stars: DataFrame, least: float, store: Store) -> DataFrame:
+    """Pairs ``a, b`` that can be similar, of members ``b`` of one star (center ``a``) in different
+    components; ``stars`` has a, b, size, component and what is ``apart`` of b's set and a's.
+
+    Sets x and y are similar if they differ in ``h = (1 - least) / (1 + least) * (|x| + |y|)``
+    shingles or fewer.  What they differ in is what their differences from the center differ in.
+    Of two that are not both similar to the center, the differences are more than ``h`` in all, so
+    similar ones have some in common.  In x's differences, the rarest in the star first, those
+    ahead of the first common one are in x's alone: ``(h + |x's| - |y's|) / 2`` at most, and x's
+    own ones, which no other member has, are among these.  So members meet by their first few
+    differences; the more of them are their own, the fewer.
+    """
+    split = store.put(stars.groupBy("a").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"))
+    open_ = store.put(even_join(stars, split, ["a"], hot_keys(split, ["a"], "n")).select("a", "b", "size", "component", "apart"))
+    each = open_.select("a", "b", F.explode("apart").alias("hash"))
+    held = store.put(each.groupBy("a", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = even_join(each, held, ["a", "hash"], hot_keys(held, ["a", "hash"], "n")).groupBy("a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("shared"))
+    # Two sizes that fit: the larger is at most 1 / least of the smaller.
+    ratio = (1 - least) / (1 + least)
+    most = ratio * (1 + 1 / least) * F.col("size") + 1e-3
+    ranked = open_.select("a", "b", "size", "component", F.size("apart").alias("n")).join(shared.hint("merge"), ["a", "b"]).withColumn(
+        "own", F.col("n") - F.size("shared"))
+    first = F.slice("shared", 1, F.greatest(F.floor(most - F.col("own")).cast("int") + 1, F.lit(0)))
+    posts = store.put(ranked.select("a", "b", "size", "component", "n", "own", F.posexplode(first).alias("rank", "held")).select(
+        "*", F.col("held.hash").alias("hash")).drop("held"))
+    # Of two, y is the one with fewer differences: it has half of h at most to itself.
+    columns = [c for c in posts.columns if c not in ("a", "hash")]
+    few = posts.where(F.col("rank") + F.col("own") <= most / 2).select("a", "hash", *[F.col(c).alias(f"y_{c}") for c in columns])
+    x, y = F.col, lambda c: F.col(f"y_{c}")
+    h, more = ratio * (x("size") + y("size")) + 1e-6, x("n") - y("n")
+    met = posts.join(few, [posts["a"] == few["a"], posts["hash"] == few["hash"], (
+        (x("component") != y("component")) & ((more > 0) | ((more == 0) & (x("b") > y("b")))) & fitting(x("size"), y("size"), least)
+        & (2 * (x("rank") + x("own")) <= h + more) & (2 * (y("rank") + y("own")) <= h - more))])
+    out = store.put(met.select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b")).distinct())
+    store.drop(split, open_, held, posts)
+    return out
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float, store: Store) -> DataFrame:
     """``node, component`` of the nodes that some similar node is joined with.
 
     First each node is compared with those that SimHash finds and with the least node that its
-    bands meet, which joins most of a large group of near copies.  Then, group by group of one
-    band, the members that are still in different components are compared with leaders, the
-    least of them, which are then done; with one leader at first, with eight times as many in
-    each round, until all members of every group are joined or compared.  So no pair is left
-    out, groups are never held whole, and a group of near copies takes as many comparisons as it
-    has members.  Members that hold too many shingles of their own leave the groups before, and
-    of the pairs left only those are compared that can be similar by counts and parities: copies
-    of one text with different edits have most of it in common, yet are seldom similar enough.
+    bands meet, which joins most of a large group of near copies.  Of the groups of one band
+    whose members are still in different components, those members leave that hold too many
+    shingles of their own; the others are compared with the one of them that has the fewest,
+    which among copies of one text with different edits is near to all of them.  In that star,
+    what is still in different components is compared where differences from its center meet.
+    So no pair is left out, groups are never held whole, and their pairs are not enumerated.
     """
     near = close_prints(nodes, store)
     each = nodes.select("node", "size", F.explode("bands").alias("key"))
@@ -208,37 +243,26 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, least: float, store:
     first = first.groupBy("node").agg(F.min("lead.node").alias("a")).select("a", F.col("node").alias("b"))
     edges = similar(near.unionByName(first).distinct(), sets, least, store)
     groups = store.put(components(edges, store))
-    active, leaders, narrow = met.select("key", "node", "size"), 1, False
-    while True:
-        kept = [c for c in active.columns if c != "node"]
-        placed = store.put(active.join(groups.hint("merge"), "node", "left").select(
-            "node", *kept, F.coalesce("component", "node").alias("component")))
-        split = store.put(placed.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high"))
-        if not split.limit(1).count():
-            break
-        hot = hot_keys(split, ["key"], "n")
-        open_ = store.put(even_join(placed, split, ["key"], hot).select("node", *kept, "component"))
-        if not narrow:
-            active, narrow = narrowed(open_, sets, least, store), True
-            store.drop(placed, split, open_)
-            continue
-        bucket = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        leader = F.struct("node", "size", "component", "shared", "parity")
-        leads = store.put(open_.groupBy("key", bucket.alias("bucket")).agg(F.min_by(leader, "node").alias("lead")).groupBy(
-            "key").agg(F.collect_list("lead").alias("leads")))
-        facing = even_join(open_, leads, ["key"], hot)
-        pairs = facing.select("node", "size", "component", "shared", "parity", F.explode("leads").alias("lead")).where(
-            (F.col("component") != F.col("lead.component")) & fitting(F.col("size"), F.col("lead.size"), least)
-            & possible(F.col, lambda c: F.col("lead")[c], least))
-        pairs = store.put(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
-        if pairs.limit(1).count():
-            edges = store.put(edges.unionByName(similar(pairs, sets, least, store)))
-            groups = store.put(components(edges, store))
-        active = store.put(facing.where(~F.exists("leads", lambda x: x["node"] == F.col("node"))).select("node", *kept))
-        store.drop(placed, split, open_, leads, pairs)
-        leaders *= LEADERS
-    store.drop(near, met, sets)
+    placed = store.put(met.join(groups.hint("merge"), "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")))
+    store.drop(near, met)
+    reach = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")]
+    split = store.put(placed.groupBy("key").agg(*reach).where("low < high"))
+    open_ = store.put(even_join(placed, split, ["key"], hot_keys(split, ["key"], "n")).select("key", "node", "component"))
+    active = narrowed(open_, sets, least, store)
+    centers = store.put(active.groupBy("key").agg(*reach, F.min(F.struct("own", "node")).alias("lead")).where("low < high"))
+    facing_center = even_join(active, centers, ["key"], hot_keys(centers, ["key"], "n")).where(F.col("node") != F.col("lead.node"))
+    pairs = facing_center.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = differences(pairs, sets, least, store)
+    store.drop(placed, split, open_, active, centers)
+    if stars.limit(1).count():
+        edges = edges.unionByName(stars.where("linked").select("a", "b"))
+        groups = store.put(components(edges, store))
+        rest = crossing(stars.join(groups.withColumnRenamed("node", "b").hint("merge"), "b", "left").select(
+            "a", "b", "size", "apart", F.coalesce("component", "b").alias("component")), least, store)
+        if rest.limit(1).count():
+            groups = store.put(components(edges.unionByName(similar(rest, sets, least, store)), store))
+    store.drop(stars, sets)
     return groups
 
 

@@ -137,3 +137,19 @@ def test_texts_that_simhash_finds_are_compared(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "fingerprint", lambda text, words: 8 * (b"q" in text))
     docs = spark.createDataFrame([*rows, (4, "a b c d e f g h i")], "doc_id long, text string")
     assert {r["doc_id"] for r in nearcopies.representatives(docs).collect()} == {1, 2, 3}
+
+
+def test_only_copies_that_can_be_similar_meet_in_a_star(spark, tmp_path):
+    # Of the 180,000 pairs of copies few are similar; all of these have to meet, and hardly any other.
+    known = nearcopies.Hashes(22)
+    sets = [nearcopies.shingles(text.encode(), 5, known) for _, text in edited(8, 600, 150, (1, 9))]
+    center, least = min(range(600), key=lambda i: len(set(sets[i].tolist()) - set(sets[0].tolist()))) or 1, 0.8
+    linked = {i for i in range(600) if i == center or nearcopies.alike(sets[center], sets[i], least)}
+    rows = [(7, i, len(x), -1 if i in linked else i, [int(v) for v in nearcopies.np.setxor1d(sets[center], x).view("int64")])
+            for i, x in enumerate(sets) if i != center]
+    stars = spark.createDataFrame(rows, "a long, b long, size int, component long, apart array<long>")
+    got = {tuple(r) for r in nearcopies.crossing(stars, least, nearcopies.Store(spark, "star")).collect()}
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if center not in (i, j)
+            and not (i in linked and j in linked) and nearcopies.alike(sets[i], sets[j], least)}
+    assert 0 < len(linked) < 600 and want and want <= got
+    assert len(got) < 10 * len(want) + 600
