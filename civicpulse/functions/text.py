@@ -149,13 +149,23 @@ def adjacent_pairs(tokens: Column) -> Column:
     return bind(tokens, pairs)
 
 
+def plain_tokens(t: Column) -> Column:
+    """Tokens without the separator of pairs."""
+    # Hardly a text holds one of the two characters; all its tokens are searched at once.
+    whole = F.array_join(t, "")
+    special = F.contains(whole, F.lit(PAIR_SEPARATOR)) | F.contains(whole, F.lit(ESCAPE))
+    return F.when(special, F.transform(t, escaped)).otherwise(t)
+
+
+def joined_tokens(tokens: Column) -> Column:
+    """Tokens as one text, with the separator of pairs between them; null without any."""
+    return bind(tokens, lambda t: F.when(F.size(t) > 0, F.array_join(plain_tokens(t), PAIR_SEPARATOR)))
+
+
 def features_of(tokens: Column) -> Column:
     """The set of single tokens and neighbour pairs."""
     def both(t):
-        # Hardly a text holds one of the two characters; all its tokens are searched at once.
-        whole = F.array_join(t, "")
-        special = F.contains(whole, F.lit(PAIR_SEPARATOR)) | F.contains(whole, F.lit(ESCAPE))
-        plain = F.when(special, F.transform(t, escaped)).otherwise(t)
+        plain = plain_tokens(t)
         n = F.greatest(F.size(t) - 1, F.lit(0))
         pairs = bind(plain, lambda p: F.zip_with(
             F.slice(p, 1, n), F.slice(p, 2, n), lambda a, b: F.concat(a, F.lit(PAIR_SEPARATOR), b)))

@@ -14,12 +14,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil, log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import patterns as P
-from ..functions.text import adjacent_pairs, features_of, tokenize
+from ..functions.text import adjacent_pairs, features_of, joined_tokens, tokenize
 from ..session import run_dir, shared_dir
+from . import featurelists
 from .skew import broadcast_if_small, hot_keys, salted_join
 
 NANO = 1_000_000_000
@@ -30,8 +32,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HASH_ROWS = 1_000_000
 # Texts that are fewer in all look the model through.
 FEW_BYTES = 2 * 1024 * 1024
-# Text whose features are looked up together, and the labels in one list of a feature.
-BLOCK_BYTES, LIST_LABELS = 4 * 1024 * 1024, 1000
+# Text whose features are looked up together, and parts of the features for each so much text.
+BLOCK_BYTES, SPREAD = 16 * 1024 * 1024, 2
 
 
 @dataclass(frozen=True)
@@ -201,41 +203,51 @@ class SparseModel:
     """The same model by the pairs that occur, for any number of labels.
 
     ``labels`` has ``label, n, prior, absent``: ``absent`` is the weight of a known feature
-    that never came with the label.  ``pairs`` has ``feature, label, n, gain``: by how much a
-    pair that occurs weighs more than that.  A row with a null label stands for the feature
-    itself.  Neither labels nor features pass through the driver or the plan.
+    that never came with the label.  ``lists`` holds the features and their pairs, packed in
+    ``parts`` lists (``featurelists``).  Neither labels nor features pass through the driver
+    or the plan.
     """
 
     labels: DataFrame
-    pairs: DataFrame
+    lists: DataFrame
+    parts: int
+
+    @property
+    def pairs(self) -> DataFrame:
+        """``feature, label, n, gain``: by how much a pair that occurs weighs more than ``absent``.
+        A row with a null label stands for the feature itself."""
+        return self.lists.mapInArrow(featurelists.pairs_in, "feature string, label string, n bigint, gain bigint")
+
+
+def parts_for(df: DataFrame, text: str) -> int:
+    """Into how many blocks a table of texts is dealt: at least as many as a shuffle has partitions."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / BLOCK_BYTES))
 
 
 def train_sparse(
     df: DataFrame, label: str = "label", text: str = "text", tokens: Callable[[Column], Column] = tokenize,
 ) -> SparseModel:
-    """Count the pairs that occur; frequent labels are salted where there are too many to broadcast."""
+    """Count the pairs that occur.  A task counts the pairs of some megabytes of text and packs
+    them by parts of the features; the lists of a part meet in one group.  What moves is sorted
+    names and small numbers, compressed, in one row for each task and part."""
     shared_dir(df.sparkSession)
     kept = relevant(df, label)
     counts = kept.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    documents = counts.agg(F.sum("n")).scalar()
+    documents = counts.agg(F.sum("n")).first()[0] or 0
     kinds = counts.agg(F.count(F.lit(1))).scalar()
     labels = counts.select(
         "label", "n", nano((F.col("n") + 0.5) / (documents + 0.5 * kinds)).alias("prior"),
         nano(F.lit(0.5) / (F.col("n") + 1.0)).alias("absent"))
-    found = explode_features(kept, text, tokens, label).where(F.col("feature").isNotNull())
-    pairs = found.groupBy("feature", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # Written once: features, labels and gains are made from the counted pairs.
+    parts = SPREAD * parts_for(kept, text)
+    texts = kept.select(F.col(label).alias("label"), joined_tokens(tokens(F.col(text))).alias("words"))
+    rows = with_label(texts, labels.withColumnRenamed("n", "docs"), labels.select("label", "n"))
+    found = rows.select("label", "docs", "prior", "absent", "words").mapInArrow(
+        featurelists.counted(parts), featurelists.PACKED)
     folder = run_dir(df.sparkSession, "pairs")
-    pairs.write.parquet(folder)
-    pairs = df.sparkSession.read.schema(pairs.schema).parquet(folder)
-    features = pairs.groupBy("feature").agg(F.sum("n").alias("n"))
-    # A feature of every document has one bin; it came with every label.
-    everywhere = features.where(F.col("n") == documents).select("feature").withColumn("bins", F.lit(1))
-    binned = pairs.join(broadcast_if_small(everywhere), "feature", "left").withColumn("bins", F.coalesce("bins", F.lit(2)))
-    weighed = with_label(binned, labels.withColumnRenamed("n", "docs"), pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-    gain = nano((F.col("n") + 0.5) / (F.col("docs") + 0.5 * F.col("bins"))) - F.col("absent")
-    known = features.select("feature", F.lit(None).cast("string").alias("label"), "n", F.lit(0).cast("bigint").alias("gain"))
-    return SparseModel(labels, weighed.select("feature", "label", "n", gain.alias("gain")).unionByName(known))
+    (found.repartition(parts, "feature_part").groupBy("feature_part")
+     .applyInArrow(featurelists.merged(documents), featurelists.PACKED).write.parquet(folder))
+    return SparseModel(labels, df.sparkSession.read.schema(featurelists.PACKED).parquet(folder), parts)
 
 
 def with_label(rows: DataFrame, labels: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
@@ -256,34 +268,23 @@ def score_sparse(
     best of the labels with a gain, or the best default of all.  The best default is that of the
     most frequent labels for texts of no known feature, of the rarest for two or more.
 
-    Texts are dealt to blocks of a few megabytes.  A feature is looked up once for each block,
-    and what its labels gain comes back to the block, where the sums are made: neither the
-    features of single texts nor their labels are shuffled.
+    Texts are dealt to blocks of some megabytes, as their tokens.  A block asks each part of the
+    model once for the features it has there, in one packed list, and what their labels gain
+    comes back to the block in another, where the sums are made: neither the features of single
+    texts nor their labels are shuffled.
     """
-    asked = df.where(F.col(text).isNotNull()).select(key, text)
-    size = asked.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / BLOCK_BYTES))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).repartition(blocks, "block")
-    found = explode_features(dealt, text, tokens, "block", key)
-    wanted = found.where(F.col("feature").isNotNull()).select("block", "feature").distinct()
-    # The labels of a feature travel as lists of about LIST_LABELS at most.
-    lists = F.lit(ceil((model.labels.count() + 1) / LIST_LABELS))
-    cells = model.pairs.groupBy("feature", F.pmod(F.xxhash64("label"), lists).alias("list")).agg(
-        F.collect_list(F.struct("label", "gain")).alias("cells"))
-    # Two plain lists are less than half as large as one of structs.
-    packed = cells.select("feature", F.col("cells.label").alias("label"), F.col("cells.gain").alias("gain"))
-    weights = wanted.join(packed, "feature").repartition(blocks, "block")
-    hits = found.join(weights, ["block", "feature"], "left").select(
-        "block", key, F.explode_outer(F.arrays_zip("label", "gain")).alias("cell"))
-    sums = hits.groupBy("block", key, F.col("cell.label").alias("label")).agg(
-        F.sum("cell.gain").alias("gain"), F.count("cell.gain").alias("known"))
-    # Of a key there is one row for each label that it has a pair with, and one for the known features.
-    known = F.max(F.when(F.col("label").isNull(), F.col("known"))).over(Window.partitionBy("block", key))
-    sums = sums.withColumn("known", F.coalesce(known, F.lit(0)))
-    here = with_label(sums, model.labels.drop("n"), model.labels.select("label", "n"), "left")
-    gained = F.struct((F.col("prior") + F.col("known") * F.col("absent") + F.col("gain")).alias("score"), "label")
-    best = here.groupBy("block", key).agg(
-        F.max("known").alias("known"), F.max(F.when(F.col("label").isNotNull(), gained)).alias("best"))
+    asked = df.where(F.col(text).isNotNull())
+    blocks = parts_for(asked, text)
+    dealt = asked.select(
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key, joined_tokens(tokens(F.col(text))).alias("words")
+    ).mapInArrow(featurelists.dealt(key), featurelists.DEALT).repartition(blocks, "block")
+    wanted = dealt.groupBy("block").applyInArrow(featurelists.asked(model.parts), featurelists.ASKED)
+    by_part = lambda rows: rows.repartition(model.parts, "feature_part").groupBy("feature_part")
+    weights = by_part(model.lists).cogroup(by_part(wanted)).applyInArrow(
+        featurelists.answered, featurelists.ANSWERED).repartition(blocks, "block")
+    kinds = StructType([df.schema[key], *StructType.fromDDL("known bigint, score bigint, label string").fields])
+    here = dealt.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(featurelists.scored(key, model.parts), kinds)
+    best = here.select(key, "known", F.when(F.col("label").isNotNull(), F.struct("score", "label")).alias("best"))
     defaults = model.labels.agg(
         F.max(F.struct("prior", "label")).alias("none"),
         F.max(F.struct((F.col("prior") + F.col("absent")).alias("score"), "label")).alias("one"),

@@ -239,3 +239,68 @@ def test_lookup_by_shuffle_agrees_however_it_is_joined(spark, monkeypatch):
     monkeypatch.setattr(bayes, "HASH_ROWS", 0)
     got, large = scored()
     assert got == want and "SortMergeJoin" in large
+
+
+def test_packed_lists_hold_the_features_of_the_tokens(spark):
+    """Features that tasks number and pack are those of the expression, odd tokens and all."""
+    from civicpulse.operators import featurelists
+    rows = ["a b a b c", "a", "", None, "\u0001 \u0002 a\u0001b \u00021", "\u0001", "é b é", "c a"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string").select(
+        "id", text.features_of(F.split("text", " ")).alias("features"), text.joined_tokens(F.split("text", " ")).alias("words"))
+    got = df.orderBy("id").collect()
+    import pyarrow as pa
+    found = featurelists.features_in(pa.array([r["words"] for r in got], pa.string()), 3)
+    names = found.names.texts().to_pylist()
+    held = [{names[j] for i, j in zip(found.rows, found.numbers) if i == k} for k in range(len(rows))]
+    assert held == [set(r["features"] or []) for r in got] and len(names) == len(set(names))
+    assert featurelists.names_in(featurelists.unpack(pa.scalar(featurelists.pack(**featurelists.pack_names(found.names))))).texts().to_pylist() == names
+    alone = featurelists.features_in(pa.array(["b\u0001a", "a\u0001b\u0001c"], pa.string()), 3)
+    parts = lambda f: {n: p for p, a, b in f.parts for n in f.names.texts().to_pylist()[a:b]}
+    assert len(parts(found)) == len(names) and all(parts(found)[n] == p for n, p in parts(alone).items())
+
+
+def test_sparse_scores_move_lists_not_rows(spark, monkeypatch, tmp_path):
+    """Training and lookup shuffle packed lists: a few rows for each task and part, whatever the number of features.
+    Small pieces and sums give the same."""
+    import random
+    from civicpulse.operators import featurelists
+    draw = random.Random(4)
+    rows = [(i if i % 9 else None, f"l{i % 12}", " ".join(f"w{chr(97 + int(draw.random() ** 2 * 26))}" for _ in range(40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    model = bayes.train_sparse(df)
+    assert model.lists.count() <= model.parts < model.pairs.count()
+    scored = bayes.score_sparse(df, model, "id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "explode(features" not in plan and "hashpartitioning(feature_part" in plan
+    want = sorted(map(tuple, scored.collect()), key=repr)
+    assert len(want) == len({r[0] for r in rows})
+    small, add = {"CELLS": 7, "PIECE_BYTES": 50}, featurelists.scored("id", model.parts)
+
+    def held(sizes):
+        # In the task, and back again: its process goes on to other tasks.
+        before = {name: getattr(featurelists, name) for name in sizes}
+        for name, size in sizes.items():
+            setattr(featurelists, name, size)
+        return before
+
+    def in_small_steps(texts, answers):
+        before = held(small)
+        try:
+            return add(texts, answers)
+        finally:
+            held(before)
+
+    monkeypatch.setattr(featurelists, "scored", lambda key, parts: in_small_steps)
+    assert sorted(map(tuple, bayes.score_sparse(df, model, "id").collect()), key=repr) == want
+    pairs = lambda m: sorted(map(tuple, m.pairs.collect()), key=repr)
+    count = featurelists.counted(model.parts)
+
+    def in_small_pieces(batches):
+        before = held(small)
+        try:
+            yield from count(batches)
+        finally:
+            held(before)
+
+    monkeypatch.setattr(featurelists, "counted", lambda parts: in_small_pieces)
+    assert pairs(bayes.train_sparse(df)) == pairs(model)
