@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import groupby
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ from ..functions.text import bind, strip_hash_lower, whitespace_tokens, with_com
 from ..session import run_dir
 from .skew import broadcast_if_small, hot_keys, salted_join
 
+# A table of phrases or terms up to this size is broadcast; ROW_BYTES stands for its numbers.
+BROADCAST_BYTES, ROW_BYTES = 64 * 1024 * 1024, 64
+# Phrases filed under terms of texts that one task compares.
+TASK_MEETINGS = 4_000_000
+
 
 def track_phrases(spark: SparkSession, hashtags: Sequence[str], cities: Sequence[str]) -> DataFrame:
     """Every hashtag with every city as one phrase."""
@@ -37,33 +43,62 @@ def terms_of(text: Column) -> Column:
     return bind(words, lambda w: F.array_distinct(F.concat(w, F.transform(w, lambda x: F.ltrim(x, F.lit("#@"))))))
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Written as columns, which are far smaller than rows; a lost executor repeats none of it."""
+    folder = run_dir(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def fits(df: DataFrame, *texts: str) -> bool:
+    """Whether a stored table with these texts can be broadcast."""
+    size = df.agg(F.sum(sum((F.octet_length(c) for c in texts), F.lit(ROW_BYTES)))).first()[0] or 0
+    return size <= BROADCAST_BYTES
+
+
 def tracked_phrases(df: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, phrase``: the phrases of a table (``phrase``) all of whose terms a text holds.
 
-    Of the terms of a text only those that are in some phrase move.  Each phrase is filed
-    under its term that fewest texts hold, so a text meets a phrase only if it has that one;
-    then all terms are compared.  A phrase without terms is in no text; frequent terms are
-    salted.  ``key`` identifies a text.
+    Of the terms of a text only those that are in some phrase move, once, as numbers.  Each
+    phrase is filed under its term that fewest texts hold, so a text meets a phrase only if it
+    has that one; then the other terms are looked for among its own.  The filed phrases are
+    brought to the texts, so what a text may hold is never shuffled; there are as many tasks as
+    that takes.  Only a table of phrases too large to broadcast meets the texts by a shuffle,
+    salted for frequent terms.  A phrase without terms is in no text.  ``key`` identifies a text.
     """
     terms = F.array_distinct(F.filter(F.split(F.lower("phrase"), r"\s+"), lambda t: t != ""))
-    wanted = phrases.select("phrase").distinct().withColumn("terms", terms).where(F.size("terms") > 0)
-    universe = wanted.select(F.explode("terms").alias("term")).distinct()
-    held = df.select(key, F.explode(terms_of(F.col(text))).alias("term")).join(broadcast_if_small(universe), "term", "left_semi")
-    # Written as columns, which are far smaller than rows; a lost executor repeats none of it.
-    folder = run_dir(df.sparkSession, "terms")
-    held.write.parquet(folder)
-    held = df.sparkSession.read.schema(held.schema).parquet(folder)
-    counts = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = wanted.select("phrase", "terms", F.explode("terms").alias("term")).join(counts, "term", "left").groupBy(
-        "phrase", "terms").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest"))
-    filed = rarest.where("rarest.n > 0").select(F.col("rarest.term").alias("term"), "phrase", "terms")
-    met = salted_join(held, filed, "term", hot_keys(counts, "term"))
+    wanted = stored(phrases.select("phrase").distinct().withColumn("terms", terms).where(F.size("terms") > 0), "phrases")
+    each = wanted.select("phrase", F.explode("terms").alias("term"))
+    universe = stored(each.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "universe")
+    words = df.select(key, F.explode(terms_of(F.col(text))).alias("term"))
+    known = F.broadcast(universe) if fits(universe, "term") else universe
+    held = stored(words.join(known, "term").select(key, "number"), "terms")
+    counts = held.groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    by_count = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "number")))
+    ranked = each.join(universe, "term").join(counts, "number", "left").groupBy("phrase").agg(by_count.alias("terms"))
+    first, second = F.get("terms", F.lit(0)), F.get("terms", F.lit(1))
+    filed = stored(ranked.where(first["n"] > 0).select(
+        first["number"].alias("number"), first["n"].alias("n"), "phrase", second["number"].alias("second"),
+        F.transform(F.slice("terms", F.lit(3), F.size("terms")), lambda t: t["number"]).alias("rest")), "filed")
+    all_there = (F.col("second").isNull() | F.array_contains("present", F.col("second"))) & (
+        (F.size("rest") == 0) | (F.size(F.array_except("rest", "present")) == 0))
+    # A text meets so many phrases in all; a task has its share of them.
+    meetings = filed.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(meetings / TASK_MEETINGS))
+    rows = held.repartition(tasks, key).groupBy(key, "number").agg(F.count(F.lit(1)).alias("rows"))
+    texts = rows.groupBy(key).agg(F.collect_list(F.struct("number", "rows")).alias("held")).withColumn(
+        "present", F.transform("held", lambda h: h["number"]))
+    if fits(filed, "phrase"):
+        one = texts.select(key, "present", F.explode("held").alias("h"))
+        # Rows with one key and the same term count each.
+        one = one.select(key, "present", F.explode(F.array_repeat(F.col("h.number"), F.col("h.rows").cast("int"))).alias("number"))
+        return one.join(F.broadcast(filed), "number").where(all_there).select(key, "phrase")
+    met = salted_join(held, filed, "number", hot_keys(counts, "number"))
     # A phrase of one term is found by now.
-    alone = met.where(F.size("terms") == 1).select(key, "phrase")
-    # The terms of a text move once, whatever it has met.
-    present = held.groupBy(F.col(key).alias("held_key")).agg(F.collect_set("term").alias("present"))
-    others = met.where(F.size("terms") > 1).join(present, F.col(key).eqNullSafe(F.col("held_key")))
-    return alone.unionByName(others.where(F.size(F.array_except("terms", "present")) == 0).select(key, "phrase"))
+    alone = met.where(F.col("second").isNull()).select(key, "phrase")
+    there = texts.select(F.col(key).alias("held_key"), "present")
+    others = met.where(F.col("second").isNotNull()).join(there, F.col(key).eqNullSafe(F.col("held_key")))
+    return alone.unionByName(others.where(all_there).select(key, "phrase"))
 
 
 def track_filter_by(df: DataFrame, phrases: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -77,3 +77,33 @@ def test_the_terms_of_a_text_move_once(spark):
     assert "explode(present" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(((r["id"] or 0), r["phrase"]) for r in found.collect()) == [
         (0, "d"), (0, "e a"), (1, "a b"), (1, "c a"), (2, "a b"), (2, "c a"), (2, "d")]
+
+
+def test_what_a_text_may_hold_is_not_shuffled(spark, monkeypatch):
+    """Phrases come to the texts: no exchange lies above the join with them; by shuffle the rows are the same."""
+    rows = [(i if i % 7 else None, " ".join(f"w{(i * j + j) % 23}" for j in range(1 + i % 9))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (3, "w1 w2 w1"), (3, "#w1 w2"), (None, None)], "id int, text string")
+    phrases = [f"w{i} w{(i * i) % 23}" for i in range(23)] + ["w1 w2 w4", "w4", "#w1 W2", "nowhere w1", " "]
+    table = spark.createDataFrame([(p,) for p in [*phrases, None]], "phrase string")
+    found = match.tracked_phrases(df, table, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[:plan.index("BroadcastHashJoin")]
+    assert "Exchange" not in below and "SortMergeJoin" not in plan
+    want = sorted(map(tuple, found.collect()), key=repr)
+    texts = {}
+    for key, t in [(r["id"], r["text"]) for r in df.collect()]:
+        texts.setdefault(key, []).append({f for w in (t or "").lower().split() for f in (w, w.lstrip("#@"))})
+    hold = lambda term: sum(term in f for fs in texts.values() for f in fs)
+    hand = []
+    for p in {p for p in phrases if p.split()}:
+        terms = sorted(set(p.lower().split()))
+        for key, fs in texts.items():
+            if all(any(t in f for f in fs) for t in terms):
+                hand.append((key, p, {sum(t in f for f in fs) for t in terms if hold(t) == min(map(hold, terms))}))
+    assert {(k, p) for k, p in want} == {(k, p) for k, p, _ in hand}
+    assert all(want.count((k, p)) in n for k, p, n in hand)
+    monkeypatch.setattr(match, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, match.tracked_phrases(df, table, "id").collect()), key=repr) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(match, "TASK_MEETINGS", 10)
+    assert sorted(map(tuple, match.tracked_phrases(df, table, "id").collect()), key=repr) == want
