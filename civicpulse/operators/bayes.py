@@ -16,7 +16,7 @@ from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import patterns as P
 from ..functions.text import adjacent_pairs, features_of, joined_tokens, tokenize
@@ -32,6 +32,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HASH_ROWS = 1_000_000
 # Texts that are fewer in all look the model through.
 FEW_BYTES = 2 * 1024 * 1024
+# Texts that are more in all look a large model up by packed lists; its features in one part.
+MANY_BYTES, PART_FEATURES = 64 * 1024 * 1024, 500_000
 # Text whose features are looked up together, and parts of the features for each so much text.
 BLOCK_BYTES, SPREAD = 16 * 1024 * 1024, 2
 
@@ -167,6 +169,40 @@ def looked_up(
                        spread_by=[key], hint=hint)
 
 
+def blocks_of(
+    texts: DataFrame, key: str, text: str, tokens: Callable[[Column], Column], blocks: int,
+) -> DataFrame:
+    """Texts as packed tokens, dealt to blocks by their key."""
+    return texts.select(
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key, joined_tokens(tokens(F.col(text))).alias("words")
+    ).mapInArrow(featurelists.dealt(key), featurelists.DEALT).repartition(blocks, "block")
+
+
+def asked_of(
+    lists: DataFrame, dealt: DataFrame, parts: int, blocks: int, answer: Callable,
+) -> DataFrame:
+    """What each part of a model answers to each block of texts, back at the block."""
+    wanted = dealt.groupBy("block").applyInArrow(featurelists.asked(parts), featurelists.ASKED)
+    by_part = lambda rows: rows.repartition(parts, "feature_part").groupBy("feature_part")
+    return by_part(lists).cogroup(by_part(wanted)).applyInArrow(answer, featurelists.ANSWERED).repartition(blocks, "block")
+
+
+def summed(
+    texts: DataFrame, model: Model, features: DataFrame, key: str, text: str, tokens: Callable[[Column], Column],
+) -> DataFrame:
+    """``key`` and the sums ``sum_<i>`` of its features' weights, for many texts and a large model.
+
+    Blocks of texts ask the parts of the model by packed lists, as ``score_sparse`` does.
+    """
+    blocks, n = parts_for(texts, text), len(model.labels)
+    parts = max(SPREAD * blocks, ceil(features.count() / PART_FEATURES))
+    dealt = blocks_of(texts, key, text, tokens, blocks)
+    lists = features.select("feature", "weights").mapInArrow(featurelists.listed(parts), featurelists.PACKED)
+    weights = asked_of(lists, dealt, parts, blocks, featurelists.weighed(n))
+    kinds = StructType([texts.schema[key], *(StructField(f"sum_{i}", LongType()) for i in range(n))])
+    return dealt.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(featurelists.summed(key, parts, n), kinds)
+
+
 def score(
     df: DataFrame,
     model: Model,
@@ -181,12 +217,15 @@ def score(
     """
     texts, places = df.where(F.col(text).isNotNull()), range(len(model.labels))
     weights = [F.col("weights")[i].alias(f"w_{i}") for i in places]
-    if model.is_small():
-        found = explode_features(texts, text, tokens, key)
-        hits = found.join(F.broadcast(model.features.select("feature", *weights)), "feature", "left")
+    if not model.is_small() and (texts.agg(F.sum(F.octet_length(text))).first()[0] or 0) > MANY_BYTES:
+        sums = summed(texts, model, stored_features(model), key, text, tokens)
     else:
-        hits = looked_up(texts, stored_features(model), weights, key, text, tokens)
-    sums = hits.groupBy(key).agg(*[F.sum(f"w_{i}").alias(f"sum_{i}") for i in places])
+        if model.is_small():
+            found = explode_features(texts, text, tokens, key)
+            hits = found.join(F.broadcast(model.features.select("feature", *weights)), "feature", "left")
+        else:
+            hits = looked_up(texts, stored_features(model), weights, key, text, tokens)
+        sums = hits.groupBy(key).agg(*[F.sum(f"w_{i}").alias(f"sum_{i}") for i in places])
     scores = [
         ((F.coalesce(F.col(f"sum_{i}"), F.lit(0)) + w) / NANO).alias(f"score_{label}")
         for i, ((label, _), w) in enumerate(zip(model.labels, model.prior_nano()))]
@@ -275,13 +314,8 @@ def score_sparse(
     """
     asked = df.where(F.col(text).isNotNull())
     blocks = parts_for(asked, text)
-    dealt = asked.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key, joined_tokens(tokens(F.col(text))).alias("words")
-    ).mapInArrow(featurelists.dealt(key), featurelists.DEALT).repartition(blocks, "block")
-    wanted = dealt.groupBy("block").applyInArrow(featurelists.asked(model.parts), featurelists.ASKED)
-    by_part = lambda rows: rows.repartition(model.parts, "feature_part").groupBy("feature_part")
-    weights = by_part(model.lists).cogroup(by_part(wanted)).applyInArrow(
-        featurelists.answered, featurelists.ANSWERED).repartition(blocks, "block")
+    dealt = blocks_of(asked, key, text, tokens, blocks)
+    weights = asked_of(model.lists, dealt, model.parts, blocks, featurelists.answered)
     kinds = StructType([df.schema[key], *StructType.fromDDL("known bigint, score bigint, label string").fields])
     here = dealt.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(featurelists.scored(key, model.parts), kinds)
     best = here.select(key, "known", F.when(F.col("label").isNotNull(), F.struct("score", "label")).alias("best"))

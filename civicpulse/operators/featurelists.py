@@ -103,6 +103,21 @@ def total(places: np.ndarray, amounts: np.ndarray, n: int) -> np.ndarray:
     return sums
 
 
+def parts_of(names: Names, parts: int) -> np.ndarray:
+    """The part of each feature: that of its longer word, of the later one of two that are as long."""
+    hashed, n = np.array([crc32(w.encode()) for w in names.words.to_pylist()], np.int64) % parts, len(names.words)
+    size = pc.binary_length(names.words).to_numpy().astype(np.int64) * n + np.arange(n)
+    first, second = names.halves()
+    return hashed[np.where((second >= 0) & (size[second] > size[first]), second, first)]
+
+
+def by_part(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order in which parts lie together, and each part with its start and end there."""
+    order = np.argsort(part, kind="stable")
+    held, starts = np.unique(part[order], return_index=True)
+    return order, list(zip(held.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]))
+
+
 def features_in(texts: pa.Array, parts: int) -> Features:
     """The single tokens and neighbour pairs of each text, as ``features_of`` has them."""
     lists = pc.split_pattern(texts.cast(pa.string()), PAIR_SEPARATOR)
@@ -114,18 +129,11 @@ def features_in(texts: pa.Array, parts: int) -> Features:
     if not len(ids):
         return Features(ids, ids, Names(words, ids), [])
     rows, numbers = np.divmod(pd.unique(np.concatenate([text, text[1:][near]]) * len(ids) + place), len(ids))
-    hashed = np.array([crc32(w.encode()) for w in words.to_pylist()], np.int64) % parts
-    # The longer word, the later one of two that are as long.
-    size = pc.binary_length(words).to_numpy().astype(np.int64) * n + np.arange(n)
-    first, second = Names(words, ids).halves()
-    part = hashed[np.where((second >= 0) & (size[second] > size[first]), second, first)]
     # The features are in order already.
-    order = np.argsort(part, kind="stable")
+    order, places = by_part(parts_of(Names(words, ids), parts))
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.arange(len(ids))
-    held, starts = np.unique(part[order], return_index=True)
-    ends = [*starts[1:].tolist(), len(ids)]
-    return Features(rows, rank[numbers], Names(words, ids[order]), list(zip(held.tolist(), starts.tolist(), ends)))
+    return Features(rows, rank[numbers], Names(words, ids[order]), places)
 
 
 def starts_of(sizes: np.ndarray) -> np.ndarray:
@@ -420,3 +428,89 @@ def scored(key: str, parts: int):
             "label": kinds.take(pa.array(winner, pa.int64(), mask=none))})
 
     return work
+
+
+# ---- a model with a weight for every label ----------------------------------------
+
+def listed(parts: int):
+    """Rows ``feature, weights`` to lists, one for each part."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "feature"):
+            halves = pc.split_pattern(whole(piece["feature"]).cast(pa.string()), PAIR_SEPARATOR)
+            size = pc.fill_null(pc.list_value_length(halves), 0).to_numpy()
+            codes, words = numbered(halves.flatten())
+            # No text has a feature of more words.
+            rows = np.flatnonzero((size == 1) | (size == 2))
+            start, pair = starts_of(size)[rows], size[rows] == 2
+            first, second = codes[start], codes[np.where(pair, start + 1, start)]
+            names = Names(words, np.where(pair, ids_of(first, second, len(words)), first))
+            weights = whole(piece["weights"]).take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+            # Features with equal weights are of one kind.
+            kind = np.zeros(len(rows), np.int64)
+            for column in weights.T:
+                at, found = distinct(column)
+                kind = distinct(kind * len(found) + at)[0]
+            order, places = by_part(parts_of(names, parts))
+            for part, a, b in places:
+                held = order[a:b]
+                at, _ = distinct(kind[held])
+                one = np.unique(at, return_index=True)[1]
+                yield pa.RecordBatch.from_pydict({"feature_part": pa.array([part], pa.int32()), "packed": [pack(
+                    **pack_names(Names(words, names.ids[held])), kind=at, weights=weights[held[one]].ravel())]})
+
+    return work
+
+
+def weighed(labels: int):
+    """What each feature that a block asks for weighs: its kind, from one on, or 0 for an unknown one."""
+
+    def work(model: pa.Table, requests: pa.Table) -> pa.Table:
+        out = {"feature_part": [], "block": [], "packed": []}
+        lists = unpacked(model)
+        if lists:
+            names = [names_in(x) for x in lists]
+            words = numbered(joined((x.words for x in names), pa.string()))[1]
+            ids = np.concatenate([x.among(words).ids for x in names])
+            weights = together(lists, "weights").reshape(-1, labels)
+            counts = np.array([len(x["weights"]) // labels for x in lists], np.int64)
+            kind = together(lists, "kind") + np.repeat(starts_of(counts), np.array([len(x) for x in (n.ids for n in names)], np.int64))
+            order = np.argsort(ids)
+            ids, kind = ids[order], kind[order]
+            for part, block, packed in zip(requests["feature_part"].to_pylist(), requests["block"].to_pylist(), whole(requests["packed"])):
+                wanted = names_in(unpack(packed)).among(words).ids
+                at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+                there = ids[at] == wanted
+                numbers, kinds = distinct(kind[at[there]])
+                found = np.zeros(len(wanted), np.int64)
+                found[there] = numbers + 1
+                out["feature_part"].append(part)
+                out["block"].append(block)
+                out["packed"].append(pack(kind=found, weights=weights[kinds].ravel()))
+        return pa.table({"feature_part": pa.array(out["feature_part"], pa.int32()), "block": pa.array(out["block"], pa.int64()),
+                         "packed": pa.array(out["packed"], pa.binary())})
+
+    return work
+
+
+def summed(key: str, parts: int, labels: int):
+    """For each key of a block the exact sums of its known features' weights, ``sum_<i>``."""
+
+    def work(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = unpacked(texts)
+        keys = pa.concat_arrays([x["key"] for x in rows]).dictionary_encode(null_encoding="encode")
+        owner = keys.indices.to_numpy().astype(np.int64)
+        found = features_in(joined((x["words"] for x in rows), pa.string()), parts)
+        lists = dict(zip(answers["feature_part"].to_pylist(), unpacked(answers)))
+        weights = np.zeros((len(found.names.ids), labels), np.int64)
+        for part, a, b in found.parts:
+            if part in lists:
+                kind = whole_numbers(lists[part]["kind"])
+                if len(kind) != b - a:
+                    raise ValueError("the texts of a block have changed between two reads")
+                weights[a:b] = np.concatenate([np.zeros((1, labels), np.int64), whole_numbers(lists[part]["weights"]).reshape(-1, labels)])[kind]
+        owners, many = owner[found.rows], len(keys.dictionary)
+        return pa.table({key: keys.dictionary, **{
+            f"sum_{i}": pa.array(total(owners, weights[found.numbers, i], many), pa.int64()) for i in range(labels)}})
+
+    return work

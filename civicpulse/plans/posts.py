@@ -25,22 +25,29 @@ def tweet_items(tweets: DataFrame, params: Parameters, phrase_match: bool = Fals
 
 
 def review_site_items(
-    property_pages: DataFrame, thread_pages: DataFrame, persist_reviews: bool = True
+    property_pages: DataFrame, thread_pages: DataFrame, persist_reviews: bool = True, reviews: DataFrame | None = None
 ) -> DataFrame:
     """Items of a review site: forum posts, and its dated reviews unless switched off.
 
-    Reviews whose date text does not parse are in ``undated_reviews``.
+    Reviews whose date text does not parse are in ``undated_reviews``.  ``reviews`` are the
+    ``stored_reviews`` of the pages, which are then not extracted again.
     """
     columns = ("city", "text", "geo", "date")
     posts = pages.thread_items(thread_pages).select(*columns)
     if not persist_reviews:
         return posts
-    return pages.dated(pages.review_items(property_pages)).select(*columns).unionByName(posts)
+    found = pages.review_items(property_pages) if reviews is None else reviews
+    return pages.dated(found).select(*columns).unionByName(posts)
 
 
-def undated_reviews(property_pages: DataFrame) -> DataFrame:
+def stored_reviews(property_pages: DataFrame) -> DataFrame:
+    """The reviews of all pages, extracted once for items and quarantine."""
+    return store_items(pages.review_items(property_pages), run_dir(property_pages.sparkSession, "reviews"))
+
+
+def undated_reviews(property_pages: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """Quarantine: reviews with a date text that is no date, as extracted."""
-    return pages.undated(pages.review_items(property_pages))
+    return pages.undated(pages.review_items(property_pages) if reviews is None else reviews)
 
 
 def forum_site_items(

@@ -769,12 +769,13 @@ def source_report(t):
         writers.save_model(bayes.train(corpus), f"{folder}/models", name)
     models = readers.load_models(t.spark, f"{folder}/models", PARAMS.models)
     tweets = readers.good_tweets(readers.parse_tweets(tweet_lines(t)))
+    reviews, index = flow.stored_reviews(review_pages(t)), geo.place_index(t.gazetteer(), t.continents())
     items = {
         "TWITTER": flow.tweet_items(tweets, PARAMS),
-        "TRIPADVISOR": flow.review_site_items(review_pages(t), thread_pages(t)),
+        "TRIPADVISOR": flow.review_site_items(review_pages(t), thread_pages(t), reviews=reviews),
         "SKYSCRAPER": flow.forum_site_items(forum_pages(t), PARAMS, F.lit(AS_OF).cast("timestamp"))}
-    writers.append_quarantine(flow.undated_reviews(review_pages(t)), f"{folder}/bad")
+    writers.append_quarantine(flow.undated_reviews(review_pages(t), reviews), f"{folder}/bad")
     for resource, rows in items.items():
-        found = flow.to_posts(rows, resource, t.gazetteer(), t.continents(), models[resource])
+        found = flow.to_posts(rows, resource, t.gazetteer(), t.continents(), models[resource], index=index)
         writers.append_posts(found, f"{folder}/posts")
     return flow.report(readers.read_posts(t.spark, f"{folder}/posts"), SOURCE_CITIES)

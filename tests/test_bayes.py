@@ -304,3 +304,20 @@ def test_sparse_scores_move_lists_not_rows(spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(featurelists, "counted", lambda parts: in_small_pieces)
     assert pairs(bayes.train_sparse(df)) == pairs(model)
+
+
+def test_many_texts_look_a_large_model_up_by_lists(spark, monkeypatch):
+    """Scores by packed lists are those of the broadcast model; no feature of a text is a row of a shuffle."""
+    rows = [(i % 7, f"w{i % 5} w{i % 3} w{i % 11} w{i}") for i in range(60)] + [
+        (None, "w1 w2"), (None, "w1 \u0001 w2"), (8, ""), (9, None), (10, "unheard of")]
+    texts = spark.createDataFrame(rows, "k long, text string")
+    corpus = [(f"w{i % 4} w{i % 6} w{i % 9} w1 \u0001", "abc"[i % 3]) for i in range(30)]
+    model = bayes.train(spark.createDataFrame(corpus, "text string, label string"), tokens=TOKENS)
+    want = sorted(map(tuple, bayes.score(texts, bayes.Model(model.labels, model.features, 1, 1), "k", tokens=TOKENS).collect()), key=repr)
+    monkeypatch.setattr(bayes, "MANY_BYTES", 0)
+    for size in (bayes.PART_FEATURES, 3):
+        monkeypatch.setattr(bayes, "PART_FEATURES", size)
+        found = bayes.score(texts, model, "k", tokens=TOKENS)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(feature_part" in plan and "hashpartitioning(feature#" not in plan and "hashpartitioning(k" not in plan
+        assert sorted(map(tuple, found.collect()), key=repr) == want and len(want) == 10

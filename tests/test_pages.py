@@ -106,3 +106,16 @@ def test_regular_markup(spark):
     row = df.select(pages.first_element_text(F.col("html"), "h1").alias("h"),
                     pages.element_texts(F.col("html"), "p").alias("p"), pages.anchors(F.col("html")).alias("a")).first()
     assert row.h == "T u" and row.p == ["one", "two"] and [tuple(a) for a in row.a] == [("/a", "A b")]
+
+
+def test_stored_reviews_are_extracted_once(spark, tmp_path, monkeypatch):
+    """Items and quarantine of reviews that are stored equal those of the pages, which are not parsed again."""
+    html = '<div id="expanded_review_1"><span class="noQuotes">T</span><span class="ratingDate">{}</span><div class="entry"><p>x</p></div></div>'
+    table = spark.createDataFrame([("a", html.format("Reviewed May 12, 2013")), ("b", html.format("long ago")), ("c", "")], "url string, html string")
+    threads = table.limit(0)
+    want = [sorted(map(tuple, d.collect()), key=repr) for d in (posts.review_site_items(table, threads), posts.undated_reviews(table))]
+    reviews = posts.stored_reviews(table)
+    monkeypatch.setattr(posts.pages, "review_items", None)
+    got = [sorted(map(tuple, d.collect()), key=repr) for d in (
+        posts.review_site_items(table, threads, reviews=reviews), posts.undated_reviews(table, reviews))]
+    assert got == want and [len(x) for x in got] == [1, 1]
